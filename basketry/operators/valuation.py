@@ -51,15 +51,21 @@ def small_days(days: DataFrame, cal: Calendar, schedule: Schedule) -> DataFrame:
 
 
 def chain_segments(growth: DataFrame, cal: Calendar) -> DataFrame:
-    """``(strategy, pos, date, value)`` starting at 1; a boundary day keeps the earlier segment's value."""
-    ends = growth.groupBy("strategy", "rebalance_date").agg(F.max_by("growth", "pos").alias("_end"))
-    earlier = W.partitionBy("strategy").orderBy("rebalance_date").rowsBetween(W.unboundedPreceding, -1)
-    base = ends.select(
-        "strategy", "rebalance_date", F.coalesce(F.product("_end").over(earlier), F.lit(1.0)).alias("_base")
-    )
-    chained = growth.join(base, ["strategy", "rebalance_date"]).withColumn("value", F.col("_base") * F.col("growth"))
+    """``(strategy, pos, date, value)`` starting at 1; a boundary day keeps the earlier segment's value.
+
+    Everything after the aggregation runs on one shuffle by strategy: the value carried
+    into a segment is the product of the end growths of all segments with an earlier
+    rebalance date.
+    """
+    in_order = W.partitionBy("strategy").orderBy("rebalance_date", "pos")
+    following = F.lead("rebalance_date").over(in_order)
+    ends_here = following.isNull() | (following != F.col("rebalance_date"))
+    earlier = W.partitionBy("strategy").orderBy(F.unix_date("rebalance_date")).rangeBetween(W.unboundedPreceding, -1)
+    seen = F.max("pos").over(in_order.rowsBetween(W.unboundedPreceding, -1))
     return (
-        chained.groupBy("strategy", "pos").agg(F.min_by("value", "rebalance_date").alias("value"))
+        growth.withColumn("_end", F.when(ends_here, F.col("growth"))).withColumn("_seen", seen)
+        .withColumn("value", F.coalesce(F.product("_end").over(earlier), F.lit(1.0)) * F.col("growth"))
+        .where("_seen IS NULL OR pos > _seen")
         .join(cal.hint(cal.rows), "pos").select("strategy", "pos", "date", "value")
     )
 
@@ -83,3 +89,12 @@ def replication_values(
     """Full cap-weighted replication."""
     named = cap_weights.withColumn("strategy", F.lit("full_replication"))
     return simulate(named, panel, segments, schedule, cal, normalize=False)
+
+
+def forward_tracking_error(growth: DataFrame, benchmark_returns: DataFrame, by: list[str], periods_per_year: float = 252) -> DataFrame:
+    """Tracking error of every holding segment against the benchmark on the same days."""
+    in_order = W.partitionBy(*by, "rebalance_date").orderBy("pos")
+    own = growth.withColumn("ret", ratio("growth", F.lag("growth").over(in_order)) - 1).where("ret IS NOT NULL")
+    pairs = own.join(benchmark_returns.select("pos", F.col("ret").alias("bench_ret")), "pos")
+    te = F.stddev_samp(F.col("ret") - F.col("bench_ret")) * F.sqrt(F.lit(float(periods_per_year)))
+    return pairs.groupBy(*by, "rebalance_date").agg(te.alias("tracking_error"))

@@ -7,8 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.operators import calendar as cal_ops, factors, marketcap, membership, valuation, weights
-from basketry.session import tune
+from basketry.operators import calendar as cal_ops, costs, factors, marketcap, membership, regime, stats, valuation, weights
+from basketry.session import materialize, tune
 from basketry.sizing import Calendar, Schedule
 from basketry.sources import fixtures
 
@@ -31,6 +31,7 @@ class Settings:
     regime_window: int = 21
     min_regime_days: int = 30
     volume_window: int = 63
+    vol_window: int = 21
     impact_y: float = 1.0
     aums: tuple[float, ...] = (1e7, 1e8, 1e9)
     block_length: int = 20
@@ -54,14 +55,18 @@ class Settings:
 # The supplied tables have 83 monthly rows, so windows are short.
 MONTHLY = Settings(
     periods_per_year=12, lookback=12, max_weight=0.25, momentum_lookback=12, momentum_skip=1, low_vol_window=6,
-    ic_horizon=1, ic_lookback=6, embargo=0, regime_window=21, min_regime_days=5, volume_window=6, block_length=6,
-    n_resamples=200, min_forward_days=2, te_limit=0.2, drawdown_limit=0.10,
+    ic_horizon=1, ic_lookback=6, embargo=0, regime_window=21, min_regime_days=5, volume_window=6, vol_window=6, block_length=6,
+    n_resamples=200, aums=(1e3, 1e4, 1e5), min_forward_days=2, te_limit=0.2, drawdown_limit=0.10,
 )
 
 
 @dataclass
 class Market:
-    """Input tables. ``prices`` has ``symbol, date, pos, close, volume``; the rest follow ``schemas``."""
+    """Input tables. ``prices`` has ``symbol, date, pos, close, volume``; the rest follow ``schemas``.
+
+    The price panel is cached, hashed by symbol. Results that several studies share are
+    written once to the shared folder, which also keeps the plans built on them short.
+    """
 
     spark: SparkSession
     prices: DataFrame
@@ -81,7 +86,7 @@ class Market:
 
     @cached_property
     def segments(self) -> DataFrame:
-        return cal_ops.holding_segments(self.schedule, self.cal, self.settings.bridge_gaps).persist()
+        return materialize(cal_ops.holding_segments(self.schedule, self.cal, self.settings.bridge_gaps), "segments")
 
     @cached_property
     def held_segments(self) -> DataFrame:
@@ -90,7 +95,7 @@ class Market:
 
     @cached_property
     def members(self) -> DataFrame:
-        return membership.membership_history(self.schedule, self.constituents, self.changes).persist()
+        return materialize(membership.membership_history(self.schedule, self.constituents, self.changes), "members")
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -108,7 +113,7 @@ class Market:
     def start_caps(self) -> DataFrame:
         """Unfilled caps on the segment starts: rebalances x symbols, reused by most studies."""
         rows = cal_ops.at_segment_start(self.caps, self.segments, self.schedule)
-        return rows.select("rebalance_date", "symbol", "pos", "close", "market_cap").persist()
+        return materialize(rows.select("rebalance_date", "symbol", "pos", "close", "market_cap"), "start_caps")
 
     @cached_property
     def start_prices(self) -> DataFrame:
@@ -116,7 +121,7 @@ class Market:
 
     @cached_property
     def cap_weights(self) -> DataFrame:
-        return weights.cap_weights(self.members, self.start_caps, self.schedule)
+        return materialize(weights.cap_weights(self.members, self.start_caps, self.schedule), "cap_weights")
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -125,7 +130,9 @@ class Market:
     @cached_property
     def benchmark_values(self) -> DataFrame:
         """Full-replication value series; one row per date, kept because every study reads it."""
-        return valuation.replication_values(self.cap_weights, self.panel, self.segments, self.schedule, self.cal).persist()
+        return materialize(
+            valuation.replication_values(self.cap_weights, self.panel, self.segments, self.schedule, self.cal), "benchmark_values"
+        )
 
     @cached_property
     def benchmark_returns(self) -> DataFrame:
@@ -133,12 +140,126 @@ class Market:
 
     @cached_property
     def quality(self) -> DataFrame:
-        return factors.quality_scores(self.fundamentals)
+        return materialize(factors.quality_scores(self.fundamentals), "quality")
+
+    # --- factors ------------------------------------------------------------------------
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        return factors.forward_returns(self.prices, self.settings.ic_horizon)
+
+    @cached_property
+    def factor_panels(self) -> dict[str, DataFrame]:
+        s = self.settings
+        return {
+            "momentum": factors.momentum_scores(self.prices, self.cal, s.momentum_lookback, s.momentum_skip),
+            "low_vol": factors.low_vol_scores(self.returns, self.cal, s.low_vol_window, s.periods_per_year),
+            "value": factors.value_scores(self.prices, self.fundamentals, self.cal),
+        }
+
+    @cached_property
+    def constant_factors(self) -> dict[str, DataFrame]:
+        return {"quality": self.quality}
+
+    @property
+    def factor_names(self) -> list[str]:
+        return [*self.factor_panels, *self.constant_factors]
+
+    @cached_property
+    def factor_pairs(self) -> DataFrame:
+        return factors.stack_factors(self.factor_panels, self.constant_factors, self.forward)
+
+    @cached_property
+    def ic(self) -> DataFrame:
+        """One row per factor and date."""
+        return materialize(
+            factors.information_coefficients(self.factor_pairs, self.settings.ic_min_names, self.n_symbols), "ic"
+        )
+
+    @cached_property
+    def ic_weights(self) -> DataFrame:
+        s = self.settings
+        return materialize(
+            factors.trailing_ic_weights(self.ic, self.segments, self.factor_names, self.schedule, s.ic_lookback, s.embargo), "ic_weights"
+        )
+
+    @cached_property
+    def start_scores(self) -> DataFrame:
+        return factors.scores_at_segment_start(self.factor_panels, self.constant_factors, self.segments, self.schedule)
+
+    @cached_property
+    def composite(self) -> DataFrame:
+        return materialize(
+            factors.composite_scores(self.start_scores, self.ic_weights, self.schedule, len(self.factor_names)), "composite"
+        )
+
+    # --- variants that need no fitting ----------------------------------------------------
+
+    @cached_property
+    def rule_weights(self) -> DataFrame:
+        """Equal, quality and tilted weights at every rebalance but the last."""
+        held = self.schedule.hint(self.held_segments.select("rebalance_date"))
+        members = self.members.join(held, "rebalance_date", "left_semi")
+        parts = {
+            "equal_weight": weights.equal_weights(members, self.start_prices, self.schedule),
+            "quality": weights.quality_weights(members, self.quality, self.schedule),
+            "multi_factor": weights.tilt_weights(members, self.composite, self.start_caps, self.schedule, self.settings.tilt_strength),
+        }
+        named = [df.select(F.lit(n).alias("strategy"), "rebalance_date", "symbol", "weight") for n, df in parts.items()]
+        return materialize(named[0].unionByName(named[1]).unionByName(named[2]), "rule_weights")
+
+    def simulate(self, held_weights: DataFrame) -> DataFrame:
+        """Chained value of held weights, each segment rebased at its start."""
+        return valuation.simulate(held_weights, self.panel, self.segments, self.schedule, self.cal, normalize=True)
+
+    @cached_property
+    def rule_values(self) -> DataFrame:
+        return materialize(self.simulate(self.rule_weights), "rule_values")
+
+    @cached_property
+    def rule_returns(self) -> DataFrame:
+        """Returns of the rule-based variants together with full replication."""
+        own = valuation.value_returns(self.rule_values)
+        return own.unionByName(self.benchmark_returns.withColumn("strategy", F.lit("full_replication")))
+
+    @cached_property
+    def rule_weights_all(self) -> DataFrame:
+        full = self.cap_weights.withColumn("strategy", F.lit("full_replication"))
+        return self.rule_weights.unionByName(full)
+
+    # --- regimes and costs ----------------------------------------------------------------
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return materialize(regime.regime_labels(self.index_level, self.settings.regime_window), "labels")
+
+    @cached_property
+    def liquidity(self) -> DataFrame:
+        s = self.settings
+        if s.liquidity_as_of == "rebalance":
+            return costs.liquidity_at_rebalance(
+                self.prices, self.segments, self.cal, s.volume_window, s.vol_window, s.periods_per_year, s.vol_basis
+            )
+        return costs.liquidity_at_end(
+            self.prices, self.cal, s.volume_window, s.vol_window, s.periods_per_year, s.vol_last_valid, s.vol_basis
+        )
+
+    def changes_of(self, held_weights: DataFrame) -> DataFrame:
+        return costs.weight_changes(held_weights, self.schedule.n * 64)
+
+    def costs_of(self, held_weights: DataFrame, aums=None) -> DataFrame:
+        return costs.trade_costs(self.changes_of(held_weights), self.liquidity, aums or self.settings.aums, self.settings.impact_y)
+
+    @cached_property
+    def rule_costs(self) -> DataFrame:
+        """A few rows per rebalance, shared by every cost-adjusted study."""
+        return materialize(self.costs_of(self.rule_weights_all), "rule_costs")
+
+    @cached_property
+    def rule_adjusted(self) -> DataFrame:
+        return materialize(costs.apply_costs(self.rule_returns, self.rule_costs), "rule_adjusted")
 
     def release(self) -> None:
-        for name in ("segments", "members", "start_caps", "benchmark_values"):
-            if name in self.__dict__:
-                self.__dict__[name].unpersist()
         self.prices.unpersist()
         self.cal.rows.unpersist()
 
@@ -156,7 +277,7 @@ _markets: dict[tuple, Market] = {}
 
 def supplied_market(spark: SparkSession, sf_dir: str, settings: Settings = MONTHLY) -> Market:
     """The market derived from the supplied tables, built once per session and folder."""
-    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir, settings)
     if key not in _markets:
         tune(spark)
         prices, cal, n_symbols = numbered_prices(fixtures.prices(spark, sf_dir))
@@ -166,5 +287,6 @@ def supplied_market(spark: SparkSession, sf_dir: str, settings: Settings = MONTH
             constituents=fixtures.constituents(spark, sf_dir), changes=fixtures.changes(spark, sf_dir, cal),
             shares=fixtures.shares(spark, sf_dir, cal), anchors=fixtures.share_anchors(spark, sf_dir),
             fundamentals=fixtures.fundamentals(spark, sf_dir), index_level=fixtures.index_level(spark, sf_dir),
+            settings=settings,
         )
-    return _markets[key] if settings is _markets[key].settings else replace(_markets[key], settings=settings)
+    return _markets[key]

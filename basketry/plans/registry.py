@@ -9,7 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.operators import calendar as C, factors as X, marketcap as MC, membership as M, valuation as V, weights as B
+from basketry.operators import (
+    bootstrap as BS, calendar as C, comparison as Q, costs as K, factors as X, marketcap as MC, membership as M, regime as R,
+    risk as L, stats as G, valuation as V, weights as B,
+)
 from basketry.plans.market import MONTHLY, Market, numbered_prices, supplied_market
 from basketry.sources import fixtures
 
@@ -135,3 +138,459 @@ def equal_weights(m: Market) -> DataFrame:
 def replication_values(m: Market) -> DataFrame:
     out = m.benchmark_values.join(m.benchmark_returns.select("pos", "ret"), "pos", "left")
     return tidy(out.select("date", "value", "ret"), value=9, ret=9)
+
+
+# --- factors -----------------------------------------------------------------------------
+
+@query("momentum_scores")
+def momentum_scores(m: Market) -> DataFrame:
+    return tidy(m.factor_panels["momentum"], score=8)
+
+
+@query("low_vol_scores")
+def low_vol_scores(m: Market) -> DataFrame:
+    return tidy(m.factor_panels["low_vol"], score=8)
+
+
+@query("value_scores")
+def value_scores(m: Market) -> DataFrame:
+    return tidy(m.factor_panels["value"], score=8)
+
+
+@query("quality_scores")
+def quality_scores(m: Market) -> DataFrame:
+    return tidy(m.quality, score=8)
+
+
+@query("snapshot_zscore")
+def snapshot_zscore(m: Market) -> DataFrame:
+    return tidy(X.snapshot_zscore(m.fundamentals, "profitMargins").select("symbol", "zscore"), zscore=8)
+
+
+@query("forward_returns")
+def forward_returns(m: Market) -> DataFrame:
+    return tidy(m.forward, fwd=9)
+
+
+@query("information_coefficients")
+def information_coefficients(m: Market) -> DataFrame:
+    return tidy(m.ic, ic=8)
+
+
+@query("trailing_ic_weights")
+def trailing_ic_weights(m: Market) -> DataFrame:
+    return tidy(m.ic_weights, weight=8)
+
+
+@query("trailing_ic_weights_embargoed")
+def trailing_ic_weights_embargoed(m: Market) -> DataFrame:
+    s = m.settings
+    return tidy(X.trailing_ic_weights(m.ic, m.segments, m.factor_names, m.schedule, s.ic_lookback, s.ic_horizon), weight=8)
+
+
+@query("composite_scores")
+def composite_scores(m: Market) -> DataFrame:
+    return tidy(m.composite, composite=8)
+
+
+@query("composite_quantiles")
+def composite_quantiles(m: Market) -> DataFrame:
+    return tidy(X.composite_quantiles(m.composite, {"median": 0.5, "p75": 0.75}, m.n_symbols), median=8, p75=8)
+
+
+@query("exposure_differential")
+def exposure_differential(m: Market) -> DataFrame:
+    tilted = m.rule_weights.where("strategy = 'multi_factor'")
+    out = X.exposure_differential(tilted, m.cap_weights, m.composite)
+    return tidy(out, portfolio_exposure=8, benchmark_exposure=8, exposure_differential=8)
+
+
+# --- rule-based weights ------------------------------------------------------------------
+
+@query("quality_weights")
+def quality_weights(m: Market) -> DataFrame:
+    return tidy(m.rule_weights.where("strategy = 'quality'").drop("strategy"), weight=9)
+
+
+@query("tilt_weights")
+def tilt_weights(m: Market) -> DataFrame:
+    return tidy(m.rule_weights.where("strategy = 'multi_factor'").drop("strategy"), weight=9)
+
+
+@query("top_by_cap")
+def top_by_cap(m: Market) -> DataFrame:
+    return B.top_by_cap(m.members, m.start_caps, 10).drop("market_cap")
+
+
+@query("buckets_per_sector")
+def buckets_per_sector(m: Market) -> DataFrame:
+    return B.buckets_per_sector(m.members, m.sectors, 17)
+
+
+def _buckets(m: Market, n: int) -> DataFrame:
+    k = B.buckets_per_sector(m.members, m.sectors, n)
+    return B.size_buckets(m.members, m.start_caps, m.sectors, k, m.schedule, m.n_symbols)
+
+
+@query("size_buckets")
+def size_buckets(m: Market) -> DataFrame:
+    return _buckets(m, 17).drop("market_cap")
+
+
+@query("stratified_weights")
+def stratified_weights(m: Market) -> DataFrame:
+    return tidy(B.stratified_weights(_buckets(m, 17), m.schedule), weight=9)
+
+
+# --- valuation and performance -----------------------------------------------------------
+
+@query("holding_period_values")
+def holding_period_values(m: Market) -> DataFrame:
+    w = m.rule_weights.where("strategy = 'quality'")
+    growth = V.segment_growth(w, C.forward_fill(fixtures.gappy(m.prices), m.cal), m.segments, m.schedule, m.cal, normalize=True)
+    return tidy(growth, growth=9)
+
+
+@query("variant_values")
+def variant_values(m: Market) -> DataFrame:
+    return tidy(m.rule_values.drop("pos"), value=8)
+
+
+@query("variant_returns")
+def variant_returns(m: Market) -> DataFrame:
+    return tidy(m.rule_returns.drop("pos"), ret=9)
+
+
+@query("forward_tracking_error")
+def forward_tracking_error(m: Market) -> DataFrame:
+    """Tracking error of each stratified portfolio over its own next period."""
+    w = B.stratified_weights(_buckets(m, 17), m.schedule).withColumn("strategy", F.lit("stratified"))
+    growth = V.segment_growth(w, m.panel, m.segments, m.schedule, m.cal, normalize=True)
+    te = V.forward_tracking_error(growth, m.benchmark_returns, ["strategy"], m.settings.periods_per_year)
+    return tidy(te.drop("strategy"), tracking_error=8)
+
+
+@query("active_returns")
+def active_returns(m: Market) -> DataFrame:
+    pairs = G.align(m.rule_returns, m.benchmark_returns)
+    return tidy(pairs.select("strategy", "date", (F.col("ret") - F.col("bench_ret")).alias("active")), active=9)
+
+
+@query("tracking_summary")
+def tracking_summary(m: Market) -> DataFrame:
+    index = _index_returns(m)
+    out = G.tracking_summary(G.align(m.rule_returns, index), ("strategy",), m.settings.periods_per_year)
+    return tidy(out, tracking_error_annualized=8, mean_active_return_annualized=8, correlation=8, cumulative_active_return=7)
+
+
+def _index_returns(m: Market) -> DataFrame:
+    """Monthly returns of the index level, sampled on the trading calendar."""
+    levels = m.index_level.join(m.cal.hint(m.cal.rows), "date").select("ticker", "pos", "date", "close")
+    return levels.select("date", (F.try_divide(F.col("close"), C.shifted("close", -1, ["ticker"])) - 1).alias("ret")).where("ret IS NOT NULL")
+
+
+@query("strategy_summary")
+def strategy_summary(m: Market) -> DataFrame:
+    out = G.strategy_summary(m.rule_returns, m.benchmark_returns, m.settings.periods_per_year)
+    return tidy(out, annualized_return=8, annualized_vol=8, tracking_error_vs_full_replication=8, correlation=8)
+
+
+@query("performance_metrics")
+def performance_metrics(m: Market) -> DataFrame:
+    out = G.performance(m.rule_returns, periods_per_year=m.settings.periods_per_year)
+    return tidy(out, cagr=8, sharpe_ratio=8, sortino_ratio=8, max_drawdown=8, win_rate=8)
+
+
+@query("equity_metrics")
+def equity_metrics(m: Market) -> DataFrame:
+    out = G.equity_performance(m.rule_values, periods_per_year=m.settings.periods_per_year)
+    return tidy(out, cagr=8, sharpe_ratio=8, sortino_ratio=8, max_drawdown=8, win_rate=8)
+
+
+@raw_query("event_performance_metrics")
+def event_performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = G.performance(fixtures.event_returns(spark, sf_dir).drop("bench_ret"))
+    return tidy(out, cagr=7, sharpe_ratio=7, sortino_ratio=7, max_drawdown=8, win_rate=8)
+
+
+@query("running_drawdown")
+def running_drawdown(m: Market) -> DataFrame:
+    return tidy(G.running_drawdown(m.rule_values).select("strategy", "date", "peak", "drawdown"), peak=8, drawdown=8)
+
+
+@query("cumulative_growth")
+def cumulative_growth(m: Market) -> DataFrame:
+    return tidy(G.cumulative_growth(m.rule_returns).select("strategy", "date", "value"), value=8)
+
+
+@query("period_returns")
+def period_returns(m: Market) -> DataFrame:
+    return tidy(G.period_returns(m.prices, F.lit(60), F.lit(63)).where("ret IS NOT NULL"), ret=9)
+
+
+@raw_query("daily_returns_filled")
+def daily_returns_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices, cal, _ = _daily(spark, sf_dir)
+    return tidy(C.simple_returns(prices, cal, fill="ffill"), ret=9)
+
+
+@raw_query("daily_returns_unfilled")
+def daily_returns_unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices, cal, _ = _daily(spark, sf_dir)
+    return tidy(C.simple_returns(prices, cal), ret=9)
+
+
+_daily_panels: dict = {}
+
+
+def _daily(spark: SparkSession, sf_dir: str):
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir)
+    if key not in _daily_panels:
+        _daily_panels[key] = numbered_prices(fixtures.prices_daily(spark, sf_dir))
+    return _daily_panels[key]
+
+
+# --- regimes -----------------------------------------------------------------------------
+
+@query("rolling_vol")
+def rolling_vol(m: Market) -> DataFrame:
+    return tidy(m.labels.select("date", "vol"), vol=8)
+
+
+@query("regime_labels")
+def regime_labels(m: Market) -> DataFrame:
+    return m.labels.select("date", "label")
+
+
+@query("regime_thresholds")
+def regime_thresholds(m: Market) -> DataFrame:
+    return tidy(R.regime_thresholds(m.labels), low_quantile=8, high_quantile=8, low_threshold=8, high_threshold=8)
+
+
+@query("regime_day_counts")
+def regime_day_counts(m: Market) -> DataFrame:
+    return R.day_counts(m.labels)
+
+
+@query("current_regime")
+def current_regime(m: Market) -> DataFrame:
+    return R.current_regime(m.labels)
+
+
+def _regime_stats(m: Market) -> DataFrame:
+    return R.conditional_stats(m.rule_returns, m.labels, m.settings.min_regime_days, m.settings.periods_per_year)
+
+
+@query("regime_conditional")
+def regime_conditional(m: Market) -> DataFrame:
+    return tidy(_regime_stats(m), annualized_return=8, annualized_vol=8, sharpe_zero_rate=8)
+
+
+@query("regime_skipped")
+def regime_skipped(m: Market) -> DataFrame:
+    return R.skipped_regimes(m.rule_returns, m.labels, 24)
+
+
+@query("regime_pivot")
+def regime_pivot(m: Market) -> DataFrame:
+    return tidy(R.regime_pivot(_regime_stats(m), "annualized_return"), calm=8, normal=8, volatile=8)
+
+
+@query("regime_excess")
+def regime_excess(m: Market) -> DataFrame:
+    return tidy(R.regime_excess(_regime_stats(m), "quality"), excess_annualized_return=8)
+
+
+# --- costs -------------------------------------------------------------------------------
+
+@query("liquidity_at_end")
+def liquidity_at_end(m: Market) -> DataFrame:
+    return tidy(m.liquidity, vol=8, adv=4)
+
+
+@query("liquidity_last_valid")
+def liquidity_last_valid(m: Market) -> DataFrame:
+    s = m.settings
+    return tidy(K.latest_vol(m.prices, m.cal, s.vol_window, s.periods_per_year, last_valid=True), vol=8)
+
+
+@query("liquidity_at_rebalance")
+def liquidity_at_rebalance(m: Market) -> DataFrame:
+    s = m.settings
+    out = K.liquidity_at_rebalance(m.prices, m.segments, m.cal, s.volume_window, s.vol_window, s.periods_per_year)
+    return tidy(out, vol=8, adv=4)
+
+
+@query("weight_changes")
+def weight_changes(m: Market) -> DataFrame:
+    return tidy(m.changes_of(m.rule_weights), weight=9, dw=9)
+
+
+@query("turnover")
+def turnover(m: Market) -> DataFrame:
+    return tidy(K.turnover(m.changes_of(m.rule_weights)), two_way_turnover=8, one_way_turnover=8)
+
+
+@query("portfolio_metadata")
+def portfolio_metadata(m: Market) -> DataFrame:
+    out = K.portfolio_metadata(K.turnover(m.changes_of(m.rule_weights)))
+    return tidy(out, name_count=8, mean_one_way_turnover=8)
+
+
+@query("symbol_costs")
+def symbol_costs(m: Market) -> DataFrame:
+    w = m.rule_weights.where("strategy = 'quality'")
+    out = K.symbol_costs(m.changes_of(w), m.liquidity, 1e7)
+    return tidy(out, trade_value=2, participation_rate=6, cost_fraction=7, dollar_cost=1)
+
+
+@query("rebalance_costs")
+def rebalance_costs(m: Market) -> DataFrame:
+    out = m.rule_costs.withColumn("dollar_cost", F.col("dollar_cost") / F.col("aum"))
+    return tidy(out, cost_fraction=7, dollar_cost=7)
+
+
+@query("cost_adjusted_returns")
+def cost_adjusted_returns(m: Market) -> DataFrame:
+    return tidy(m.rule_adjusted.drop("pos"), ret=7, gross_ret=8)
+
+
+@query("mean_rebalance_costs")
+def mean_rebalance_costs(m: Market) -> DataFrame:
+    return tidy(K.mean_costs(m.rule_costs), mean_rebalance_cost_frac=7)
+
+
+def _capacity(m: Market) -> DataFrame:
+    s = m.settings
+    gross = m.rule_returns.groupBy("strategy").agg((F.pow(1 + F.avg("ret"), F.lit(float(s.periods_per_year))) - 1).alias("gross_return"))
+    changes = m.changes_of(m.rule_weights)
+    last = K.last_two_held(m.rule_weights, "multi_factor").select("t_curr").scalar()
+    changes = changes.where(F.col("rebalance_date") == last)
+    return K.capacity_table(changes, K.trade_costs(changes, m.liquidity, s.aums, s.impact_y), gross)
+
+
+@query("capacity_ranking")
+def capacity_ranking(m: Market) -> DataFrame:
+    return tidy(_capacity(m), turnover=8, rebalance_cost_fraction=7, annualized_cost_drag=7, gross_return=8, net_return=7)
+
+
+@query("last_two_held")
+def last_two_held(m: Market) -> DataFrame:
+    return K.last_two_held(m.rule_weights, "multi_factor")
+
+
+# --- attribution and limits --------------------------------------------------------------
+
+def _attribution_inputs(m: Market):
+    """Tilted portfolio against cap weights over its last full holding period."""
+    spans = m.rule_weights.where("strategy = 'multi_factor'").select("rebalance_date").distinct().join(
+        m.segments.select("rebalance_date", "sp"), "rebalance_date"
+    )
+    last = spans.agg(
+        F.sort_array(F.collect_list(F.struct("rebalance_date", "sp")), asc=False).alias("a")  # one entry per rebalance
+    )
+    pick = last.select(F.struct(
+        F.col("a")[1].rebalance_date.alias("d"), F.col("a")[1].sp.alias("first"), F.col("a")[0].sp.alias("last")
+    ).alias("p"))
+    portfolio = m.rule_weights.where("strategy = 'multi_factor'").withColumn("p", pick.scalar()).where("rebalance_date = p.d")
+    benchmark = m.cap_weights.withColumn("p", pick.scalar()).where("rebalance_date = p.d")
+    ends = m.prices.withColumn("p", pick.scalar())
+    returns = G.period_returns(ends, F.col("p.first"), F.col("p.last"))
+    return portfolio, benchmark, returns, m.sectors
+
+
+@query("attribution_by_sector")
+def attribution_by_sector(m: Market) -> DataFrame:
+    out = L.attribution_by_sector(*_attribution_inputs(m))
+    return tidy(out, **{c: 8 for c in out.columns if c != "sector"})
+
+
+@query("attribution_totals")
+def attribution_totals(m: Market) -> DataFrame:
+    out = L.attribution_totals(L.attribution_by_sector(*_attribution_inputs(m)))
+    return tidy(out, **{c: 8 for c in out.columns if c != "reconciles"})
+
+
+@query("attribution_excluded")
+def attribution_excluded(m: Market) -> DataFrame:
+    return tidy(L.attribution_excluded(*_attribution_inputs(m)), weight=9)
+
+
+@query("relative_values")
+def relative_values(m: Market) -> DataFrame:
+    out = L.relative_drawdowns(G.align(m.rule_returns, m.benchmark_returns)).select("strategy", "date", "value", "drawdown")
+    return tidy(out, value=8, drawdown=8)
+
+
+@query("limit_checks")
+def limit_checks(m: Market) -> DataFrame:
+    s = m.settings
+    pairs = G.align(m.rule_adjusted, m.benchmark_returns)
+    out = L.limit_checks(pairs, ("strategy", "aum"), s.te_limit, s.drawdown_limit, s.periods_per_year)
+    out = out.withColumn("trigger_reasons", F.array_join("trigger_reasons", ","))
+    return tidy(out, tracking_error=7, max_relative_drawdown=7)
+
+
+@raw_query("sticky_limit_switch")
+def sticky_limit_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily limit checks on event returns; the 16th of the month resets every switch."""
+    checks = L.daily_checks(fixtures.event_returns(spark, sf_dir), te_limit=0.05, drawdown_limit=0.004)
+    out = L.sticky_switch(checks.withColumn("reset", F.dayofmonth("date") == 16), reset="reset")
+    return tidy(out.drop("ret", "bench_ret"), tracking_error=8, max_relative_drawdown=8)
+
+
+# --- bootstrap and comparison ------------------------------------------------------------
+
+@raw_query("bootstrap_indices")
+def bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = BS.collect_series(fixtures.event_returns(spark, sf_dir), ["strategy"])
+    return BS.resample_indices(series, ["strategy"], 7, 20, source="lcg")
+
+
+@raw_query("bootstrap_resamples")
+def bootstrap_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = BS.resample_rows(fixtures.event_returns(spark, sf_dir), ["strategy"], 7, 20, source="lcg")
+    return tidy(out, ret=9, bench_ret=9)
+
+
+@query("bootstrap_metrics")
+def bootstrap_metrics(m: Market) -> DataFrame:
+    s = m.settings
+    pairs = G.align(m.rule_adjusted, m.benchmark_returns)
+    out = BS.bootstrap_metrics(
+        pairs, ["strategy", "aum"], s.block_length, s.n_resamples, s.confidence, source="lcg", periods_per_year=s.periods_per_year
+    )
+    return tidy(out, point_estimate=6, ci_low=6, ci_high=6, confidence_level=6)
+
+
+@query("beating_benchmark")
+def beating_benchmark(m: Market) -> DataFrame:
+    point = G.performance(m.rule_adjusted, ("strategy", "aum"), periods_per_year=m.settings.periods_per_year)
+    out = Q.beating_benchmark(point)
+    return tidy(out.withColumn("beating", F.array_join("beating", ",")), benchmark_value=7)
+
+
+def _comparison(m: Market) -> DataFrame:
+    s = m.settings
+    metadata = K.portfolio_metadata(K.turnover(m.changes_of(m.rule_weights_all)))
+    return Q.comparison_table(
+        m.rule_adjusted, m.benchmark_returns, m.labels, metadata, s.block_length, s.n_resamples, s.confidence, source="lcg",
+        periods_per_year=s.periods_per_year,
+    )
+
+
+@query("comparison_table")
+def comparison_table(m: Market) -> DataFrame:
+    out = _comparison(m)
+    doubles = [f.name for f in out.schema.fields if f.dataType.simpleString() == "double" and f.name != "aum"]
+    return tidy(out, **{c: 6 for c in doubles})
+
+
+@query("best_strategy_by_aum")
+def best_strategy_by_aum(m: Market) -> DataFrame:
+    return tidy(Q.best_by_aum(_comparison(m)), cost_adjusted_return=6)
+
+
+@query("findings")
+def findings(m: Market) -> DataFrame:
+    return Q.findings(_comparison(m))
