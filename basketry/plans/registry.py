@@ -38,8 +38,8 @@ def raw_query(name: str):
 
 
 def tidy(df: DataFrame, **digits: int) -> DataFrame:
-    """Round the named double columns."""
-    return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    """Round the named double columns; adding zero turns a negative zero into a plain one."""
+    return df.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()})
 
 
 # --- panels, calendar, joins -------------------------------------------------------------

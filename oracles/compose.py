@@ -22,4 +22,7 @@ def statement(final: str) -> str:
     if not ordered:
         return final.strip()
     body = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in ordered)
-    return f"WITH {body}\n{final.strip()}"
+    final = final.strip()
+    if final.startswith("WITH "):
+        return f"WITH {body},\n{final[5:]}"
+    return f"WITH {body}\n{final}"

@@ -36,4 +36,206 @@ SELECT round(min(coverage_fraction), 9) AS min_coverage, round(max(coverage_frac
 FINALS["cap_weights"] = "SELECT rebalance_date, symbol, round(weight, 9) AS weight FROM w_cap"
 FINALS["equal_weights"] = "SELECT rebalance_date, symbol, round(weight, 9) AS weight FROM w_equal"
 FINALS["replication_values"] = """
-SELECT v.date, round(v.value, 9) AS value, round(r.ret, 9) AS ret FROM rep_values v LEFT JOIN rep_returns r ON r.pos = v.pos"""
+SELECT v.date, round(v.value, 9) AS value, round(r.ret, 9) + 0.0::DOUBLE AS ret FROM rep_values v LEFT JOIN rep_returns r ON r.pos = v.pos"""
+
+
+def rounded(view: str, keys: str, **digits: int) -> str:
+    cols = ", ".join(f"round({c}, {d}) + 0.0::DOUBLE AS {c}" for c, d in digits.items())
+    return f"SELECT {keys}, {cols} FROM {view}"
+
+
+FINALS["momentum_scores"] = rounded("mom_z", "symbol, pos", score=8)
+FINALS["low_vol_scores"] = rounded("lowvol_z", "symbol, pos", score=8)
+FINALS["value_scores"] = rounded("value_z", "symbol, pos", score=8)
+FINALS["quality_scores"] = rounded("quality_z", "symbol", score=8)
+FINALS["snapshot_zscore"] = "SELECT symbol, round(z2, 8) AS zscore FROM quality_parts"
+FINALS["forward_returns"] = rounded("fwd", "symbol, pos", fwd=9)
+FINALS["information_coefficients"] = rounded("ic_series", "factor, pos, n_names", ic=8)
+FINALS["trailing_ic_weights"] = rounded("ic_w", "rebalance_date, factor", weight=8)
+FINALS["trailing_ic_weights_embargoed"] = rounded("ic_w_embargo", "rebalance_date, factor", weight=8)
+FINALS["composite_scores"] = rounded("composite", "rebalance_date, symbol", composite=8)
+FINALS["composite_quantiles"] = """
+SELECT rebalance_date, round(quantile_cont(composite, 0.5), 8) AS median, round(quantile_cont(composite, 0.75), 8) AS p75
+FROM composite GROUP BY 1"""
+FINALS["exposure_differential"] = """
+SELECT rebalance_date, round(p, 8) AS portfolio_exposure, round(b, 8) AS benchmark_exposure, round(p - b, 8) AS exposure_differential FROM (
+  SELECT k.rebalance_date, sum(t.weight * k.composite) / nullif(sum(t.weight), 0) AS p, sum(c.weight * k.composite) / nullif(sum(c.weight), 0) AS b
+  FROM composite k LEFT JOIN w_tilt t ON t.rebalance_date = k.rebalance_date AND t.symbol = k.symbol
+  LEFT JOIN w_cap c ON c.rebalance_date = k.rebalance_date AND c.symbol = k.symbol
+  WHERE t.weight IS NOT NULL OR c.weight IS NOT NULL GROUP BY 1) q"""
+
+FINALS["quality_weights"] = rounded("w_quality", "rebalance_date, symbol", weight=9)
+FINALS["tilt_weights"] = rounded("w_tilt", "rebalance_date, symbol", weight=9)
+FINALS["top_by_cap"] = "SELECT rebalance_date, symbol, cap_rank FROM top10"
+FINALS["buckets_per_sector"] = "SELECT rebalance_date, k FROM sector_k"
+FINALS["size_buckets"] = "SELECT rebalance_date, gics_sector, symbol, tier FROM buckets"
+FINALS["stratified_weights"] = rounded("w_strat", "rebalance_date, symbol", weight=9)
+
+FINALS["holding_period_values"] = """
+WITH raw AS (
+  SELECT w.strategy, g.rebalance_date, d.pos, sum(w.weight * d.close / o.close) AS growth
+  FROM seg g JOIN w_rule w ON w.rebalance_date = g.rebalance_date AND w.strategy = 'quality'
+  JOIN px_gappy o ON o.symbol = w.symbol AND o.pos = g.sp AND o.close <> 0
+  JOIN filled_gappy d ON d.symbol = w.symbol AND d.pos BETWEEN g.sp AND g.ep GROUP BY 1, 2, 3)
+SELECT strategy, rebalance_date, pos, round(growth / first_value(growth) OVER (PARTITION BY rebalance_date ORDER BY pos), 9) AS growth FROM raw"""
+FINALS["variant_values"] = rounded("rule_values", "strategy, date", value=8)
+FINALS["variant_returns"] = rounded("rule_returns", "strategy, date", ret=9)
+FINALS["forward_tracking_error"] = """
+WITH raw AS (
+  SELECT g.rebalance_date, d.pos, sum(w.weight * d.close / o.close) AS v
+  FROM seg g JOIN w_strat w ON w.rebalance_date = g.rebalance_date
+  JOIN px o ON o.symbol = w.symbol AND o.pos = g.sp JOIN filled d ON d.symbol = w.symbol AND d.pos BETWEEN g.sp AND g.ep GROUP BY 1, 2),
+ret AS (SELECT rebalance_date, pos, v / lag(v) OVER (PARTITION BY rebalance_date ORDER BY pos) - 1 AS r FROM raw)
+SELECT a.rebalance_date, round(stddev_samp(a.r - b.ret) * sqrt(12), 8) AS tracking_error
+FROM ret a JOIN rep_returns b ON b.pos = a.pos WHERE a.r IS NOT NULL GROUP BY 1"""
+FINALS["active_returns"] = "SELECT strategy, date, round(ret - bench_ret, 9) + 0.0::DOUBLE AS active FROM rule_pairs"
+FINALS["tracking_summary"] = """
+SELECT r.strategy, round(stddev_samp(r.ret - i.ret) * sqrt(12), 8) AS tracking_error_annualized,
+  round(avg(r.ret - i.ret) * 12, 8) AS mean_active_return_annualized, round(corr(r.ret, i.ret), 8) AS correlation, count(*) AS n_periods,
+  round(product(1 + r.ret) - product(1 + i.ret), 7) AS cumulative_active_return
+FROM rule_returns r JOIN index_returns i ON i.date = r.date GROUP BY 1"""
+FINALS["strategy_summary"] = """
+SELECT a.*, b.tracking_error_vs_full_replication, b.correlation FROM (
+  SELECT strategy, round(pow(1 + avg(ret), 12) - 1, 8) AS annualized_return, round(stddev_samp(ret) * sqrt(12), 8) AS annualized_vol,
+    count(*) AS n_days FROM rule_returns GROUP BY 1) a
+JOIN (SELECT strategy, round(stddev_samp(ret - bench_ret) * sqrt(12), 8) AS tracking_error_vs_full_replication,
+    round(corr(ret, bench_ret), 8) AS correlation FROM rule_pairs GROUP BY 1) b ON b.strategy = a.strategy"""
+
+
+def performance(src: str, ppy: int, digits: int = 8, extra: str = "") -> str:
+    return f"""
+WITH v AS (SELECT strategy, date, ret, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date) AS v FROM {src}),
+d AS (SELECT *, 1 - v / greatest(1, max(v) OVER (PARTITION BY strategy ORDER BY date)) AS dd FROM v)
+SELECT strategy, round(pow(product(1 + ret), {ppy}.0 / (count(*) + 1)) - 1, {digits}) AS cagr,
+  round(avg(ret) / stddev_samp(ret) * sqrt({ppy}), {digits}) AS sharpe_ratio,
+  round(avg(ret) / stddev_samp(ret) FILTER (WHERE ret < 0) * sqrt({ppy}), {digits}) AS sortino_ratio,
+  round(max(dd), 8) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 8) AS win_rate FROM d GROUP BY 1"""
+
+
+FINALS["performance_metrics"] = performance("rule_returns", 12)
+FINALS["event_performance_metrics"] = performance("fx_returns", 252, 7)
+FINALS["equity_metrics"] = """
+WITH r AS (SELECT strategy, date, value, value / lag(value) OVER (PARTITION BY strategy ORDER BY date) - 1 AS ret,
+  1 - value / max(value) OVER (PARTITION BY strategy ORDER BY date) AS dd FROM rule_values)
+SELECT strategy, round(pow(arg_max(value, date) / arg_min(value, date), 12.0 / count(*)) - 1, 8) AS cagr,
+  round(avg(ret) / stddev_samp(ret) * sqrt(12), 8) AS sharpe_ratio,
+  round(avg(ret) / stddev_samp(ret) FILTER (WHERE ret < 0) * sqrt(12), 8) AS sortino_ratio,
+  round(max(dd), 8) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END), 8) AS win_rate FROM r GROUP BY 1"""
+FINALS["running_drawdown"] = """
+SELECT strategy, date, round(p, 8) AS peak, round(1 - value / p, 8) AS drawdown
+FROM (SELECT *, max(value) OVER (PARTITION BY strategy ORDER BY date) AS p FROM rule_values) q"""
+FINALS["cumulative_growth"] = """
+SELECT strategy, date, round(product(1 + ret) OVER (PARTITION BY strategy ORDER BY date), 8) AS value FROM rule_returns"""
+FINALS["period_returns"] = """
+SELECT a.symbol, round(b.close / a.close - 1, 9) AS ret FROM px a JOIN px b ON a.symbol = b.symbol WHERE a.pos = 60 AND b.pos = 63"""
+FINALS["daily_returns_unfilled"] = """
+SELECT a.symbol, a.pos, round(a.close / b.close - 1, 9) AS ret FROM px_daily a JOIN px_daily b ON a.symbol = b.symbol AND b.pos = a.pos - 1
+WHERE b.close <> 0"""
+FINALS["daily_returns_filled"] = """
+WITH f AS (SELECT g.symbol, g.pos, p.close FROM (SELECT s.symbol, c.pos FROM (SELECT DISTINCT symbol FROM px_daily) s CROSS JOIN cal_daily c) g
+  ASOF JOIN px_daily p ON p.symbol = g.symbol AND p.pos <= g.pos)
+SELECT a.symbol, a.pos, round(a.close / b.close - 1, 9) AS ret FROM f a JOIN f b ON a.symbol = b.symbol AND b.pos = a.pos - 1 WHERE b.close <> 0"""
+
+FINALS["rolling_vol"] = "SELECT date, round(vol, 8) AS vol FROM regimes"
+FINALS["regime_labels"] = "SELECT date, label FROM regimes"
+FINALS["regime_thresholds"] = """
+SELECT round(1.0::DOUBLE/3, 8) AS low_quantile, round(2.0::DOUBLE/3, 8) AS high_quantile, round(lo, 8) AS low_threshold, round(hi, 8) AS high_threshold FROM vol_cuts"""
+FINALS["regime_day_counts"] = "SELECT label, count(*) AS n_days FROM regimes WHERE label IS NOT NULL GROUP BY 1"
+FINALS["current_regime"] = "SELECT arg_max(label, date) AS current_regime FROM regimes WHERE label IS NOT NULL"
+FINALS["regime_conditional"] = rounded("regime_stats", "strategy, regime, n_days", annualized_return=8, annualized_vol=8, sharpe_zero_rate=8)
+FINALS["regime_skipped"] = """
+SELECT strategy, regime, n_days, printf('%s: only %d days (< %d) -- skipped, too few observations.', regime, n_days, 24) AS note
+FROM regime_stats_all WHERE n_days < 24"""
+FINALS["regime_pivot"] = """
+SELECT strategy, round(max(annualized_return) FILTER (WHERE regime = 'calm'), 8) AS calm, round(max(annualized_return) FILTER (WHERE regime = 'normal'), 8) AS normal,
+  round(max(annualized_return) FILTER (WHERE regime = 'volatile'), 8) AS volatile FROM regime_stats GROUP BY 1"""
+FINALS["regime_excess"] = """
+SELECT a.regime, round(a.annualized_return - b.annualized_return, 8) AS excess_annualized_return FROM regime_stats a JOIN regime_stats b ON a.regime = b.regime
+WHERE a.strategy = 'quality' AND b.strategy = 'full_replication'"""
+
+FINALS["liquidity_at_end"] = rounded("liq_end", "symbol", vol=8, adv=4)
+FINALS["liquidity_last_valid"] = """
+SELECT s.symbol, round(v.vol, 8) AS vol FROM (SELECT DISTINCT symbol FROM px) s
+LEFT JOIN (SELECT symbol, arg_max(vol, pos) AS vol FROM px_vol WHERE vol IS NOT NULL GROUP BY 1) v ON v.symbol = s.symbol"""
+FINALS["liquidity_at_rebalance"] = """
+SELECT g.rebalance_date, p.symbol, round(avg(p.close * p.volume), 4) AS adv, round(max(v.vol) FILTER (WHERE p.pos = g.sp), 8) AS vol
+FROM seg g JOIN px p ON p.pos BETWEEN g.sp - 5 AND g.sp JOIN px_vol v ON v.symbol = p.symbol AND v.pos = p.pos GROUP BY 1, 2"""
+FINALS["weight_changes"] = """
+SELECT strategy, rebalance_date, symbol, round(weight, 9) AS weight, round(dw, 9) + 0.0::DOUBLE AS dw FROM dw_all WHERE strategy <> 'full_replication'"""
+FINALS["turnover"] = """
+SELECT strategy, rebalance_date, n_holdings, round(two_way_turnover, 8) AS two_way_turnover, round(one_way_turnover, 8) AS one_way_turnover
+FROM turns WHERE strategy <> 'full_replication'"""
+FINALS["portfolio_metadata"] = """
+SELECT strategy, round(name_count, 8) AS name_count, round(mean_one_way_turnover, 8) AS mean_one_way_turnover FROM metadata WHERE strategy <> 'full_replication'"""
+FINALS["symbol_costs"] = """
+SELECT d.strategy, d.rebalance_date, d.symbol, round(d.dw * 1e7, 2) AS trade_value,
+  round(CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN abs(d.dw * 1e7) / l.adv END, 6) AS participation_rate,
+  round(CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN l.vol * sqrt(abs(d.dw * 1e7) / l.adv) END, 7) AS cost_fraction,
+  round(CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN abs(d.dw * 1e7) * l.vol * sqrt(abs(d.dw * 1e7) / l.adv) END, 1) AS dollar_cost,
+  NOT coalesce(l.adv > 0 AND l.vol IS NOT NULL, FALSE) AS excluded
+FROM dw_all d LEFT JOIN liq_end l ON l.symbol = d.symbol WHERE abs(d.dw) >= 1e-12 AND d.strategy = 'quality'"""
+FINALS["rebalance_costs"] = """
+SELECT strategy, rebalance_date, aum, round(cost_fraction, 7) AS cost_fraction, round(cost_fraction, 7) AS dollar_cost, n_priced, n_excluded FROM costs"""
+FINALS["cost_adjusted_returns"] = "SELECT strategy, aum, date, round(ret, 7) + 0.0::DOUBLE AS ret, round(gross_ret, 8) + 0.0::DOUBLE AS gross_ret FROM adjusted"
+FINALS["mean_rebalance_costs"] = "SELECT strategy, aum, round(avg(cost_fraction), 7) AS mean_rebalance_cost_frac FROM costs GROUP BY 1, 2"
+FINALS["capacity_ranking"] = """
+WITH last_date AS (SELECT max(rebalance_date) AS d FROM w_tilt),
+c AS (SELECT k.strategy, k.rebalance_date, k.aum, t.n_holdings_6 AS n_holdings, t.turnover, k.cost_fraction, 4 * k.cost_fraction AS drag, g.gross_return,
+  g.gross_return - 4 * k.cost_fraction AS net
+  FROM costs k JOIN last_date l ON l.d = k.rebalance_date
+  JOIN (SELECT strategy, rebalance_date, CAST(count(*) FILTER (WHERE abs(weight) > 1e-6) AS BIGINT) AS n_holdings_6, sum(abs(dw)) AS turnover FROM dw_all GROUP BY 1, 2) t
+    ON t.strategy = k.strategy AND t.rebalance_date = k.rebalance_date
+  JOIN gross_annual g ON g.strategy = k.strategy WHERE k.strategy <> 'full_replication')
+SELECT strategy, rebalance_date, aum, n_holdings, round(turnover, 8) AS turnover, round(cost_fraction, 7) AS rebalance_cost_fraction,
+  round(drag, 7) AS annualized_cost_drag, round(gross_return, 8) AS gross_return, round(net, 7) AS net_return,
+  row_number() OVER (PARTITION BY aum ORDER BY net DESC, strategy) AS net_rank FROM c"""
+FINALS["last_two_held"] = """
+SELECT (SELECT max(rebalance_date) FROM w_tilt WHERE rebalance_date < (SELECT max(rebalance_date) FROM w_tilt)) AS t_prev, (SELECT max(rebalance_date) FROM w_tilt) AS t_curr"""
+
+_ATTR = "portfolio_weight benchmark_weight portfolio_return benchmark_return allocation selection interaction total_portfolio_return total_benchmark_return"
+FINALS["attribution_by_sector"] = rounded("attr", "sector", **{c: 8 for c in _ATTR.split()})
+FINALS["attribution_totals"] = """
+SELECT round(sum(allocation), 8) AS allocation, round(sum(selection), 8) AS selection, round(sum(interaction), 8) AS interaction,
+  round(max(total_portfolio_return), 8) AS portfolio_return, round(max(total_benchmark_return), 8) AS benchmark_return,
+  round(max(total_portfolio_return) - max(total_benchmark_return), 8) AS total_active_return,
+  abs(sum(allocation) + sum(selection) + sum(interaction) - (max(total_portfolio_return) - max(total_benchmark_return))) < 1e-9 AS reconciles FROM attr"""
+FINALS["attribution_excluded"] = "SELECT symbol, round(wp, 9) AS weight FROM attr_rows WHERE gics_sector IS NULL OR ret IS NULL"
+FINALS["relative_values"] = """
+SELECT strategy, date, round(value, 8) AS value, round(1 - value / greatest(1, max(value) OVER (PARTITION BY strategy ORDER BY date)), 8) AS drawdown FROM rel"""
+FINALS["limit_checks"] = """
+SELECT strategy, aum, round(te, 7) AS tracking_error, round(dd, 7) AS max_relative_drawdown, te > 0.2 AS te_breached, dd > 0.1 AS drawdown_breached,
+  te > 0.2 OR dd > 0.1 AS triggered, concat_ws(',', CASE WHEN te > 0.2 THEN 'tracking_error' END, CASE WHEN dd > 0.1 THEN 'relative_drawdown' END) AS trigger_reasons
+FROM (SELECT strategy, aum, stddev_samp(ret - bench_ret) * sqrt(12) AS te, max(drawdown) AS dd FROM rel_adj_dd GROUP BY 1, 2) q"""
+FINALS["sticky_limit_switch"] = """
+SELECT strategy, date, round(te, 8) AS tracking_error, round(mdd, 8) AS max_relative_drawdown, te_b AS te_breached, dd_b AS drawdown_breached, reset,
+  te_first IS NOT NULL OR dd_first IS NOT NULL AS triggered,
+  CASE WHEN te_first IS NULL AND dd_first IS NULL THEN '' WHEN te_first IS NULL THEN 'relative_drawdown' WHEN dd_first IS NULL THEN 'tracking_error'
+       WHEN te_first <= dd_first THEN 'tracking_error,relative_drawdown' ELSE 'relative_drawdown,tracking_error' END AS reasons FROM ev_first"""
+
+FINALS["bootstrap_indices"] = "SELECT strategy, resample, k, idx FROM ev_idx"
+FINALS["bootstrap_resamples"] = """
+SELECT i.strategy, i.resample, i.k, i.idx, round(n.ret, 9) AS ret, round(n.bench_ret, 9) AS bench_ret
+FROM ev_idx i JOIN ev_numbered n ON n.strategy = i.strategy AND n.i = i.idx"""
+FINALS["bootstrap_metrics"] = "\nUNION ALL ".join(
+    f"""SELECT p.strategy, p.aum, '{m}' AS metric, round(p.{m}, 6) AS point_estimate, round(c.lo_{m}, 6) AS ci_low, round(c.hi_{m}, 6) AS ci_high,
+  CAST(200 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level FROM bs_point p JOIN bs_ci c ON c.strategy = p.strategy AND c.aum = p.aum"""
+    for m in ("cagr", "sharpe_ratio", "sortino_ratio", "max_drawdown", "win_rate", "tracking_error")
+)
+FINALS["beating_benchmark"] = """
+WITH c AS (SELECT strategy, aum, pow(product(1 + ret), 12.0 / (count(*) + 1)) - 1 AS cagr FROM adjusted GROUP BY 1, 2),
+b AS (SELECT aum, cagr AS bc FROM c WHERE strategy = 'full_replication')
+SELECT b.aum, round(bc, 7) AS benchmark_value, coalesce(string_agg(c.strategy, ',' ORDER BY c.strategy) FILTER (WHERE c.cagr > b.bc), '') AS beating
+FROM b JOIN c ON c.aum = b.aum AND c.strategy <> 'full_replication' GROUP BY 1, 2"""
+_CMP = ("name_count mean_one_way_turnover gross_annualized_return cost_adjusted_return cost_adjusted_return_ci_low cost_adjusted_return_ci_high "
+        "sharpe sharpe_ci_low sharpe_ci_high tracking_error tracking_error_ci_low tracking_error_ci_high")
+FINALS["comparison_table"] = rounded("comparison", "strategy, strategy_family, aum, regime, n_days", **{c: 6 for c in _CMP.split()})
+FINALS["best_strategy_by_aum"] = """
+SELECT aum, arg_max(strategy, cost_adjusted_return) AS best_strategy, round(max(cost_adjusted_return), 6) AS cost_adjusted_return
+FROM comparison WHERE regime = 'all' GROUP BY 1"""
+FINALS["findings"] = """
+WITH o AS (SELECT * FROM comparison WHERE regime = 'all'),
+b AS (SELECT aum, cost_adjusted_return AS r FROM o WHERE strategy = 'full_replication'),
+w AS (SELECT aum, arg_max(strategy, cost_adjusted_return) AS s, max(cost_adjusted_return) AS r FROM o WHERE strategy_family = 'smart_beta' GROUP BY 1)
+SELECT row_number() OVER (ORDER BY w.aum) AS seq, 'At $' || format('{:,}', CAST(w.aum AS BIGINT)) || ' AUM, ' || w.s ||
+  CASE WHEN w.r > b.r THEN ' beat' ELSE ' did not beat' END || ' full replication after costs (' || printf('%+.2f%%', 100 * (w.r - b.r)) || ' annualized difference).' AS text
+FROM w JOIN b ON b.aum = w.aum"""

@@ -26,7 +26,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else v
+        return "nan" if math.isnan(v) else ("-0" if v == 0 and math.copysign(1, v) < 0 else v)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
