@@ -70,10 +70,18 @@ def chain_segments(growth: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
+FLAT = 1e-12  # summation noise: a carried value that should not have moved
+
+
 def value_returns(values: DataFrame) -> DataFrame:
-    """``(strategy, pos, date, ret)`` between consecutive valued days of each strategy."""
+    """``(strategy, pos, date, ret)`` between consecutive valued days of each strategy.
+
+    Moves below ``FLAT`` are exact zeros, so that win rates and downside deviations do
+    not depend on the order in which a carried value was summed.
+    """
     before = F.lag("value").over(W.partitionBy("strategy").orderBy("pos"))
-    return values.select("strategy", "pos", "date", (ratio("value", before) - 1).alias("ret")).where("ret IS NOT NULL")
+    move = ratio("value", before) - 1
+    return values.select("strategy", "pos", "date", F.when(F.abs(move) < FLAT, 0.0).otherwise(move).alias("ret")).where("ret IS NOT NULL")
 
 
 def simulate(

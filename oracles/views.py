@@ -176,7 +176,8 @@ SELECT c.pos, c.date, v.value FROM (
   FROM rep_growth g JOIN rep_base b ON b.rebalance_date = g.rebalance_date GROUP BY 1) v JOIN cal c ON c.pos = v.pos"""
 
 VIEWS["rep_returns"] = """
-SELECT * FROM (SELECT pos, date, value / nullif(lag(value) OVER (ORDER BY pos), 0) - 1 AS ret FROM rep_values) q
+SELECT pos, date, CASE WHEN abs(ret) < 1e-12 THEN 0 ELSE ret END AS ret
+FROM (SELECT pos, date, value / nullif(lag(value) OVER (ORDER BY pos), 0) - 1 AS ret FROM rep_values) q
 WHERE ret IS NOT NULL"""
 
 # --- factors (momentum 12/1, low-vol 6, IC horizon 1, IC lookback 6, 12 periods a year) ----
@@ -336,7 +337,7 @@ SELECT v.strategy, c.pos, c.date, v.value FROM (
 JOIN cal c ON c.pos = v.pos"""
 
 VIEWS["rule_returns"] = """
-SELECT * FROM (SELECT strategy, pos, date, value / nullif(lag(value) OVER (PARTITION BY strategy ORDER BY pos), 0) - 1 AS ret
+SELECT strategy, pos, date, CASE WHEN abs(ret) < 1e-12 THEN 0 ELSE ret END AS ret FROM (SELECT strategy, pos, date, value / nullif(lag(value) OVER (PARTITION BY strategy ORDER BY pos), 0) - 1 AS ret
   FROM rule_values) q WHERE ret IS NOT NULL
 UNION ALL SELECT 'full_replication', pos, date, ret FROM rep_returns"""
 
