@@ -196,6 +196,10 @@ def _arrays(pdf: pd.DataFrame, days: np.ndarray, scale: float):
     return x, (pdf["f"].to_numpy(float) if "f" in pdf else zero), (pdf["q"].to_numpy(float) if "q" in pdf else zero)
 
 
+def _nothing(schema: StructType) -> pd.DataFrame:
+    return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
+
+
 def _weight_schema(names: DataFrame, keys: Sequence[str]) -> StructType:
     return StructType([names.schema[k] for k in keys] + [StructField("symbol", StringType()), StructField("weight", DoubleType())])
 
@@ -217,7 +221,7 @@ def solve_quadratic(
     specs = materialize(specs, "specs")  # a row per problem; also keeps the two sides of the cogroup apart
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({f.name: [] for f in schema.fields})
+        empty = _nothing(schema)
         if pdf.empty or spec_pdf.empty:
             return empty
         row = spec_pdf.iloc[0]
@@ -341,7 +345,7 @@ def _lasso_groups(names: DataFrame, specs: DataFrame, targets: Sequence[int], n_
     schema = StructType([date, StructField("target_n", LongType()), StructField("symbol", StringType()), StructField("weight", DoubleType())])
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({f.name: [] for f in schema.fields})]
+        parts = [_nothing(schema)]
         if not pdf.empty and not spec_pdf.empty:
             pdf = pdf.sort_values("symbol")
             _, coefficients, _ = _lasso_path_of(pdf, spec_pdf.iloc[0], n_alphas, eps)
@@ -375,7 +379,7 @@ def _lasso_by_working_set(names: DataFrame, benchmark: DataFrame, targets, lookb
 
     def path(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or spec_pdf.empty:
-            return pd.DataFrame({f.name: [] for f in path_schema.fields})
+            return _nothing(path_schema)
         row = spec_pdf.iloc[0]
         alphas, _, resid = _lasso_path_of(pdf.sort_values("symbol"), row, n_alphas, eps)
         days = np.flatnonzero([v is not None and not np.isnan(v) for v in row["b"]])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from basketry.functions.columns import clip
 from basketry.sizing import Schedule, position_in_group, share_of_group
@@ -54,8 +54,6 @@ def top_by_cap(members: DataFrame, start_caps: DataFrame, n: int) -> DataFrame:
     ``row_number() <= n`` is pruned to ``n`` rows per group inside every task before
     the shuffle, so the final sort sees few rows however large the universe is.
     """
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(*KEYS).orderBy(F.desc("market_cap"), "symbol")
     return (
         tradeable(members, start_caps, "market_cap").select("rebalance_date", "symbol", "market_cap")
@@ -84,14 +82,17 @@ def size_tier(rank0: Column, n: Column, k: Column) -> Column:
     return F.size(F.filter(edges, lambda e: rank0 > e)).cast("bigint")
 
 
-def buckets_per_sector(members: DataFrame, sectors: DataFrame, n: int) -> DataFrame:
-    """``(rebalance_date, k)`` with ``k = max(1, n / sectors present)``, rounded half to even."""
+def buckets_per_sector(members: DataFrame, sectors: DataFrame, n: int | list[int]) -> DataFrame:
+    """``(rebalance_date[, target_n], k)`` with ``k = max(1, n / sectors present)``, rounded half to even."""
     present = (
         members.join(sectors.where("gics_sector IS NOT NULL").select("symbol", "gics_sector"), "symbol")
         .groupBy("rebalance_date").agg(F.countDistinct("gics_sector").alias("_sectors"))
     )
-    per = F.bround(F.lit(float(n)) / F.greatest(F.col("_sectors"), F.lit(1)))
-    return present.select("rebalance_date", F.greatest(F.lit(1), per).cast("bigint").alias("k"))
+    per = lambda target: F.greatest(F.lit(1), F.bround(target / F.greatest(F.col("_sectors"), F.lit(1)))).cast("bigint").alias("k")
+    if isinstance(n, int):
+        return present.select("rebalance_date", per(F.lit(float(n))))
+    grid = present.select("rebalance_date", "_sectors", F.explode(F.array(*[F.lit(t) for t in n]).cast("array<bigint>")).alias("target_n"))
+    return grid.select("rebalance_date", "target_n", per(F.col("target_n").cast("double")))
 
 
 def size_buckets(
@@ -107,15 +108,16 @@ def size_buckets(
         held, ["rebalance_date", "gics_sector"], [F.desc("market_cap"), F.col("symbol")], n_symbols
     )
     k = F.least("k", "n")
-    return placed.join(schedule.hint(buckets), "rebalance_date").select(
-        "rebalance_date", "gics_sector", "symbol", "market_cap", size_tier(F.col("rank0"), F.col("n"), k).alias("tier")
+    extra = [c for c in buckets.columns if c not in ("rebalance_date", "k")]
+    return placed.join(schedule.hint(buckets, 64), "rebalance_date").select(
+        "rebalance_date", *extra, "gics_sector", "symbol", "market_cap", size_tier(F.col("rank0"), F.col("n"), k).alias("tier")
     )
 
 
-def stratified_weights(bucketed: DataFrame, schedule: Schedule) -> DataFrame:
+def stratified_weights(bucketed: DataFrame, schedule: Schedule, keys: tuple[str, ...] = ("rebalance_date",)) -> DataFrame:
     """The largest name of each bucket carries the bucket's whole cap; ties by symbol."""
-    reps = bucketed.groupBy("rebalance_date", "gics_sector", "tier").agg(
+    reps = bucketed.groupBy(*keys, "gics_sector", "tier").agg(
         F.min_by("symbol", F.struct(-F.col("market_cap"), F.col("symbol"))).alias("symbol"),
         F.sum("market_cap").alias("bucket_cap"),
     )
-    return share_of_group(reps, KEYS, "bucket_cap", schedule.n).select(*OUT)
+    return share_of_group(reps, list(keys), "bucket_cap", schedule.n * 64).select(*keys, "symbol", "weight")

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.operators import calendar as cal_ops, costs, factors, marketcap, membership, regime, stats, valuation, weights
+from basketry.operators import calendar as cal_ops, costs, factors, fits, marketcap, membership, regime, stats, valuation, weights
 from basketry.session import materialize, tune
 from basketry.sizing import Calendar, Schedule
 from basketry.sources import fixtures
@@ -47,6 +47,8 @@ class Settings:
     adjust_benchmark: bool = True
     min_forward_days: int = 5
     max_missing_benchmark: float = 0.2
+    infeasible: str = "error"
+    source: str = "hash"
 
     def as_map(self) -> dict[str, str]:
         return {k: str(v) for k, v in self.__dict__.items()}
@@ -56,7 +58,7 @@ class Settings:
 MONTHLY = Settings(
     periods_per_year=12, lookback=12, max_weight=0.25, momentum_lookback=12, momentum_skip=1, low_vol_window=6,
     ic_horizon=1, ic_lookback=6, embargo=0, regime_window=21, min_regime_days=5, volume_window=6, vol_window=6, block_length=6,
-    n_resamples=200, aums=(1e3, 1e4, 1e5), min_forward_days=2, te_limit=0.2, drawdown_limit=0.10,
+    n_resamples=200, aums=(1e3, 1e4, 1e5), min_forward_days=2, te_limit=0.2, drawdown_limit=0.10, infeasible="skip", source="lcg",
 )
 
 
@@ -227,6 +229,68 @@ class Market:
         full = self.cap_weights.withColumn("strategy", F.lit("full_replication"))
         return self.rule_weights.unionByName(full)
 
+    # --- fitted weights -------------------------------------------------------------------
+
+    @cached_property
+    def histories(self) -> DataFrame:
+        """Complete trailing return arrays, members x rebalances, read by every fit."""
+        return materialize(
+            fits.trailing_histories(self.returns, self.members, self.segments, self.schedule, self.settings.lookback), "histories"
+        )
+
+    @cached_property
+    def fit_benchmark(self) -> DataFrame:
+        s = self.settings
+        return materialize(fits.trailing_benchmark(
+            self.segments, self.benchmark_returns, self.cal, self.schedule, s.lookback, s.max_missing_benchmark, s.min_forward_days
+        ), "fit_benchmark")
+
+    @cached_property
+    def shrunk(self) -> DataFrame:
+        held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")
+        return materialize(fits.shrinkage(held, self.settings.lookback), "shrunk")
+
+    @cached_property
+    def min_vol_weights(self) -> DataFrame:
+        s = self.settings
+        held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")
+        names, specs, keys = fits.minimum_variance_problems(held, self.shrunk, s.max_weight, s.lookback, self.schedule)
+        return materialize(fits.solve_quadratic(names, specs, keys, self.n_symbols, s.lookback, s.infeasible), "min_vol")
+
+    @cached_property
+    def variant_weights(self) -> DataFrame:
+        """All four variants at every rebalance but the last."""
+        return self.rule_weights.unionByName(self.min_vol_weights.withColumn("strategy", F.lit("min_vol")))
+
+    @cached_property
+    def variant_values(self) -> DataFrame:
+        fitted = self.simulate(self.min_vol_weights.withColumn("strategy", F.lit("min_vol")))
+        return self.rule_values.unionByName(materialize(fitted, "min_vol_values"))
+
+    @cached_property
+    def variant_returns(self) -> DataFrame:
+        return valuation.value_returns(self.variant_values)
+
+    @cached_property
+    def all_returns(self) -> DataFrame:
+        return self.variant_returns.unionByName(self.benchmark_returns.withColumn("strategy", F.lit("full_replication")))
+
+    @cached_property
+    def all_weights(self) -> DataFrame:
+        return self.variant_weights.unionByName(self.cap_weights.withColumn("strategy", F.lit("full_replication")))
+
+    @cached_property
+    def all_costs(self) -> DataFrame:
+        return materialize(self.costs_of(self.all_weights), "all_costs")
+
+    @cached_property
+    def all_adjusted(self) -> DataFrame:
+        """Cost-adjusted returns; the benchmark is charged too unless parity with uncharged tables is asked for."""
+        charged = self.all_costs
+        if not self.settings.adjust_benchmark:
+            charged = charged.withColumn("cost_fraction", F.when(F.col("strategy") == "full_replication", 0.0).otherwise(F.col("cost_fraction")))
+        return materialize(costs.apply_costs(self.all_returns, charged), "all_adjusted")
+
     # --- regimes and costs ----------------------------------------------------------------
 
     @cached_property

@@ -5,16 +5,21 @@ Outputs are rounded and integers widened so that they compare with SQL engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.operators import (
-    bootstrap as BS, calendar as C, comparison as Q, costs as K, factors as X, marketcap as MC, membership as M, regime as R,
-    risk as L, stats as G, valuation as V, weights as B,
+    bootstrap as BS, calendar as C, comparison as Q, costs as K, factors as X, fits as FT, marketcap as MC, membership as M,
+    regime as R, risk as L, stats as G, valuation as V, weights as B,
 )
-from basketry.plans.market import MONTHLY, Market, numbered_prices, supplied_market
-from basketry.sources import fixtures
+from basketry.plans import named, studies
+from basketry.plans.market import Market, numbered_prices, supplied_market
+from basketry.schemas import key_violations
+from basketry.session import shared_dir
+from basketry.sources import cleaning, fixtures, results
+from basketry.streaming import monitor as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -278,17 +283,11 @@ def active_returns(m: Market) -> DataFrame:
 
 @query("tracking_summary")
 def tracking_summary(m: Market) -> DataFrame:
-    index = _index_returns(m)
+    index = named.index_returns(m)
     out = G.tracking_summary(G.align(m.rule_returns, index), ("strategy",), m.settings.periods_per_year)
     return tidy(out, tracking_error_annualized=8, mean_active_return_annualized=8, correlation=8, cumulative_active_return=7)
 
 
-def _index_returns(m: Market) -> DataFrame:
-    """Monthly returns of the index level, sampled on the trading calendar."""
-    levels = m.index_level.join(m.cal.hint(m.cal.rows), "date").select("ticker", "pos", "date", "close")
-    return levels.select("date", (F.try_divide(F.col("close"), C.shifted("close", -1, ["ticker"])) - 1).alias("ret")).where("ret IS NOT NULL")
-
-
 @query("strategy_summary")
 def strategy_summary(m: Market) -> DataFrame:
     out = G.strategy_summary(m.rule_returns, m.benchmark_returns, m.settings.periods_per_year)
@@ -481,39 +480,21 @@ def last_two_held(m: Market) -> DataFrame:
 
 # --- attribution and limits --------------------------------------------------------------
 
-def _attribution_inputs(m: Market):
-    """Tilted portfolio against cap weights over its last full holding period."""
-    spans = m.rule_weights.where("strategy = 'multi_factor'").select("rebalance_date").distinct().join(
-        m.segments.select("rebalance_date", "sp"), "rebalance_date"
-    )
-    last = spans.agg(
-        F.sort_array(F.collect_list(F.struct("rebalance_date", "sp")), asc=False).alias("a")  # one entry per rebalance
-    )
-    pick = last.select(F.struct(
-        F.col("a")[1].rebalance_date.alias("d"), F.col("a")[1].sp.alias("first"), F.col("a")[0].sp.alias("last")
-    ).alias("p"))
-    portfolio = m.rule_weights.where("strategy = 'multi_factor'").withColumn("p", pick.scalar()).where("rebalance_date = p.d")
-    benchmark = m.cap_weights.withColumn("p", pick.scalar()).where("rebalance_date = p.d")
-    ends = m.prices.withColumn("p", pick.scalar())
-    returns = G.period_returns(ends, F.col("p.first"), F.col("p.last"))
-    return portfolio, benchmark, returns, m.sectors
-
-
 @query("attribution_by_sector")
 def attribution_by_sector(m: Market) -> DataFrame:
-    out = L.attribution_by_sector(*_attribution_inputs(m))
+    out = L.attribution_by_sector(*named.attribution_inputs(m))
     return tidy(out, **{c: 8 for c in out.columns if c != "sector"})
 
 
 @query("attribution_totals")
 def attribution_totals(m: Market) -> DataFrame:
-    out = L.attribution_totals(L.attribution_by_sector(*_attribution_inputs(m)))
+    out = L.attribution_totals(L.attribution_by_sector(*named.attribution_inputs(m)))
     return tidy(out, **{c: 8 for c in out.columns if c != "reconciles"})
 
 
 @query("attribution_excluded")
 def attribution_excluded(m: Market) -> DataFrame:
-    return tidy(L.attribution_excluded(*_attribution_inputs(m)), weight=9)
+    return tidy(L.attribution_excluded(*named.attribution_inputs(m)), weight=9)
 
 
 @query("relative_values")
@@ -594,3 +575,211 @@ def best_strategy_by_aum(m: Market) -> DataFrame:
 @query("findings")
 def findings(m: Market) -> DataFrame:
     return Q.findings(_comparison(m))
+
+
+# --- fits --------------------------------------------------------------------------------
+
+@query("trailing_histories")
+def trailing_histories(m: Market) -> DataFrame:
+    rows = m.histories.select("rebalance_date", "symbol", F.posexplode("x").alias("t", "ret"))
+    return tidy(rows.withColumn("t", F.col("t").cast("bigint")), ret=9)
+
+
+@query("trailing_benchmark")
+def trailing_benchmark(m: Market) -> DataFrame:
+    rows = m.fit_benchmark.select("rebalance_date", F.posexplode("b").alias("t", "ret"))
+    return tidy(rows.withColumn("t", F.col("t").cast("bigint")), ret=9)
+
+
+@query("day_gram")
+def day_gram(m: Market) -> DataFrame:
+    return tidy(FT.day_gram(m.histories), a=7)
+
+
+@query("shrinkage_terms")
+def shrinkage_terms(m: Market) -> DataFrame:
+    return tidy(m.shrunk, mu=9, delta=9, beta=9, shrinkage=7)
+
+
+@query("min_vol_weights")
+def min_vol_weights(m: Market) -> DataFrame:
+    return tidy(m.min_vol_weights, weight=6)
+
+
+@query("min_vol_certificate")
+def min_vol_certificate(m: Market) -> DataFrame:
+    return studies.min_vol_certificate(m)
+
+
+@query("tracking_fit_certificate")
+def tracking_fit_certificate(m: Market) -> DataFrame:
+    return studies.tracking_fit_certificate(m, [8, 30])
+
+
+@query("sampling_weights")
+def sampling_weights(m: Market) -> DataFrame:
+    return tidy(studies.sampling_weights(m, [8, 30]), weight=6)
+
+
+@query("sampling_study")
+def sampling_study(m: Market) -> DataFrame:
+    return tidy(studies.sampling_study(m, [8, 30]), tracking_error=6)
+
+
+# --- named queries -----------------------------------------------------------------------
+
+@query("replication_full")
+def replication_full(m: Market) -> DataFrame:
+    out = named.replication_full(m)
+    return tidy(out, tracking_error_annualized=8, mean_active_return_annualized=8, correlation=8, cumulative_active_return=7)
+
+
+@query("replication_full_recent")
+def replication_full_recent(m: Market) -> DataFrame:
+    out = named.replication_full_recent(m, "1999-01-01")
+    return tidy(out, tracking_error_annualized=8, mean_active_return_annualized=8, correlation=8, cumulative_active_return=7)
+
+
+@query("replication_sampling")
+def replication_sampling(m: Market) -> DataFrame:
+    out = named.replication_sampling(m, "8,30")
+    return tidy(out, mean_actual_n=6, mean_tracking_error=6, median_tracking_error=6)
+
+
+@query("multi_objective")
+def multi_objective(m: Market) -> DataFrame:
+    out = named.multi_objective(m, "0.1,0.3,0.5,1.0,2.0")
+    return tidy(out, factor_target=8, realized_turnover=6, realized_factor_exposure=6, tracking_error=6)
+
+
+@query("smartbeta")
+def smartbeta(m: Market) -> DataFrame:
+    out = named.smartbeta(m)
+    return tidy(out, annualized_return=6, annualized_vol=6, tracking_error_vs_full_replication=6, correlation=6)
+
+
+@query("regime_performance")
+def regime_performance(m: Market) -> DataFrame:
+    return tidy(named.regime_performance(m), annualized_return=6, annualized_vol=6, sharpe_zero_rate=6)
+
+
+@query("regime_summary")
+def regime_summary(m: Market) -> DataFrame:
+    return named.regime_summary(m)
+
+
+@query("liquidity")
+def liquidity(m: Market) -> DataFrame:
+    return tidy(named.liquidity(m, 1e5), turnover=6, rebalance_cost_fraction=6, annualized_cost_drag=6)
+
+
+@query("backtest_bootstrap")
+def backtest_bootstrap(m: Market) -> DataFrame:
+    out = named.backtest_bootstrap(m, "quality", 1e4, 200)
+    return tidy(out, point_estimate=6, ci_low=6, ci_high=6, confidence_level=6, mean_rebalance_cost_frac=7)
+
+
+@query("risk_attribution")
+def risk_attribution(m: Market) -> DataFrame:
+    out = named.risk_attribution(m, "multi_factor")
+    return tidy(out, **{f.name: 8 for f in out.schema.fields if f.dataType.simpleString() == "double"})
+
+
+@query("risk_kill_switch")
+def risk_kill_switch(m: Market) -> DataFrame:
+    out = named.risk_kill_switch(m, 1e4).withColumn("trigger_reasons", F.array_join("trigger_reasons", ","))
+    return tidy(out, tracking_error=6, max_relative_drawdown=6)
+
+
+@query("full_comparison")
+def full_comparison(m: Market) -> DataFrame:
+    out = named.full_comparison(m, with_settings=False)
+    return tidy(out, **{f.name: 6 for f in out.schema.fields if f.dataType.simpleString() == "double" and f.name != "aum"})
+
+
+@query("full_findings")
+def full_findings(m: Market) -> DataFrame:
+    return named.all_findings(m, named.full_comparison(m, with_settings=False), "8,30")
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+@raw_query("streaming_limit_monitor")
+def streaming_limit_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event returns as a stream; the same rows and limits as ``sticky_limit_switch``."""
+    base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/monitor-{uuid.uuid4().hex}"
+    feed = fixtures.event_returns(spark, sf_dir).withColumn("reset", F.dayofmonth("date") == 16)
+    ST.write_feed(feed, f"{base}/feed")
+    run = lambda: ST.run_available(
+        spark, f"{base}/feed", f"{base}/out", f"{base}/checkpoint", te_limit=0.05, drawdown_limit=0.004, changes_only=False
+    )
+    run()
+    ST.write_heartbeat(spark, f"{base}/feed", "2100-01-01")
+    out = run()
+    out = out.where("strategy <> 'heartbeat'").withColumn("date", F.col("ts").cast("date")).drop("ts")
+    return tidy(out, tracking_error=8, max_relative_drawdown=8)
+
+
+# --- cleaning, scans, results ------------------------------------------------------------
+
+@raw_query("clean_constituents")
+def clean_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_constituents(fixtures.raw_constituents(spark, sf_dir))
+
+
+@raw_query("clean_changes")
+def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_changes(fixtures.raw_changes(spark, sf_dir))
+
+
+@raw_query("clean_shares")
+def clean_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_shares(fixtures.raw_shares(spark, sf_dir))
+
+
+@raw_query("clean_anchors")
+def clean_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.table(spark, sf_dir, "part").select(F.col("p_name").alias("symbol"), F.nullif(F.col("p_size") % 5, F.lit(3)).cast("double").alias("shares"), "p_partkey")
+    return cleaning.clean_anchors(raw)
+
+
+@query("clean_fundamentals")
+def clean_fundamentals(m: Market) -> DataFrame:
+    out = cleaning.clean_fundamentals(m.fundamentals).select("symbol", "returnOnEquity", "debtToEquity", "earningsGrowth", "totalCash")
+    return tidy(out, returnOnEquity=9, earningsGrowth=9)
+
+
+@query("feed_symbol_lookup")
+def feed_symbol_lookup(m: Market) -> DataFrame:
+    mapped = m.constituents.select("symbol", F.concat(F.col("symbol"), F.lit("-M")).alias("feed_symbol"))
+    wanted = m.changes.select(F.concat(F.coalesce("added_ticker", "removed_ticker"), F.lit(".B")).alias("symbol")).unionByName(m.changes.select(F.coalesce("added_ticker", "removed_ticker").alias("symbol")))
+    return cleaning.lookup_feed_symbol(wanted, mapped)
+
+
+@query("price_hits")
+def price_hits(m: Market) -> DataFrame:
+    hits, missing = cleaning.split_hits(cleaning.requested(m.constituents, "symbol"), m.anchors)
+    return hits.withColumn("found", F.lit(True)).unionByName(missing.withColumn("found", F.lit(False)))
+
+
+@query("buffered_price_scan")
+def buffered_price_scan(m: Market) -> DataFrame:
+    return cleaning.buffered(m.prices, "1998-01-01").select("symbol", "date", "close")
+
+
+@query("wide_price_panel")
+def wide_price_panel(m: Market) -> DataFrame:
+    return cleaning.to_wide(m.prices, "close", ["S1", "S2", "S3"])
+
+
+@raw_query("price_key_violations")
+def price_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = fixtures.table(spark, sf_dir, "lineitem")
+    return key_violations(line, ["l_orderkey", "l_suppkey"])
+
+
+@query("stored_results")
+def stored_results(m: Market) -> DataFrame:
+    path = f"{shared_dir(m.spark)}/{m.spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
+    results.write_results(path, _comparison(m), None, Q.findings(_comparison(m)))
+    return results.read_results(m.spark, path)["findings"]

@@ -137,3 +137,37 @@ def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("strategy"), "date",
         ((F.col("s") / F.col("n") - 50) / 1000).alias("ret"), ((F.col("b") - 50) / 1000).alias("bench_ret"),
     )
+
+
+def raw_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source-shaped constituent rows: page column names, dotted symbols, some unreadable dates."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    places = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((F.col("s_suppkey") * 131) % 9000).cast("int")).cast("string")
+    return s.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(symbol_of("s_suppkey"), F.when(F.col("s_suppkey") % 6 == 0, ".B").otherwise("")).alias("Symbol"),
+        F.col("s_name").alias("Security"), F.col("r_name").alias("GICS Sector"), F.col("n_name").alias("GICS Sub-Industry"),
+        F.col("n_name").alias("Headquarters Location"),
+        F.when(F.col("s_suppkey") % 11 == 0, F.lit("unknown")).otherwise(day).alias("Date added"),
+        F.col("s_suppkey").alias("CIK"), F.lit("1901").alias("Founded"),
+    )
+
+
+def raw_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven positional columns from orders: date text, two tickers with names, reason and its overflow."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.when(key % 13 == 0, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("c0"),
+        F.when(key % 2 == 0, F.concat(F.lit("C."), F.col("o_custkey").cast("string"))).alias("c1"), F.lit("in").alias("c2"),
+        F.when(key % 3 == 0, F.concat(F.lit("D."), F.col("o_custkey").cast("string"))).alias("c3"), F.lit("out").alias("c4"),
+        F.concat(F.lit("  "), F.col("o_orderpriority")).alias("c5"), F.when(key % 17 == 0, F.lit(" moved ")).alias("c6"),
+    )
+
+
+def raw_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several time-stamped counts per user and day from events."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), F.col("ts").alias("raw_ts"),
+        F.when(F.col("event_id") % 19 != 0, F.col("event_id").cast("double")).alias("shares"),
+    )

@@ -239,3 +239,89 @@ w AS (SELECT aum, arg_max(strategy, cost_adjusted_return) AS s, max(cost_adjuste
 SELECT row_number() OVER (ORDER BY w.aum) AS seq, 'At $' || format('{:,}', CAST(w.aum AS BIGINT)) || ' AUM, ' || w.s ||
   CASE WHEN w.r > b.r THEN ' beat' ELSE ' did not beat' END || ' full replication after costs (' || printf('%+.2f%%', 100 * (w.r - b.r)) || ' annualized difference).' AS text
 FROM w JOIN b ON b.aum = w.aum"""
+
+FINALS["trailing_histories"] = rounded("hist_ok", "rebalance_date, symbol, t", ret=9)
+FINALS["trailing_benchmark"] = "SELECT b.rebalance_date, b.t, round(b.ret, 9) + 0.0::DOUBLE AS ret FROM bench_past b JOIN bench_ok k ON k.rebalance_date = b.rebalance_date"
+FINALS["day_gram"] = """
+SELECT a.rebalance_date, a.t, b.t AS u, round(sum(a.x * b.x), 7) + 0.0::DOUBLE AS a FROM centred a JOIN centred b
+ON a.rebalance_date = b.rebalance_date AND a.symbol = b.symbol GROUP BY 1, 2, 3"""
+FINALS["shrinkage_terms"] = """
+SELECT rebalance_date, n, p, round(mu, 9) AS mu, round(delta, 9) AS delta, round(beta, 9) AS beta, round(coalesce(beta / nullif(delta, 0), 0), 7) AS shrinkage FROM lw_terms"""
+FINALS["min_vol_certificate"] = """
+SELECT c.rebalance_date, count(*) AS n_candidates, TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS is_optimal
+FROM complete c JOIN seg_held g ON g.rebalance_date = c.rebalance_date GROUP BY 1 HAVING count(*) * 0.25 >= 1"""
+FINALS["tracking_fit_certificate"] = """
+WITH ranked AS (SELECT rebalance_date, symbol, row_number() OVER (PARTITION BY rebalance_date ORDER BY market_cap DESC, symbol) AS r FROM member_caps),
+targets AS (SELECT CAST(unnest([8, 30]) AS BIGINT) AS target_n)
+SELECT x.rebalance_date, t.target_n, count(*) AS n_candidates, TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS is_optimal
+FROM ranked x JOIN targets t ON x.r <= t.target_n JOIN complete c ON c.rebalance_date = x.rebalance_date AND c.symbol = x.symbol
+JOIN bench_ok k ON k.rebalance_date = x.rebalance_date GROUP BY 1, 2"""
+
+_TRACK = """
+SELECT 'IDX' AS ticker, round(stddev_samp(r.ret - i.ret) * sqrt(12), 8) AS tracking_error_annualized,
+  round(avg(r.ret - i.ret) * 12, 8) AS mean_active_return_annualized, round(corr(r.ret, i.ret), 8) AS correlation, count(*) AS n_periods,
+  round(product(1 + r.ret) - product(1 + i.ret), 7) AS cumulative_active_return
+FROM rep_returns r JOIN index_returns i ON i.date = r.date"""
+FINALS["replication_full"] = _TRACK
+FINALS["replication_full_recent"] = _TRACK + " WHERE r.date >= DATE '1999-01-01'"
+FINALS["regime_summary"] = """
+SELECT label, count(*) AS n_days, label = (SELECT arg_max(label, date) FROM regimes WHERE label IS NOT NULL) AS is_current
+FROM regimes WHERE label IS NOT NULL GROUP BY 1"""
+FINALS["backtest_bootstrap"] = "\nUNION ALL ".join(
+    f"""SELECT p.strategy, p.aum, '{m}' AS metric, round(p.{m}, 6) AS point_estimate, round(c.lo_{m}, 6) AS ci_low, round(c.hi_{m}, 6) AS ci_high,
+  CAST(200 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level,
+  (SELECT round(avg(cost_fraction), 7) FROM costs WHERE strategy = 'quality' AND aum = 10000) AS mean_rebalance_cost_frac
+  FROM bs_point p JOIN bs_ci c ON c.strategy = p.strategy AND c.aum = p.aum WHERE p.strategy = 'quality' AND p.aum = 10000"""
+    for m in ("cagr", "sharpe_ratio", "sortino_ratio", "max_drawdown", "win_rate", "tracking_error")
+)
+FINALS["risk_attribution"] = """
+SELECT round(sum(allocation), 8) AS allocation, round(sum(selection), 8) AS selection, round(sum(interaction), 8) AS interaction,
+  round(max(total_portfolio_return), 8) AS portfolio_return, round(max(total_benchmark_return), 8) AS benchmark_return,
+  round(max(total_portfolio_return) - max(total_benchmark_return), 8) AS total_active_return,
+  abs(sum(allocation) + sum(selection) + sum(interaction) - (max(total_portfolio_return) - max(total_benchmark_return))) < 1e-9 AS reconciles,
+  (SELECT count(*) FROM attr_rows WHERE gics_sector IS NULL OR ret IS NULL) AS n_excluded,
+  (SELECT round(coalesce(sum(wp), 0), 8) FROM attr_rows WHERE gics_sector IS NULL OR ret IS NULL) AS excluded_weight,
+  (SELECT round(sum(r.wp * k.composite) / sum(r.wp) - sum(r.wb * k.composite) / sum(r.wb), 8) FROM attr_rows r
+   JOIN composite k ON k.symbol = r.symbol JOIN attr_span s ON s.d = k.rebalance_date) AS factor_exposure_differential,
+  'multi_factor' AS strategy FROM attr"""
+
+FINALS["streaming_limit_monitor"] = FINALS["sticky_limit_switch"]
+
+FINALS["clean_constituents"] = """
+SELECT concat('S', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 6 = 0 THEN '.B' ELSE '' END) AS symbol,
+  concat('S', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 6 = 0 THEN '-B' ELSE '' END) AS feed_symbol, s_name AS security,
+  r_name AS gics_sector, n_name AS gics_sub_industry, n_name AS headquarters,
+  CASE WHEN s_suppkey % 11 <> 0 THEN DATE '1970-01-01' + CAST((s_suppkey * 131) % 9000 AS INTEGER) END AS date_added,
+  CAST(s_suppkey AS BIGINT) AS cik, '1901' AS founded
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+FINALS["clean_changes"] = """
+SELECT CAST(o_orderdate AS DATE) AS effective_date, CASE WHEN o_orderkey % 2 = 0 THEN concat('C.', CAST(o_custkey AS VARCHAR)) END AS added_ticker, 'in' AS added_security,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('D.', CAST(o_custkey AS VARCHAR)) END AS removed_ticker, 'out' AS removed_security,
+  concat(trim(o_orderpriority), CASE WHEN o_orderkey % 17 = 0 THEN ' moved' ELSE '' END) AS reason,
+  CASE WHEN o_orderkey % 2 = 0 THEN concat('C-', CAST(o_custkey AS VARCHAR)) END AS added_feed,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('D-', CAST(o_custkey AS VARCHAR)) END AS removed_feed
+FROM orders WHERE o_orderkey % 13 <> 0"""
+FINALS["clean_shares"] = """
+SELECT symbol, filing_date, shares FROM (
+  SELECT concat('U', CAST(user_id AS VARCHAR)) AS symbol, CAST(ts AS DATE) AS filing_date,
+    CASE WHEN event_id % 19 <> 0 THEN CAST(event_id AS DOUBLE) END AS shares,
+    row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC) AS r FROM events) q WHERE r = 1"""
+FINALS["clean_anchors"] = """
+SELECT p_name AS symbol, CAST(p_size % 5 AS DOUBLE) AS shares FROM part WHERE p_size % 5 NOT IN (0, 3)"""
+FINALS["clean_fundamentals"] = """
+SELECT symbol, round(roe, 9) AS "returnOnEquity", debt AS "debtToEquity", round(growth, 9) AS "earningsGrowth", CAST(NULL AS DOUBLE) AS "totalCash" FROM fx_fundamentals"""
+FINALS["feed_symbol_lookup"] = """
+WITH w AS (SELECT DISTINCT symbol FROM (SELECT coalesce(added_ticker, removed_ticker) AS symbol FROM fx_changes
+  UNION ALL SELECT concat(coalesce(added_ticker, removed_ticker), '.B') FROM fx_changes) q)
+SELECT w.symbol, CASE WHEN c.symbol IS NOT NULL THEN concat(c.symbol, '-M') ELSE replace(w.symbol, '.', '-') END AS feed_symbol
+FROM w LEFT JOIN fx_constituents c ON c.symbol = w.symbol"""
+FINALS["price_hits"] = "SELECT symbol, symbol IN (SELECT symbol FROM fx_anchors) AS found FROM fx_constituents"
+FINALS["buffered_price_scan"] = "SELECT symbol, date, close FROM px WHERE date >= DATE '1998-01-01' - 400"
+FINALS["wide_price_panel"] = """
+SELECT date, max(close) FILTER (WHERE symbol = 'S1') AS "S1", max(close) FILTER (WHERE symbol = 'S2') AS "S2", max(close) FILTER (WHERE symbol = 'S3') AS "S3" FROM px GROUP BY 1"""
+FINALS["price_key_violations"] = """
+SELECT CAST(coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_suppkey IS NULL THEN n ELSE 0 END), 0) AS BIGINT) AS null_keys,
+  count(*) FILTER (WHERE n > 1 AND l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL) AS duplicate_keys
+FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) q"""
+FINALS["stored_results"] = f"SELECT text FROM ({FINALS['findings']}) q" if not FINALS["findings"].strip().startswith("WITH") else FINALS["findings"].replace(
+    "SELECT row_number() OVER (ORDER BY w.aum) AS seq, ", "SELECT ")

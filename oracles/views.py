@@ -545,3 +545,36 @@ FROM (SELECT strategy, aum, regime, count(*) AS n_days, pow(1 + avg(gross_ret),
 JOIN cmp_point p ON p.strategy = c.strategy AND p.aum = c.aum AND p.regime = c.regime
 JOIN cmp_ci i ON i.strategy = c.strategy AND i.aum = c.aum AND i.regime = c.regime
 LEFT JOIN metadata m ON m.strategy = c.strategy"""
+
+# --- fits (lookback 12) ------------------------------------------------------------------
+
+VIEWS["hist"] = """
+SELECT g.rebalance_date, r.symbol, r.pos - (g.sp - 12) AS t, r.ret FROM seg g
+JOIN rets r ON r.pos BETWEEN g.sp - 12 AND g.sp - 1
+JOIN members m ON m.rebalance_date = g.rebalance_date AND m.symbol = r.symbol WHERE g.sp >= 12"""
+
+VIEWS["complete"] = "SELECT rebalance_date, symbol FROM hist GROUP BY 1, 2 HAVING count(*) = 12"
+
+VIEWS["hist_ok"] = "SELECT h.* FROM hist h JOIN complete c ON c.rebalance_date = h.rebalance_date AND c.symbol = h.symbol"
+
+VIEWS["bench_past"] = """
+SELECT g.rebalance_date, c.pos - (g.sp - 12) AS t, b.ret FROM seg_held g JOIN cal c ON c.pos BETWEEN g.sp - 12 AND g.sp - 1
+LEFT JOIN rep_returns b ON b.pos = c.pos WHERE g.sp >= 12"""
+
+VIEWS["bench_ok"] = """
+SELECT rebalance_date FROM bench_past GROUP BY 1 HAVING avg(CASE WHEN ret IS NULL THEN 1.0 ELSE 0.0 END) <= 0.2
+INTERSECT SELECT g.rebalance_date FROM seg_held g JOIN rep_returns b ON b.pos > g.sp AND b.pos <= g.ep GROUP BY 1 HAVING count(*) >= 2"""
+
+VIEWS["centred"] = """
+SELECT rebalance_date, symbol, t, ret - avg(ret) OVER (PARTITION BY rebalance_date, symbol) AS x FROM hist_ok"""
+
+VIEWS["cov"] = """
+SELECT a.rebalance_date, a.symbol AS i, b.symbol AS j, sum(a.x * b.x) / 12 AS s, sum(a.x * a.x * b.x * b.x) / 12 AS e
+FROM centred a JOIN centred b ON a.rebalance_date = b.rebalance_date AND a.t = b.t GROUP BY 1, 2, 3"""
+
+VIEWS["lw"] = """
+SELECT rebalance_date, count(DISTINCT i) AS p, sum(s) FILTER (WHERE i = j) AS tr, sum(s * s) AS s2, sum(e) AS e2 FROM cov GROUP BY 1"""
+
+VIEWS["lw_terms"] = """
+SELECT rebalance_date, CAST(12 AS BIGINT) AS n, p, tr / p AS mu, (s2 - 2 * tr / p * tr + p * (tr / p) * (tr / p)) / p AS delta,
+  least((e2 - s2) / (p * 12), (s2 - 2 * tr / p * tr + p * (tr / p) * (tr / p)) / p) AS beta FROM lw"""
