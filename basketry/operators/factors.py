@@ -83,15 +83,18 @@ def forward_returns(prices: DataFrame, horizon: int = 21) -> DataFrame:
     return prices.select("symbol", "pos", (ratio(shifted("close", horizon), "close") - 1).alias("fwd")).where("fwd IS NOT NULL")
 
 
-def stack_factors(panels: Mapping[str, DataFrame], constants: Mapping[str, DataFrame], forward: DataFrame) -> DataFrame:
-    """``(factor, symbol, pos, score, fwd)``: every valid score paired with its forward return.
+def stack_scores(panels: Mapping[str, DataFrame]) -> DataFrame:
+    """``(factor, symbol, pos, score)`` of all panel factors."""
+    named = [df.select(F.lit(name).alias("factor"), "symbol", "pos", "score") for name, df in panels.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def pair_with_forward(scores: DataFrame, constants: Mapping[str, DataFrame], forward: DataFrame) -> DataFrame:
+    """``(factor, symbol, pos, score, fwd)``: every valid score with its forward return.
 
     A date-constant score is paired with every forward return of its symbol.
     """
-    parts = [
-        df.join(forward, ["symbol", "pos"]).select(F.lit(name).alias("factor"), "symbol", "pos", "score", "fwd")
-        for name, df in panels.items()
-    ]
+    parts = [scores.join(forward, ["symbol", "pos"]).select("factor", "symbol", "pos", "score", "fwd")]
     parts += [
         df.where("score IS NOT NULL").join(forward, "symbol").select(F.lit(name).alias("factor"), "symbol", "pos", "score", "fwd")
         for name, df in constants.items()
@@ -136,15 +139,10 @@ def trailing_ic_weights(
     )
 
 
-def scores_at_segment_start(
-    panels: Mapping[str, DataFrame], constants: Mapping[str, DataFrame], segments: DataFrame, schedule: Schedule
-) -> DataFrame:
+def scores_at_segment_start(scores: DataFrame, constants: Mapping[str, DataFrame], segments: DataFrame, schedule: Schedule) -> DataFrame:
     """``(rebalance_date, factor, symbol, score)``: each factor's row on the segment start, or its constant."""
     starts = schedule.hint(segments.select("rebalance_date", F.col("sp").alias("pos")))
-    parts = [
-        df.join(starts, "pos").select("rebalance_date", F.lit(name).alias("factor"), "symbol", "score")
-        for name, df in panels.items()
-    ]
+    parts = [scores.join(starts, "pos").select("rebalance_date", "factor", "symbol", "score")]
     if constants:
         dates = segments.agg(F.collect_list("rebalance_date").alias("d"))  # bounded by the schedule
         parts += [

@@ -167,9 +167,14 @@ class Market:
     def factor_names(self) -> list[str]:
         return [*self.factor_panels, *self.constant_factors]
 
+    @cached_property
+    def factor_scores(self) -> DataFrame:
+        """All panel factors in long form, read by the coefficients and by every composite."""
+        return materialize(factors.stack_scores(self.factor_panels), "factor_scores")
+
     @cached_property
     def factor_pairs(self) -> DataFrame:
-        return factors.stack_factors(self.factor_panels, self.constant_factors, self.forward)
+        return factors.pair_with_forward(self.factor_scores, self.constant_factors, self.forward)
 
     @cached_property
     def ic(self) -> DataFrame:
@@ -187,7 +192,7 @@ class Market:
 
     @cached_property
     def start_scores(self) -> DataFrame:
-        return factors.scores_at_segment_start(self.factor_panels, self.constant_factors, self.segments, self.schedule)
+        return factors.scores_at_segment_start(self.factor_scores, self.constant_factors, self.segments, self.schedule)
 
     @cached_property
     def composite(self) -> DataFrame:
@@ -328,9 +333,12 @@ class Market:
         self.cal.rows.unpersist()
 
 
-def numbered_prices(raw: DataFrame) -> tuple[DataFrame, Calendar, int]:
-    """Attach ``pos`` and keep the panel hashed by symbol, the key of every later window and join."""
-    cal = cal_ops.trading_calendar(raw)
+def numbered_prices(raw: DataFrame, dates: DataFrame | None = None) -> tuple[DataFrame, Calendar, int]:
+    """Attach ``pos`` and keep the panel hashed by symbol, the key of every later window and join.
+
+    ``dates`` may give the trading dates from a cheaper source than the panel itself.
+    """
+    cal = cal_ops.trading_calendar(raw if dates is None else dates)
     prices = cal_ops.number_dates(raw, cal).repartition("symbol").persist()
     n_symbols = prices.select("symbol").distinct().count()
     return prices, cal, n_symbols
@@ -344,7 +352,7 @@ def supplied_market(spark: SparkSession, sf_dir: str, settings: Settings = MONTH
     key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir, settings)
     if key not in _markets:
         tune(spark)
-        prices, cal, n_symbols = numbered_prices(fixtures.prices(spark, sf_dir))
+        prices, cal, n_symbols = numbered_prices(fixtures.prices(spark, sf_dir), fixtures.price_dates(spark, sf_dir))
         _markets[key] = Market(
             spark=spark, prices=prices, cal=cal, n_symbols=n_symbols,
             schedule=cal_ops.quarterly_schedule(spark, "1996-01-01", "2001-12-31"),

@@ -17,7 +17,7 @@ from basketry.operators import (
 from basketry.plans import named, studies
 from basketry.plans.market import Market, numbered_prices, supplied_market
 from basketry.schemas import key_violations
-from basketry.session import shared_dir
+from basketry.session import materialize, shared_dir, tune
 from basketry.sources import cleaning, fixtures, results
 from basketry.streaming import monitor as ST
 
@@ -36,7 +36,7 @@ def query(name: str):
 def raw_query(name: str):
     """Register a query that reads the supplied tables directly."""
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         return fn
 
     return wrap
@@ -552,12 +552,16 @@ def beating_benchmark(m: Market) -> DataFrame:
 
 
 def _comparison(m: Market) -> DataFrame:
-    s = m.settings
-    metadata = K.portfolio_metadata(K.turnover(m.changes_of(m.rule_weights_all)))
-    return Q.comparison_table(
-        m.rule_adjusted, m.benchmark_returns, m.labels, metadata, s.block_length, s.n_resamples, s.confidence, source="lcg",
-        periods_per_year=s.periods_per_year,
-    )
+    """Comparison over the rule-based variants, stored once because several reports read it."""
+    if "rule_comparison" not in m.__dict__:
+        s = m.settings
+        metadata = K.portfolio_metadata(K.turnover(m.changes_of(m.rule_weights_all)))
+        table = Q.comparison_table(
+            m.rule_adjusted, m.benchmark_returns, m.labels, metadata, s.block_length, s.n_resamples, s.confidence, source=s.source,
+            periods_per_year=s.periods_per_year,
+        )
+        m.__dict__["rule_comparison"] = materialize(table, "comparison")
+    return m.__dict__["rule_comparison"]
 
 
 @query("comparison_table")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ RUNTIME_SETTINGS = {
 }
 
 _fallback_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app: str = "basketry", cores: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -37,8 +39,21 @@ def local_session(app: str = "basketry", cores: int | str = "*", memory: str = "
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings and make this package importable in Python workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "basketry.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, files in os.walk(package):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("basketry", os.path.relpath(path, package)))
+        spark.sparkContext.addPyFile(archive)  # Spark's file server hands it to every executor
+        _shipped.add(app)
     return spark
 
 

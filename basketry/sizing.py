@@ -104,9 +104,9 @@ def mean_rank_in_group(
     """One-based rank of ``value`` in its group, ties sharing the mean of their ranks."""
     keys = list(keys)
     if group_rows is not None and group_rows <= task_rows:
-        ranked = F.rank().over(W.partitionBy(*keys).orderBy(value))
-        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
-        return df.withColumn(out, ranked + (ties - 1) / 2.0)
+        # Lowest and highest rank of a tie share one window: the default frame ends with the current row's peers.
+        in_order = W.partitionBy(*keys).orderBy(value)
+        return df.withColumn(out, (F.rank().over(in_order) + F.count(F.lit(1)).over(in_order)) / 2.0)
     # Ties are collapsed first, so one repeated value cannot fill a slice.
     distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

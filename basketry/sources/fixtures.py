@@ -31,6 +31,11 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.select("sid", symbol_of("sid").alias("symbol"), "date", "close", "volume")
 
 
+def price_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading dates straight from the fact table, one narrow column."""
+    return table(spark, sf_dir, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("date").alias("date"))
+
+
 def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return (
