@@ -109,15 +109,13 @@ def trade_costs(changes: DataFrame, liquidity: DataFrame, aums: Sequence[float],
     per fund size.
     """
     keys = [k for k in ("rebalance_date", "symbol") if k in liquidity.columns]
-    traded = changes.where(F.abs("dw") >= MIN_TRADE).join(liquidity, keys, "left")
-    unit = impact_fraction("dw", "vol", "adv", y) * F.abs("dw")
-    base = traded.groupBy("strategy", "rebalance_date").agg(
-        F.coalesce(F.sum(unit), F.lit(0.0)).alias("_unit"),
-        F.count(unit).alias("n_priced"), F.count_if(unit.isNull()).alias("n_excluded"),
+    # Rows too small to trade stay in, costing nothing, so that every held rebalance gets a row.
+    is_trade = F.abs("dw") >= MIN_TRADE
+    unit = F.when(is_trade, impact_fraction("dw", "vol", "adv", y) * F.abs("dw"))
+    full = changes.join(liquidity, keys, "left").groupBy("strategy", "rebalance_date").agg(
+        F.coalesce(F.sum(unit), F.lit(0.0)).alias("_unit"), F.count(unit).alias("n_priced"),
+        F.count_if(is_trade & unit.isNull()).alias("n_excluded"),
     )
-    # A rebalance without any trade still costs zero.
-    held = changes.select("strategy", "rebalance_date").distinct()
-    full = held.join(base, ["strategy", "rebalance_date"], "left").na.fill(0, ["n_priced", "n_excluded"]).na.fill(0.0, ["_unit"])
     grid = full.withColumn("aum", F.explode(F.array(*[F.lit(float(a)) for a in aums])))
     fraction = F.when(F.col("aum") > 0, F.col("_unit") * F.sqrt("aum"))
     return grid.select(
