@@ -411,13 +411,14 @@ FROM turns t JOIN held_next h ON h.strategy = t.strategy AND h.rebalance_date =
 VIEWS["aums"] = "SELECT CAST(unnest([1000, 10000, 100000]) AS DOUBLE) AS aum"
 
 VIEWS["trades"] = """
-SELECT d.strategy, d.rebalance_date, d.symbol, a.aum, d.dw * a.aum AS trade_value, l.vol, l.adv,
+SELECT d.strategy, d.rebalance_date, d.symbol, a.aum, abs(d.dw) >= 1e-12 AS traded, d.dw * a.aum AS trade_value, l.vol, l.adv,
   CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN l.vol * sqrt(abs(d.dw * a.aum) / l.adv) END AS fraction
-FROM dw_all d CROSS JOIN aums a LEFT JOIN liq_end l ON l.symbol = d.symbol WHERE abs(d.dw) >= 1e-12"""
+FROM dw_all d CROSS JOIN aums a LEFT JOIN liq_end l ON l.symbol = d.symbol"""
 
 VIEWS["costs"] = """
-SELECT strategy, rebalance_date, aum, coalesce(sum(abs(trade_value) * fraction), 0) / aum AS cost_fraction,
-  count(fraction) AS n_priced, count(*) - count(fraction) AS n_excluded FROM trades GROUP BY 1, 2, 3"""
+SELECT strategy, rebalance_date, aum, coalesce(sum(abs(trade_value) * fraction) FILTER (WHERE traded), 0) / aum AS cost_fraction,
+  count(fraction) FILTER (WHERE traded) AS n_priced, count(*) FILTER (WHERE traded AND fraction IS NULL) AS n_excluded
+FROM trades GROUP BY 1, 2, 3"""
 
 VIEWS["hits"] = """
 SELECT c.strategy, c.aum, (SELECT min(r.date) FROM rule_returns r WHERE r.strategy = c.strategy AND r.date >= c.rebalance_date) AS date,
