@@ -128,7 +128,7 @@ def tracking_problems(histories: DataFrame, ranked: DataFrame, benchmark: DataFr
         histories, ["rebalance_date", "symbol"]
     )
     keys = ["rebalance_date", "target_n"]
-    return _with_specs(names, keys, benchmark, schedule, len(targets))
+    return _with_specs(names, keys, benchmark, schedule)
 
 
 def minimum_variance_problems(histories: DataFrame, shrunk: DataFrame, max_weight: float, lookback: int, schedule: Schedule):
@@ -153,19 +153,20 @@ def turnover_problems(
     complete history and an exposure, and previous weights outside them are ignored.
     """
     grid = targets.select("rebalance_date", "factor_target", F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("turnover_budget"))
-    n_points = len(budgets) * 8
     prior = previous.select("rebalance_date", "symbol", F.col("weight").alias("q"))
-    base = (
+    names = (
         histories.join(exposure.where("composite IS NOT NULL").select("rebalance_date", "symbol", F.col("composite").alias("f")), ["rebalance_date", "symbol"])
         .join(prior, ["rebalance_date", "symbol"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
     )
-    names = base.join(small(grid, schedule.n * n_points), "rebalance_date")
-    keys = ["rebalance_date", "factor_target", "turnover_budget"]
-    names, specs, keys = _with_specs(names, keys, benchmark, schedule, n_points)
-    return names, specs.withColumns({"target": F.col("factor_target"), "budget": F.col("turnover_budget"), "upper": F.lit(float(max_weight))}), keys
+    names, specs, keys = _with_specs(names, ["rebalance_date"], benchmark, schedule)
+    points = small(grid, schedule.n * len(budgets) * 8)
+    specs = specs.join(points, "rebalance_date").withColumns(
+        {"target": F.col("factor_target"), "budget": F.col("turnover_budget"), "upper": F.lit(float(max_weight))}
+    )
+    return names, specs, [*keys, "factor_target", "turnover_budget"]
 
 
-def _with_specs(names: DataFrame, keys: list[str], benchmark: DataFrame, schedule: Schedule, per_rebalance: int):
+def _with_specs(names: DataFrame, keys: list[str], benchmark: DataFrame, schedule: Schedule):
     """Attach the benchmark and drop problems without one. Scale makes the mean name a unit vector."""
     names = names.join(schedule.hint(benchmark.select("rebalance_date")), "rebalance_date", "left_semi")
     none = F.lit(None).cast("double")
@@ -200,8 +201,8 @@ def _nothing(schema: StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
 
 
-def _weight_schema(names: DataFrame, keys: Sequence[str]) -> StructType:
-    return StructType([names.schema[k] for k in keys] + [StructField("symbol", StringType()), StructField("weight", DoubleType())])
+def _weight_schema(specs: DataFrame, keys: Sequence[str]) -> StructType:
+    return StructType([specs.schema[k] for k in keys] + [StructField("symbol", StringType()), StructField("weight", DoubleType())])
 
 
 def solve_quadratic(
@@ -210,6 +211,9 @@ def solve_quadratic(
 ) -> DataFrame:
     """``(keys..., symbol, weight)``: every candidate of every feasible problem.
 
+    ``names`` may be keyed by some of ``keys`` only; problems that differ in the others
+    share their candidates.
+
     ``names_bound`` is a proven bound on candidates per problem; beyond ``task_cells``
     values the distributed way is taken. ``infeasible='error'`` raises instead of
     leaving a problem out.
@@ -217,8 +221,11 @@ def solve_quadratic(
     keys = list(keys)
     if names_bound is None or names_bound * lookback > task_cells:
         return _solve_distributed(names, specs, keys, infeasible)
-    schema = _weight_schema(names, keys)
+    schema = _weight_schema(specs, keys)
     specs = materialize(specs, "specs")  # a row per problem; also keeps the two sides of the cogroup apart
+    shared_keys = [k for k in keys if k in names.columns]
+    if len(shared_keys) < len(keys):  # one group per problem, so that they run in parallel
+        names = names.join(F.broadcast(specs.select(*[F.col(k).alias(k) for k in keys])), shared_keys)
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
         empty = _nothing(schema)
@@ -240,11 +247,19 @@ def solve_quadratic(
 def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infeasible: str) -> DataFrame:
     """The dual solver with its sums added up by Spark, all open problems in one job per step."""
     spark = names.sparkSession
+    shared_keys = [k for k in keys if k in names.columns]
     numbered = materialize(
-        specs.withColumn("_problem", F.row_number().over(W.orderBy(*keys)).cast("bigint")), "specs"
+        specs.select(
+            "*", F.row_number().over(W.orderBy(*keys)).cast("bigint").alias("_problem"),
+            F.dense_rank().over(W.orderBy(*shared_keys)).cast("bigint").alias("_group"),
+        ), "specs",
     )  # one row per problem: rebalances x parameters
     rows = {r["_problem"]: r for r in numbered.collect()}
-    tagged = materialize(names.join(F.broadcast(numbered.select(*keys, "_problem")), keys), "names")
+    members: dict[int, list[int]] = {}
+    for p, r in rows.items():
+        members.setdefault(r["_group"], []).append(p)
+    groups = numbered.select(*shared_keys, "_group").distinct()
+    tagged = materialize(names.join(F.broadcast(groups), shared_keys), "names")
     specs_by = {p: (*_spec(r), float(r["scale"])) for p, r in rows.items()}
     solvers, points, final = {}, {}, {}
     for p, (spec, days, _) in specs_by.items():
@@ -252,7 +267,7 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
             solvers[p] = kernels.solve(spec)
             points[p] = next(solvers[p])
     while points:
-        sums = _sum_names(tagged, specs_by, points)
+        sums = _sum_names(tagged, specs_by, members, points)
         following = {}
         for p in points:
             try:
@@ -264,35 +279,37 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
         points = following
     if infeasible == "error" and len(final) < len(rows):
         raise ValueError(f"{len(rows) - len(final)} infeasible fits")
-    schema = _weight_schema(names, keys)
-    shared = spark.sparkContext.broadcast((specs_by, final))
+    schema = _weight_schema(specs, keys)
+    shared = spark.sparkContext.broadcast((specs_by, members, final, {p: [rows[p][k] for k in keys] for p in final}))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        specs_now, solved = shared.value
+        specs_now, problems, solved, values = shared.value
         for pdf in batches:
-            for p, part in pdf.groupby("_problem"):
-                if p in solved:
-                    spec, days, scale = specs_now[p]
-                    w = kernels.name_weights(*_arrays(part, days, scale), solved[p], spec)[0]
-                    yield pd.DataFrame({**{k: part[k].to_numpy() for k in keys}, "symbol": part["symbol"].to_numpy(), "weight": w})
+            for g, part in pdf.groupby("_group"):
+                for p in problems[g]:
+                    if p in solved:
+                        spec, days, scale = specs_now[p]
+                        w = kernels.name_weights(*_arrays(part, days, scale), solved[p], spec)[0]
+                        yield pd.DataFrame({**dict(zip(keys, values[p])), "symbol": part["symbol"].to_numpy(), "weight": w})
 
     raw = tagged.mapInPandas(weigh, schema)
     total = raw.groupBy(*keys).agg(F.sum("weight").alias("_total"))
     return raw.join(F.broadcast(total), keys).select(*keys, "symbol", (F.col("weight") / F.col("_total")).alias("weight"))
 
 
-def _sum_names(tagged: DataFrame, specs_by: dict, points: dict) -> dict:
+def _sum_names(tagged: DataFrame, specs_by: dict, members: dict, points: dict) -> dict:
     """One job: the solver's sums for every open problem, added up per task and then across tasks."""
-    shared = tagged.sparkSession.sparkContext.broadcast((specs_by, points))
+    shared = tagged.sparkSession.sparkContext.broadcast((specs_by, members, points))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        specs_now, open_points = shared.value
+        specs_now, problems, open_points = shared.value
         sums: dict = {}
         for pdf in batches:
-            for p, part in pdf.groupby("_problem"):
-                if p in open_points:
-                    spec, days, scale = specs_now[p]
-                    sums[p] = sums.get(p, 0.0) + kernels.name_sums(*_arrays(part, days, scale), open_points[p], spec)
+            for g, part in pdf.groupby("_group"):
+                for p in problems[g]:
+                    if p in open_points:
+                        spec, days, scale = specs_now[p]
+                        sums[p] = sums.get(p, 0.0) + kernels.name_sums(*_arrays(part, days, scale), open_points[p], spec)
         for p, s in sums.items():
             yield pd.DataFrame({"_problem": [p], "s": [s]})
 

@@ -106,3 +106,16 @@ def forward_tracking_error(growth: DataFrame, benchmark_returns: DataFrame, by:
     pairs = own.join(benchmark_returns.select("pos", F.col("ret").alias("bench_ret")), "pos")
     te = F.stddev_samp(F.col("ret") - F.col("bench_ret")) * F.sqrt(F.lit(float(periods_per_year)))
     return pairs.groupBy(*by, "rebalance_date").agg(te.alias("tracking_error"))
+
+
+def lost_weight(weights: DataFrame, start_prices: DataFrame) -> DataFrame:
+    """Per strategy and rebalance: names held without a quote on the start row, and the weight they carry.
+
+    The rebased valuation drops these names; this says how much that is.
+    """
+    quoted = start_prices.where("close IS NOT NULL AND close <> 0").select("rebalance_date", "symbol", F.lit(True).alias("_quoted"))
+    rows = weights.join(quoted, ["rebalance_date", "symbol"], "left")
+    return rows.groupBy("strategy", "rebalance_date").agg(
+        F.count_if(F.col("_quoted").isNull()).alias("n_unquoted"),
+        F.coalesce(F.sum(F.when(F.col("_quoted").isNull(), F.col("weight"))), F.lit(0.0)).alias("lost_weight"),
+    )

@@ -787,3 +787,28 @@ def stored_results(m: Market) -> DataFrame:
     path = f"{shared_dir(m.spark)}/{m.spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
     results.write_results(path, _comparison(m), None, Q.findings(_comparison(m)))
     return results.read_results(m.spark, path)["findings"]
+
+
+@query("lost_weight")
+def lost_weight(m: Market) -> DataFrame:
+    starts = C.at_segment_start(fixtures.gappy(m.prices), m.segments, m.schedule)
+    return tidy(V.lost_weight(m.rule_weights, starts), lost_weight=8)
+
+
+@query("capacity_study")
+def capacity_study(m: Market) -> DataFrame:
+    out = named.capacity_study(m, 30)
+    return tidy(out, turnover=6, rebalance_cost_fraction=6, annualized_cost_drag=6, gross_return=6, net_return=6)
+
+
+@query("bootstrap_table")
+def bootstrap_table(m: Market) -> DataFrame:
+    out = named.bootstrap_table(m)
+    return tidy(out, point_estimate=6, ci_low=6, ci_high=6, confidence_level=6, mean_rebalance_cost_frac=6)
+
+
+@query("in_sample_tracking_error")
+def in_sample_tracking_error(m: Market) -> DataFrame:
+    w = m.cap_weights.join(m.histories.select("rebalance_date", "symbol"), ["rebalance_date", "symbol"], "left_semi")
+    out = studies.in_sample_tracking_error(w, m.histories, m.fit_benchmark, ["rebalance_date"], m.settings.periods_per_year)
+    return tidy(out, tracking_error=8)

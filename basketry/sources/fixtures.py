@@ -38,10 +38,14 @@ def price_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    # Summed per part and day first, so that a part with very many lines crosses the join as one row a day.
+    daily = line.groupBy("l_partkey", F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"), F.sum("l_quantity").alias("quantity")
+    )
     return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"))
-        .agg(unit_price(), F.sum("l_quantity").alias("volume"))
+        daily.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("p_brand").alias("symbol"), "date")
+        .agg((F.sum("cents").cast("double") / 100 / F.sum("quantity")).alias("close"), F.sum("quantity").alias("volume"))
     )
 
 

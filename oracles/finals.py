@@ -325,3 +325,14 @@ SELECT CAST(coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_suppkey IS NULL THEN
 FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) q"""
 FINALS["stored_results"] = f"SELECT text FROM ({FINALS['findings']}) q" if not FINALS["findings"].strip().startswith("WITH") else FINALS["findings"].replace(
     "SELECT row_number() OVER (ORDER BY w.aum) AS seq, ", "SELECT ")
+
+FINALS["lost_weight"] = """
+SELECT w.strategy, w.rebalance_date, count(*) FILTER (WHERE p.symbol IS NULL) AS n_unquoted,
+  round(coalesce(sum(w.weight) FILTER (WHERE p.symbol IS NULL), 0), 8) AS lost_weight
+FROM w_rule w JOIN seg g ON g.rebalance_date = w.rebalance_date LEFT JOIN px_gappy p ON p.symbol = w.symbol AND p.pos = g.sp GROUP BY 1, 2"""
+FINALS["in_sample_tracking_error"] = """
+WITH path AS (SELECT h.rebalance_date, h.t, sum(w.weight * h.ret) AS r FROM hist_ok h
+  JOIN w_cap w ON w.rebalance_date = h.rebalance_date AND w.symbol = h.symbol GROUP BY 1, 2)
+SELECT p.rebalance_date, round(stddev_samp(p.r - b.ret) * sqrt(12), 8) AS tracking_error FROM path p
+JOIN bench_ok k ON k.rebalance_date = p.rebalance_date JOIN bench_past b ON b.rebalance_date = p.rebalance_date AND b.t = p.t
+WHERE b.ret IS NOT NULL GROUP BY 1"""
