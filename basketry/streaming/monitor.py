@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -96,6 +98,8 @@ def monitor(
     """Attach the monitor to a stream with the ``INPUT`` columns; needs the RocksDB state store."""
     check_limits(te_limit, drawdown_limit)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The worker that initialises a processor does not see shipped archives, so the class travels with its code.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return (
         stream.withWatermark("ts", delay).groupBy("strategy")
         .transformWithStateInPandas(
