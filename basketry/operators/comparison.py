@@ -56,6 +56,7 @@ def comparison_table(
 def findings(comparison: DataFrame, sampling: DataFrame | None = None) -> DataFrame:
     """``(seq, text)``: per fund size the best variant against the benchmark, the low-volatility claim in
     volatile regimes, and the best sampling method per target count."""
+    # Fixed values below: the wording of each sentence is part of the result.
     bench = comparison.where(F.col("strategy") == BENCHMARK).select("aum", "regime", F.col("cost_adjusted_return").alias("_b"))
     overall = comparison.where("regime = 'all' AND strategy_family = 'smart_beta' AND cost_adjusted_return IS NOT NULL")
     best = overall.groupBy("aum").agg(

@@ -72,6 +72,7 @@ def conditional_stats(returns: DataFrame, labels: DataFrame, min_days: int = 30,
 def skipped_regimes(returns: DataFrame, labels: DataFrame, min_days: int = 30) -> DataFrame:
     """Regimes left out for too few days, with the note text."""
     few = _per_regime(returns, labels, 1).where(F.col("n_days") < min_days)
+    # Fixed value: wording of the note.
     note = F.format_string("%s: only %d days (< %d) -- skipped, too few observations.", "regime", "n_days", F.lit(min_days))
     return few.select("strategy", "regime", "n_days", note.alias("note"))
 

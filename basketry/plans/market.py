@@ -7,6 +7,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketry import schemas
+from basketry.functions.columns import feed_symbol
 from basketry.operators import calendar as cal_ops, costs, factors, fits, marketcap, membership, regime, stats, valuation, weights
 from basketry.session import materialize, tune
 from basketry.sizing import Calendar, Schedule
@@ -127,7 +129,7 @@ class Market:
 
     @cached_property
     def sectors(self) -> DataFrame:
-        return self.constituents.select("symbol", "gics_sector")
+        return self.constituents.select(feed_symbol("symbol").alias("symbol"), "gics_sector")
 
     @cached_property
     def benchmark_values(self) -> DataFrame:
@@ -344,6 +346,26 @@ def numbered_prices(raw: DataFrame, dates: DataFrame | None = None) -> tuple[Dat
     return prices, cal, n_symbols
 
 
+def build_market(
+    prices: DataFrame, constituents: DataFrame, changes: DataFrame, shares: DataFrame, fundamentals: DataFrame, index_level: DataFrame,
+    start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(),
+) -> Market:
+    """A market over a user's own tables. Price, share and fundamentals symbols are feed symbols; the
+    constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match."""
+    schemas.require_columns(prices, "symbol STRING, date DATE, close DOUBLE, volume DOUBLE")
+    schemas.require_columns(constituents, "symbol STRING, gics_sector STRING")
+    schemas.require_columns(changes, "effective_date DATE, added_ticker STRING, removed_ticker STRING")
+    schemas.require_columns(shares, schemas.SHARES)
+    schemas.require_columns(index_level, schemas.INDEX_LEVEL)
+    spark = tune(prices.sparkSession)
+    panel, cal, n_symbols = numbered_prices(prices.select("symbol", "date", "close", "volume"))
+    return Market(
+        spark=spark, prices=panel, cal=cal, n_symbols=n_symbols, schedule=cal_ops.quarterly_schedule(spark, start, end),
+        constituents=constituents, changes=changes, shares=shares, anchors=anchors, fundamentals=fundamentals,
+        index_level=index_level, settings=settings,
+    )
+
+
 _markets: dict[tuple, Market] = {}
 
 
