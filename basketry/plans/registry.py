@@ -275,6 +275,19 @@ def forward_tracking_error(m: Market) -> DataFrame:
     return tidy(te.drop("strategy"), tracking_error=8)
 
 
+@query("stratified_curve")
+def stratified_curve(m: Market) -> DataFrame:
+    """The sampling curve of the method that needs no fitting."""
+    w = B.stratified_weights(_buckets(m, 17), m.schedule)
+    growth = V.segment_growth(w.withColumn("strategy", F.lit("stratified")), m.panel, m.segments, m.schedule, m.cal, normalize=True)
+    te = V.forward_tracking_error(growth, m.benchmark_returns, ["strategy"], m.settings.periods_per_year).drop("strategy")
+    counts = w.groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("actual_n"))
+    rows = counts.join(te, "rebalance_date", "left").select(
+        F.lit("stratified").alias("method"), F.lit(17).cast("bigint").alias("target_n"), "actual_n", "tracking_error"
+    )
+    return tidy(G.sampling_curve(rows), mean_actual_n=8, mean_tracking_error=8, median_tracking_error=8)
+
+
 @query("active_returns")
 def active_returns(m: Market) -> DataFrame:
     pairs = G.align(m.rule_returns, m.benchmark_returns)

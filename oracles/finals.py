@@ -336,3 +336,11 @@ WITH path AS (SELECT h.rebalance_date, h.t, sum(w.weight * h.ret) AS r FROM hist
 SELECT p.rebalance_date, round(stddev_samp(p.r - b.ret) * sqrt(12), 8) AS tracking_error FROM path p
 JOIN bench_ok k ON k.rebalance_date = p.rebalance_date JOIN bench_past b ON b.rebalance_date = p.rebalance_date AND b.t = p.t
 WHERE b.ret IS NOT NULL GROUP BY 1"""
+
+_FTE = FINALS["forward_tracking_error"].strip()
+FINALS["stratified_curve"] = f"""
+{_FTE[:_FTE.index("SELECT a.rebalance_date")].rstrip()},
+te AS (SELECT a.rebalance_date, stddev_samp(a.r - b.ret) * sqrt(12) AS te FROM ret a JOIN rep_returns b ON b.pos = a.pos WHERE a.r IS NOT NULL GROUP BY 1),
+n AS (SELECT rebalance_date, count(*) AS n FROM w_strat GROUP BY 1)
+SELECT 'stratified' AS method, CAST(17 AS BIGINT) AS target_n, round(avg(n.n), 8) AS mean_actual_n, round(avg(te), 8) AS mean_tracking_error,
+  round(quantile_cont(te, 0.5), 8) AS median_tracking_error, count(te) AS n_periods FROM n JOIN te ON te.rebalance_date = n.rebalance_date WHERE te IS NOT NULL"""
