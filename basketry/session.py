@@ -18,7 +18,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_fallback_dirs: dict[str, str] = {}
+# Drops a finished write's shuffle files at once instead of whenever the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -42,6 +45,11 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings and make this package importable in Python workers."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the executors, once per application; no setting is changed."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = os.path.dirname(os.path.abspath(__file__))
@@ -58,14 +66,19 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a fresh temporary one when none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the configured checkpoint folder, or the one set on the context.
+
+    Only a local master, where all run on one machine, may do without: it gets a fresh temporary folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _fallback_dirs:
-        _fallback_dirs[app] = tempfile.mkdtemp(prefix="spark-")
-    return _fallback_dirs[app]
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_dirs[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -77,5 +90,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` wrote for this application."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
