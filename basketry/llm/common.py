@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from basketry.session import ship
 
@@ -39,8 +40,9 @@ def unpacked(df: DataFrame, *more) -> DataFrame:
     return df.select("row.*", *more)
 
 
-def row_type(df: DataFrame) -> str:
-    return df.schema["row"].dataType.simpleString()
+def carried(df: DataFrame, columns: Iterable[str], more: str) -> StructType:
+    """Schema of an Arrow step that passes ``columns`` of ``df`` on and adds those of ``more``."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(more).fields)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import arrow_map, named, row_type, slices, texts, unpacked, with_text
+from basketry.llm.common import arrow_map, carried, named, slices, texts, unpacked, with_text
 
 WINDOW = 10
 # Benchmark text handed to the tasks at once. A larger benchmark is searched in several passes.
@@ -161,7 +161,7 @@ class Items:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     rows, size = [], 0
-    # One block at a time passes the driver; equal ids stay together so that an item is never split.
+    # One block at a time passes the driver.
     chosen = benchmark.select(named(benchmark, item_id)[0].cast("string").alias("i"), named(benchmark, text)[0].cast("string").alias("t"))
     for r in chosen.distinct().orderBy("i", "t").toLocalIterator():
         if size >= block_bytes:
@@ -221,7 +221,7 @@ def scan(
 ) -> DataFrame:
     """``row`` (carried columns), ``n_words``, ``hits`` (word spans inside benchmark windows) and ``items`` of every document."""
     out = with_text(docs, text, keep)
-    schema = f"row {row_type(out)}, text string, {FOUND}"
+    schema = carried(out, ["row", "text"], FOUND)
     for rows in _blocks(benchmark, item_id, item_text, block_bytes) if len(benchmark.take(1)) else [[]]:
         shared = docs.sparkSession.sparkContext.broadcast((rows, window))
 
@@ -237,8 +237,8 @@ def scan(
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim match of every item that has a full window in the documents: item_id, n_words, item_start, doc_id, doc_start."""
     source = with_text(docs, text, [doc_id])
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"item_id string, n_words int, item_start int, doc_id {kind}, doc_start int"
+    plain = source.select(F.col("row").getField(doc_id).alias("doc_id"))
+    schema = carried(plain, ["doc_id"], "doc_start int, item_id string, n_words int, item_start int")
     parts = []
     for rows in _blocks(benchmark, item_id, item_text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast((rows, window))
@@ -252,10 +252,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc
                 hit = np.flatnonzero(best >= items.sizes) if len(best) else np.empty(0, np.int64)
                 base = np.array([0, *(np.flatnonzero(items.tokens[:-1] == 0) + 1)])
                 yield pa.RecordBatch.from_arrays([
+                    batch.column("row").field(0).take(pa.array(doc[at[hit]], pa.int64())), pa.array(word[at[hit]], pa.int32()),
                     pa.array([items.ids[o] for o in items.owners[hit]], pa.string()), pa.array(best[hit], pa.int32()),
                     pa.array(items.starts[hit] - base[items.owners[hit]], pa.int32()),
-                    batch.column("row").field(0).take(pa.array(doc[at[hit]], pa.int64())), pa.array(word[at[hit]], pa.int32()),
-                ], names=["item_id", "n_words", "item_start", "doc_id", "doc_start"])
+                ], names=["doc_id", "doc_start", "item_id", "n_words", "item_start"])
 
         parts.append(arrow_map(source, search, schema))
     if not parts:
