@@ -118,3 +118,22 @@ def lists(values: np.ndarray, lengths, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def free(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for new columns: as wanted, with underscores after them where the input already has such a column."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def file_bytes(spark, path: str, most: int = 64 << 20) -> bytes:
+    """A small file (a vocabulary) by any path that Spark reads; its size is checked before it is fetched."""
+    found = spark.read.format("binaryFile").load(path).select("length", "content")
+    if (n := found.agg(F.sum("length")).first()[0]) is None or n > most:
+        raise ValueError(f"{path}: a vocabulary of {most} bytes at most is expected, not {n}")
+    return bytes(found.first()["content"])

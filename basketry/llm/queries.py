@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, langid, simhash
+from basketry.llm import decontaminate, langid, pieces, simhash, token_counts
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -24,4 +24,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate, op9_language_id, op10_simhash_near_dedup)}
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op5_token_counts, op6_decontaminate, op9_language_id, op10_simhash_near_dedup,
+)}
