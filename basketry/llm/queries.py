@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, langid, pieces, simhash, token_counts
+from basketry.llm import decontaminate, langid, pieces, simhash, substring_dedup, token_counts
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -20,6 +20,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op5_token_counts, op6_decontaminate, op9_language_id, op10_simhash_near_dedup,
+    op1_sentencepiece, op5_token_counts, op6_decontaminate, op7_substring_dedup, op9_language_id, op10_simhash_near_dedup,
 )}

@@ -25,3 +25,17 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0)
   sha256(coalesce(items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, i, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+ranked AS (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS place FROM wins),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 20)) AS j FROM ranked WHERE place > 1)),
+words AS (SELECT r, j, w[j] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+left_over AS (
+  SELECT words.r, count(*) AS n, string_agg(word, ' ' ORDER BY words.j) AS kept
+  FROM words LEFT JOIN gone ON gone.r = words.r AND gone.j = words.j WHERE gone.j IS NULL GROUP BY words.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
