@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, langid, pieces, simhash, substring_dedup, token_counts
+from basketry.llm import decontaminate, langid, pieces, quality, shards, simhash, substring_dedup, token_counts
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -32,10 +32,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op5_token_counts, op6_decontaminate, op7_substring_dedup, op9_language_id, op10_simhash_near_dedup,
+    op1_sentencepiece, op2_sharding, op3_quality_outliers, op5_token_counts, op6_decontaminate, op7_substring_dedup, op9_language_id, op10_simhash_near_dedup,
 )}
