@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, langid, pieces, quality, shards, simhash, substring_dedup, token_counts
+from basketry.llm import decontaminate, langid, licenses, pieces, quality, shards, simhash, substring_dedup, token_counts, tool_calls
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -24,6 +24,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -40,10 +44,15 @@ def op3_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.digest(table(spark, sf_dir, "conversations"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_sharding, op3_quality_outliers, op5_token_counts, op6_decontaminate, op7_substring_dedup, op9_language_id, op10_simhash_near_dedup,
+    op1_sentencepiece, op2_sharding, op3_quality_outliers, op4_tool_calls, op5_token_counts, op6_decontaminate,
+    op7_substring_dedup, op8_license_scan, op9_language_id, op10_simhash_near_dedup,
 )}

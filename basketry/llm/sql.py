@@ -39,3 +39,59 @@ left_over AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (r)
 """
+
+ORACLES["op8_license_scan"] = r"""
+WITH t AS (
+  SELECT license, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+') AS w FROM (VALUES
+    ('all-rights-reserved', 'All rights reserved.'),
+    ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+    ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+    ('CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+    ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+    ('MIT', 'Released under the MIT License.'),
+    ('MIT-notice', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files'),
+    ('MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.')) AS v(license, body)),
+sized AS (
+  SELECT license, w, k, m, greatest(1, CAST(floor(m / 5) AS BIGINT)) AS stride
+  FROM (SELECT license, w, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM t)),
+ts AS (SELECT DISTINCT license, k, m, stride, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM sized)),
+whole AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}]+') AS w FROM documents),
+ds AS (
+  SELECT doc_id, k, len(w) - k + 1 AS n_sh, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)),
+hit AS (SELECT doc_id, license, m, stride, n_sh, pos, gram FROM ds JOIN ts USING (k, gram)),
+placed AS (
+  SELECT DISTINCT doc_id, license, gram, place FROM (
+    SELECT *, unnest(range(CAST(ceil(greatest(0, pos - m - stride + 2) / stride) AS BIGINT) * stride, least(pos, greatest(n_sh - m, 0)) + 1, stride)) AS place FROM hit)),
+shares AS (SELECT doc_id, license, place, count(*) / any_value(n) AS containment FROM placed JOIN whole USING (license) GROUP BY doc_id, license, place)
+SELECT doc_id, license, max(containment) AS containment, count(*) AS n_windows, CAST(min(place) AS INTEGER) AS first_word
+FROM shares WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+ORACLES["op4_tool_calls"] = r"""
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, role, text FROM conversations WHERE role <> 'assistant'),
+results AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+followed AS (
+  SELECT c.*, coalesce(one.call_id, two.call_id) AS after FROM calls c
+  LEFT JOIN calls one ON one.conv_id = c.conv_id AND one.turn = c.turn - 1 LEFT JOIN calls two ON two.conv_id = c.conv_id AND two.turn = c.turn - 2),
+placed AS (
+  SELECT call_id, 0 AS level FROM followed WHERE after IS NULL
+  UNION ALL SELECT f.call_id, p.level + 1 FROM followed f JOIN placed p ON f.after = p.call_id),
+checked AS (
+  SELECT f.*, p.level, r.call_id IS NOT NULL AS answered, r.text AS result,
+    CASE WHEN role = 'user' THEN CASE WHEN length(f.text) < 1 THEN 'prompt: too short' WHEN length(f.text) > 300 THEN 'prompt: too long' ELSE '' END
+      ELSE concat_ws('; ', CASE WHEN length(f.text) < 1 THEN 'instructions: too short' END, CASE WHEN turn > 0 THEN 'turn: too large' END) END AS errors
+  FROM followed f JOIN placed p USING (call_id) LEFT JOIN results r ON r.call_id = f.call_id),
+said AS (SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN answered THEN 'linked' ELSE 'no result' END AS status FROM checked)
+SELECT conv_id, call_id, turn, CAST(level AS BIGINT) AS level, status, errors, CAST(1 AS BIGINT) AS copies,
+  '{"arguments":' || CASE WHEN role = 'user' THEN json_object('prompt', text, 'turn', turn) ELSE json_object('instructions', text, 'turn', turn) END
+    || ',"id":' || to_json(call_id) || ',"level":' || level || ',"name":' || CASE WHEN role = 'user' THEN '"ask"' ELSE '"configure"' END
+    || CASE WHEN answered THEN ',"result":' || to_json(result) ELSE '' END || ',"status":' || to_json(status) || '}' AS json
+FROM said
+UNION ALL
+SELECT conv_id, call_id, NULL, NULL, 'orphan result', '', 1, '{"id":' || to_json(call_id) || ',"result":' || to_json(text) || ',"status":"orphan result"}'
+FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)
+"""
