@@ -101,14 +101,14 @@ def _census(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) ->
                 words = t.split() if t else []
                 n_words.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                g, f = elected(hashes.of(words), window, gram, powers) if len(words) >= window else ((), ())
+                g, f = elected(hashes.of(words), window, gram, powers)
                 grams.append(g)
                 firsts.append(f)
             sizes = [len(g) for g in grams]
             yield pa.RecordBatch.from_arrays([
                 *map(batch.column, ("id", "uid", "th")), pa.array(n_words, pa.int64()), pa.array(sha),
-                lists(np.concatenate([np.empty(0, np.uint64), *grams]).astype(np.uint64).view(np.int64), sizes, pa.int64()),
-                lists(np.concatenate([np.empty(0, np.int64), *firsts]).astype(np.int32), sizes, pa.int32()),
+                lists(np.concatenate(grams).view(np.int64) if grams else [], sizes, pa.int64()),
+                lists(np.concatenate(firsts).astype(np.int32) if firsts else [], sizes, pa.int32()),
             ], names=["id", "uid", "th", "n_words", "sha", "grams", "firsts"])
 
     return arrow_map(source, run, carried(source, ["id", "uid", "th"], "n_words long, sha string, grams array<long>, firsts array<int>"))
