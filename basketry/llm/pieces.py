@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,8 @@ MARK = "▁"
 # Fixed values of the model format: kinds of pieces, and how far an unknown character scores below the worst piece.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+# Stretches remembered, and as many older ones.
+REMEMBERED = 250_000
 
 _codecs: dict[int, Codec] = {}
 
@@ -74,43 +76,50 @@ class Codec:
                     self.unknown = i
         self.automaton.make_automaton()
         self.lowest = least - UNKNOWN_PENALTY
-        self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if cut else "(?s).+")
+        # White space that is in no piece stands alone on every path, so stretches end there too.
+        alone = "".join(c for c in "\n\t\r" if not any(c in p.piece for p in spec.pieces))
+        self.stretches = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "") if cut else "(?s).+")
         self.found: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path through one stretch."""
         n = len(text)
-        score, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        single, lowest, done = self.single, self.lowest, 0
-        for end, (length, value, piece) in self.automaton.iter(text):
-            while done < end:  # all pieces that end before this one are in
-                if text[done] not in single and score[done] + lowest > score[done + 1]:
-                    score[done + 1], back[done + 1] = score[done] + lowest, (done, -1)
-                done += 1
-            start = end + 1 - length
-            if score[start] + value > score[end + 1]:
-                score[end + 1], back[end + 1] = score[start] + value, (start, piece)
-        for at in range(done, n):
-            if text[at] not in single and score[at] + lowest > score[at + 1]:
-                score[at + 1], back[at + 1] = score[at] + lowest, (at, -1)
+        score, start_of, piece_of = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+        if self.single.issuperset(text):  # every position is reached by a piece
+            for end, (length, value, piece) in self.automaton.iter(text):
+                value += score[end + 1 - length]
+                end += 1
+                if value > score[end]:
+                    score[end], start_of[end], piece_of[end] = value, end - length, piece
+        else:
+            unknown = [c not in self.single for c in text]
+            lowest, done = self.lowest, 0
+            for end, (length, value, piece) in chain(self.automaton.iter(text), [(n, (0, 0.0, 0))]):
+                while done < end:  # all pieces that end before this one are in
+                    if unknown[done] and score[done] + lowest > score[done + 1]:
+                        score[done + 1], start_of[done + 1], piece_of[done + 1] = score[done] + lowest, done, -1
+                    done += 1
+                if length and score[end + 1 - length] + value > score[end + 1]:
+                    score[end + 1], start_of[end + 1], piece_of[end + 1] = score[end + 1 - length] + value, end + 1 - length, piece
         ids: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
-            if piece >= 0:
-                ids.append(piece)
+            if piece_of[at] >= 0:
+                ids.append(piece_of[at])
             elif self.bytes:
-                ids += [self.bytes[b] for b in reversed(text[start:at].encode())]
+                ids += [self.bytes[b] for b in reversed(text[start_of[at]:at].encode())]
             else:
                 ids.append(self.unknown)
-            at = start
+            at = start_of[at]
         return ids[::-1]
 
     def packed(self, stretch: str) -> bytes:
-        if len(self.found) >= REMEMBERED:
-            self.found.clear()
-        ids = np.array(self.viterbi(stretch), np.int32).tobytes()
+        """Ids of a stretch that is not among the newest; what was used lately is kept when memory is full."""
+        ids = self.older.get(stretch) or np.array(self.viterbi(stretch), np.int32).tobytes()
         if len(stretch) <= 64:
+            if len(self.found) >= REMEMBERED:
+                self.older, self.found = self.found, {}
             self.found[stretch] = ids
         return ids
 
@@ -118,8 +127,8 @@ class Codec:
         if not text:
             return np.empty(0, np.int32)
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        found = self.found.get
-        return np.frombuffer(b"".join([found(s) or self.packed(s) for s in self.stretches.findall(text)]), np.int32)
+        packed = self.packed
+        return np.frombuffer(b"".join([self.found.get(s) or packed(s) for s in self.stretches.findall(text)]), np.int32)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.surface.__getitem__, ids))
