@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import arrow_map, carried, file_bytes, with_text
+from basketry.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's own tokenizer splits a text before merging.
@@ -58,12 +59,12 @@ def histogram(docs: DataFrame, **options) -> DataFrame:
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """The histogram with, for each length taken as a context limit, what lies at, above and below it.
+    """The histogram, written once, with, for each length taken as a context limit, what lies at, above and below it.
 
     ``docs_over``/``tokens_over`` count longer documents, ``docs_within``/``tokens_within`` the others; ``truncated_tokens``
     is the total when longer documents are cut at the limit, ``share_within`` the quantile at which the length stands.
     """
-    counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counts = materialize(counts, "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
