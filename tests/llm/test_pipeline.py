@@ -9,7 +9,7 @@ from collections import Counter
 import corpus_pipeline
 from basketry.llm import langid
 from tests.llm import samples
-from tests.llm.test_matching import fingerprint, hit_words, reachable, removed
+from tests.llm.test_matching import WORD, fingerprint, hit_words, reachable, removed
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 BENCH = [(1, samples.prose(2, 30)), (2, None)]
@@ -49,7 +49,7 @@ def test_stages_in_turn(spark, tmp_path):
         elif k == 2:
             want = removed(before, 20)
             assert ids == Counter(r[0] for r in want.elements() if r[1] > r[2] or r[1] == 0)
-            assert Counter((r[0], len((r[1] or "").split())) for r in after) == Counter((r[0], r[1] - r[2]) for r in want.elements() if r[1] > r[2] or r[1] == 0)
+            assert Counter((r[0], len(WORD.findall(r[1] or ""))) for r in after) == Counter((r[0], r[1] - r[2]) for r in want.elements() if r[1] > r[2] or r[1] == 0)
         elif k == 3:
             assert Counter(after) == Counter(r for r in before if not hit_words(r[1], BENCH, 10)[-1])
             assert len(after) < len(before)
