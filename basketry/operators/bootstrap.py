@@ -99,7 +99,7 @@ def resampled_metrics(
     by = list(by)
     series = collect_series(pairs, by, order)
     if on_short == "error":
-        short = F.format_string("need at least block_length=%d return observations, got %d", F.lit(block_length), F.col("n"))
+        short = F.format_string("a block of %d returns does not fit a series of %d", F.lit(block_length), F.col("n"))
         series = series.withColumn("n", F.when(F.col("n") < block_length, F.raise_error(short).cast("bigint")).otherwise(F.col("n")))
     else:
         series = series.where(F.col("n") >= block_length)

@@ -42,6 +42,12 @@ def quarterly_schedule(spark: SparkSession, start: dt.date | str, end: dt.date |
     return Schedule(rows, quarters)
 
 
+def calendar_schedule(cal: Calendar, warmup: int) -> Schedule:
+    """The quarterly schedule from the calendar's date after ``warmup`` rows to the end of its last year."""
+    bounds = cal.rows.agg(F.min(F.when(F.col("pos") >= min(warmup, cal.last), F.col("date"))).alias("lo"), F.max("date").alias("hi")).first()
+    return quarterly_schedule(cal.rows.sparkSession, bounds["lo"], dt.date(bounds["hi"].year, 12, 31))
+
+
 def as_of(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, take: Sequence[str],
     by: Sequence[str] = (), direction: str = "backward",

@@ -53,10 +53,13 @@ def membership_history(
 ) -> DataFrame:
     """Long ``(rebalance_date, symbol)``; only member rows are ever produced."""
     spans = membership_intervals(constituents, changes, normalize)
-    inside = (F.col("valid_from").isNull() | (F.col("rebalance_date") >= F.col("valid_from"))) & (
-        F.col("valid_to").isNull() | (F.col("rebalance_date") < F.col("valid_to"))
-    )
-    return spans.join(schedule.hint(schedule.rows), inside).select("rebalance_date", "symbol")
+    # The schedule is one short sorted array; each span takes its slice of it, so no span meets a date outside it.
+    dates = schedule.rows.agg(F.array_sort(F.collect_set("rebalance_date"))).scalar()
+    first = lambda day: F.size(F.filter("_dates", lambda d: d < day))
+    lo = F.when(F.col("valid_from").isNull(), 0).otherwise(first(F.col("valid_from")))
+    hi = F.when(F.col("valid_to").isNull(), F.size("_dates")).otherwise(first(F.col("valid_to")))
+    placed = spans.withColumn("_dates", dates).select("symbol", "_dates", lo.alias("_lo"), hi.alias("_hi")).where("_hi > _lo")
+    return placed.select(F.explode(F.slice("_dates", F.col("_lo") + 1, F.col("_hi") - F.col("_lo"))).alias("rebalance_date"), "symbol")
 
 
 def membership_at(as_of_date: dt.date | str, constituents: DataFrame, changes: DataFrame, normalize: bool = True) -> DataFrame:

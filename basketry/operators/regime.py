@@ -26,26 +26,38 @@ def rolling_vol(levels: DataFrame, key: str = "ticker", window: int = 21, period
 
 
 def regime_thresholds(vols: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3) -> DataFrame:
-    """One row with interpolated quantiles over the whole history."""
-    return vols.agg(
+    """Interpolated quantiles of each ticker over its whole history."""
+    return vols.groupBy("ticker").agg(
         F.percentile("vol", F.lit(low_q)).alias("low_threshold"), F.percentile("vol", F.lit(high_q)).alias("high_threshold")
-    ).select(F.lit(low_q).alias("low_quantile"), F.lit(high_q).alias("high_quantile"), "low_threshold", "high_threshold")
+    ).select("ticker", F.lit(low_q).alias("low_quantile"), F.lit(high_q).alias("high_quantile"), "low_threshold", "high_threshold")
 
 
 def classify(vols: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3) -> DataFrame:
-    """Adds ``label``: calm at or below the low threshold, volatile at or above the high one."""
-    cut = regime_thresholds(vols, low_q, high_q).select(F.struct("low_threshold", "high_threshold")).scalar()
+    """Adds ``label``: calm at or below the low threshold of its ticker, volatile at or above the high one. Without
+    a ``ticker`` column all rows are one series."""
+    if "ticker" not in vols.columns:
+        return classify(vols.withColumn("ticker", F.lit("")), low_q, high_q).drop("ticker")
+    cut = regime_thresholds(vols, low_q, high_q).select("ticker", F.struct("low_threshold", "high_threshold").alias("_t"))
     label = (
         F.when(F.col("vol").isNull(), F.lit(None).cast("string"))
         .when(F.col("vol") <= F.col("_t.low_threshold"), "calm")
         .when(F.col("vol") >= F.col("_t.high_threshold"), "volatile").otherwise("normal")
     )
-    return vols.withColumn("_t", cut).withColumn("label", label).drop("_t")
+    return vols.join(cut, "ticker").withColumn("label", label).drop("_t")
 
 
-def regime_labels(index_level: DataFrame, window: int = 21, periods_per_year: float = 252) -> DataFrame:
-    """``(date, vol, label)`` of an index level series."""
-    return classify(rolling_vol(number_series(index_level), "ticker", window, periods_per_year)).select("date", "vol", "label")
+def reference_levels(index_level: DataFrame, ticker: str | None = None) -> DataFrame:
+    """The levels of one index, by default of the first by name; a date that it has twice is an error."""
+    chosen = index_level.agg(F.min("ticker")).scalar() if ticker is None else F.lit(ticker)
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.format_string("%s: two levels on %s", F.first("ticker"), "date")).cast("double"))
+    levels = index_level.where(F.col("ticker") == chosen).groupBy("ticker", "date")
+    return levels.agg(once.otherwise(F.first("close")).alias("close"))
+
+
+def regime_labels(index_level: DataFrame, window: int = 21, periods_per_year: float = 252, ticker: str | None = None) -> DataFrame:
+    """``(date, vol, label)`` of one index, a row per date."""
+    levels = reference_levels(index_level, ticker)
+    return classify(rolling_vol(number_series(levels), "ticker", window, periods_per_year)).select("date", "vol", "label")
 
 
 def day_counts(labels: DataFrame) -> DataFrame:

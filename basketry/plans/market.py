@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -31,6 +32,7 @@ class Settings:
     embargo: int = 21
     tilt_strength: float = 0.5
     regime_window: int = 21
+    regime_ticker: str | None = None
     min_regime_days: int = 30
     volume_window: int = 63
     vol_window: int = 21
@@ -84,6 +86,7 @@ class Market:
     fundamentals: DataFrame
     index_level: DataFrame
     settings: Settings = field(default_factory=Settings)
+    index_panel: DataFrame | None = None  # index levels on the panel's own dates, where those are not the index's
 
     def with_settings(self, **changes) -> "Market":
         return replace(self, settings=replace(self.settings, **changes))
@@ -302,7 +305,7 @@ class Market:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return materialize(regime.regime_labels(self.index_level, self.settings.regime_window), "labels")
+        return materialize(regime.regime_labels(self.index_level, self.settings.regime_window, ticker=self.settings.regime_ticker), "labels")
 
     @cached_property
     def liquidity(self) -> DataFrame:
@@ -348,17 +351,27 @@ def numbered_prices(raw: DataFrame, dates: DataFrame | None = None) -> tuple[Dat
 
 def build_market(
     prices: DataFrame, constituents: DataFrame, changes: DataFrame, shares: DataFrame, fundamentals: DataFrame, index_level: DataFrame,
-    start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(),
+    start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(), buffer_days: int = 400,
 ) -> Market:
     """A market over a user's own tables. Price, share and fundamentals symbols are feed symbols; the
-    constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match."""
+    constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match.
+
+    Only prices from ``buffer_days`` before ``start`` up to ``end`` are read, so a study of two years does not scan
+    the whole history; a key that is null or occurs twice in a table is an error."""
     schemas.require_columns(prices, "symbol STRING, date DATE, close DOUBLE, volume DOUBLE")
     schemas.require_columns(constituents, "symbol STRING, gics_sector STRING")
     schemas.require_columns(changes, "effective_date DATE, added_ticker STRING, removed_ticker STRING")
     schemas.require_columns(shares, schemas.SHARES)
     schemas.require_columns(index_level, schemas.INDEX_LEVEL)
     spark = tune(prices.sparkSession)
-    panel, cal, n_symbols = numbered_prices(prices.select("symbol", "date", "close", "volume"))
+    first, last = dt.date.fromisoformat(start) - dt.timedelta(days=buffer_days), dt.date.fromisoformat(end)
+    window = F.col("date").between(F.lit(first), F.lit(last))
+    prices, index_level = prices.select("symbol", "date", "close", "volume").where(window), index_level.where(window)
+    for name, table, keys in (("prices", prices, ["symbol", "date"]), ("index levels", index_level, ["ticker", "date"])):
+        found = schemas.key_violations(table, keys).first()
+        if found["null_keys"] or found["duplicate_keys"]:
+            raise ValueError(f"{name}: {found['null_keys']} rows with a null key, {found['duplicate_keys']} keys more than once")
+    panel, cal, n_symbols = numbered_prices(prices)
     return Market(
         spark=spark, prices=panel, cal=cal, n_symbols=n_symbols, schedule=cal_ops.quarterly_schedule(spark, start, end),
         constituents=constituents, changes=changes, shares=shares, anchors=anchors, fundamentals=fundamentals,
@@ -377,10 +390,10 @@ def supplied_market(spark: SparkSession, sf_dir: str, settings: Settings = MONTH
         prices, cal, n_symbols = numbered_prices(fixtures.prices(spark, sf_dir), fixtures.price_dates(spark, sf_dir))
         _markets[key] = Market(
             spark=spark, prices=prices, cal=cal, n_symbols=n_symbols,
-            schedule=cal_ops.quarterly_schedule(spark, "1996-01-01", "2001-12-31"),
+            schedule=cal_ops.calendar_schedule(cal, settings.lookback),
             constituents=fixtures.constituents(spark, sf_dir), changes=fixtures.changes(spark, sf_dir, cal),
             shares=fixtures.shares(spark, sf_dir, cal), anchors=fixtures.share_anchors(spark, sf_dir),
             fundamentals=fixtures.fundamentals(spark, sf_dir), index_level=fixtures.index_level(spark, sf_dir),
-            settings=settings,
+            settings=settings, index_panel=fixtures.index_level_monthly(spark, sf_dir),
         )
     return _markets[key]

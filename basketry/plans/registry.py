@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -251,7 +252,7 @@ def stratified_weights(m: Market) -> DataFrame:
 
 @query("holding_period_values")
 def holding_period_values(m: Market) -> DataFrame:
-    w = m.rule_weights.where("strategy = 'quality'")
+    w = m.rule_weights
     growth = V.segment_growth(w, C.forward_fill(fixtures.gappy(m.prices), m.cal), m.segments, m.schedule, m.cal, normalize=True)
     return tidy(growth, growth=9)
 
@@ -296,7 +297,7 @@ def active_returns(m: Market) -> DataFrame:
 
 @query("tracking_summary")
 def tracking_summary(m: Market) -> DataFrame:
-    index = named.index_returns(m)
+    index = named.index_returns(m, "IDX")
     out = G.tracking_summary(G.align(m.rule_returns, index), ("strategy",), m.settings.periods_per_year)
     return tidy(out, tracking_error_annualized=8, mean_active_return_annualized=8, correlation=8, cumulative_active_return=7)
 
@@ -376,7 +377,7 @@ def regime_labels(m: Market) -> DataFrame:
 
 @query("regime_thresholds")
 def regime_thresholds(m: Market) -> DataFrame:
-    return tidy(R.regime_thresholds(m.labels), low_quantile=8, high_quantile=8, low_threshold=8, high_threshold=8)
+    return tidy(R.regime_thresholds(m.labels.withColumn("ticker", F.lit("IDX"))).drop("ticker"), low_quantile=8, high_quantile=8, low_threshold=8, high_threshold=8)
 
 
 @query("regime_day_counts")
@@ -451,15 +452,13 @@ def portfolio_metadata(m: Market) -> DataFrame:
 
 @query("symbol_costs")
 def symbol_costs(m: Market) -> DataFrame:
-    w = m.rule_weights.where("strategy = 'quality'")
-    out = K.symbol_costs(m.changes_of(w), m.liquidity, 1e7)
+    out = K.symbol_costs(m.changes_of(m.rule_weights_all), m.liquidity, 1e7)
     return tidy(out, trade_value=2, participation_rate=6, cost_fraction=7, dollar_cost=1)
 
 
 @query("rebalance_costs")
 def rebalance_costs(m: Market) -> DataFrame:
-    out = m.rule_costs.withColumn("dollar_cost", F.col("dollar_cost") / F.col("aum"))
-    return tidy(out, cost_fraction=7, dollar_cost=7)
+    return tidy(m.rule_costs, cost_fraction=7, dollar_cost=2)
 
 
 @query("cost_adjusted_returns")
@@ -786,7 +785,7 @@ def buffered_price_scan(m: Market) -> DataFrame:
 
 @query("wide_price_panel")
 def wide_price_panel(m: Market) -> DataFrame:
-    return cleaning.to_wide(m.prices, "close", ["S1", "S2", "S3"])
+    return cleaning.to_wide(m.prices, "close")
 
 
 @raw_query("price_key_violations")
@@ -798,8 +797,16 @@ def price_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stored_results")
 def stored_results(m: Market) -> DataFrame:
     path = f"{shared_dir(m.spark)}/{m.spark.sparkContext.applicationId}/results-{uuid.uuid4().hex}"
-    results.write_results(path, _comparison(m), None, Q.findings(_comparison(m)))
-    return results.read_results(m.spark, path)["findings"]
+    sampling = G.sampling_curve(studies.sampling_study(m, [8, 30]))
+    results.write_results(path, _comparison(m), sampling, Q.findings(_comparison(m)))
+    results.write_csv(f"{path}/comparison_csv", _comparison(m))
+    stored = results.read_results(m.spark, path)
+    csv = m.spark.read.csv(f"{path}/comparison_csv", header=True)
+    lines = [stored["findings"].select(F.lit("findings").alias("part"), "text")]
+    for part, table in (("comparison", stored["comparison"]), ("comparison_csv", csv)):
+        lines.append(table.select(F.lit(part).alias("part"), F.concat_ws(" ", "strategy", F.col("aum").cast("double").cast("long").cast("string"), "regime").alias("text")))
+    lines.append(stored["sampling"].select(F.lit("sampling").alias("part"), F.concat_ws(" ", "method", F.col("target_n").cast("string")).alias("text")))
+    return reduce(DataFrame.union, lines)
 
 
 @query("lost_weight")

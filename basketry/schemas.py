@@ -10,6 +10,7 @@ INDEX_LEVEL = "ticker STRING, date DATE, close DOUBLE"
 SHARES_RAW = "symbol STRING, raw_ts TIMESTAMP, shares DOUBLE"
 SHARES = "symbol STRING, filing_date DATE, shares DOUBLE"
 SHARE_ANCHORS = "symbol STRING, shares DOUBLE"
+# The columns of the cleaned list and log, and the fields that the data feed names.
 CONSTITUENTS = (
     "symbol STRING, feed_symbol STRING, security STRING, gics_sector STRING, gics_sub_industry STRING, "
     "headquarters STRING, date_added DATE, cik BIGINT, founded STRING"

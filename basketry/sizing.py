@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -101,14 +103,15 @@ def position_in_group(
 def mean_rank_in_group(
     df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None, out: str, task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """One-based rank of ``value`` in its group, ties sharing the mean of their ranks."""
+    """One-based rank of ``value`` in its group, ties sharing the mean of their ranks; null values keep their row and get no rank."""
     keys = list(keys)
     if group_rows is not None and group_rows <= task_rows:
         # Lowest and highest rank of a tie share one window: the default frame ends with the current row's peers.
-        in_order = W.partitionBy(*keys).orderBy(value)
-        return df.withColumn(out, (F.rank().over(in_order) + F.count(F.lit(1)).over(in_order)) / 2.0)
+        in_order = W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        rank = (F.rank().over(in_order) + F.count(F.lit(1)).over(in_order)) / 2.0
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     # Ties are collapsed first, so one repeated value cannot fill a slice.
-    distinct = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sliced = materialize(
         distinct.repartitionByRange(parts, *keys, value).withColumn("_slice", F.spark_partition_id()), "slices"
@@ -117,11 +120,13 @@ def mean_rank_in_group(
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     earlier = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = sliced.join(offsets, [*keys, "_slice"]).select(
-        *keys, value,
+    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in [*keys, "_slice"]})
+    ranks = sliced.join(offsets, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*keys, "_slice"]])).select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col(value).alias("_r_value"),
         (F.col("_offset") + F.coalesce(F.sum("_ties").over(earlier), F.lit(0)) + (F.col("_ties") + 1) / 2.0).alias(out),
     )
-    return df.join(ranks, [*keys, value])
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]) & (F.col(value) == F.col("_r_value"))
+    return df.join(ranks, on, "left").select(*df.columns, out)
 
 
 def quantiles_in_group(

@@ -53,15 +53,25 @@ def index_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date"))
         .agg(unit_price())
-        .select(F.lit("IDX").alias("ticker"), "date", "close")
+        .transform(_two_indices)
     )
 
 
+def _two_indices(levels: DataFrame) -> DataFrame:
+    """A price index, and a total-return index that gains on it by a hundredth of a percent a day."""
+    days = F.datediff("date", F.lit("1995-01-01").cast("date"))
+    both = F.array(
+        F.struct(F.lit("IDX").alias("ticker"), F.col("close").alias("level")),
+        F.struct(F.lit("IDXTR").alias("ticker"), (F.col("close") * (1 + days / 10000.0)).alias("level")),
+    )
+    return levels.select("date", F.explode(both).alias("i")).select("i.ticker", "date", F.col("i.level").alias("close"))
+
+
 def index_level_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("date"))
         .agg(unit_price())
-        .select(F.lit("IDX").alias("ticker"), "date", "close")
+        .transform(_two_indices)
     )
 
 

@@ -1,9 +1,12 @@
 """Streaming risk-limit monitor over strategy-day returns.
 
 Rows are buffered per strategy until the watermark passes their day and then taken in
-date order, because relative drawdown depends on the path. State per strategy is a
-handful of running numbers; rows older than the watermark are dropped by Spark and
-counted in the query progress (``numRowsDroppedByWatermark``).
+date order, because relative drawdown depends on the path. Rows of one timestamp are all
+kept: resets come first, the rest in order of arrival. A row without both returns moves
+no figure (its reset still counts); a return of -100 % or less is an error, as it is in
+the batch form. State per strategy is a handful of running numbers; rows older than the
+watermark are dropped by Spark and counted in the query progress
+(``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ OUTPUT = (
     "drawdown_breached BOOLEAN, reset BOOLEAN, triggered BOOLEAN, reasons STRING"
 )
 RUNNING = "n BIGINT, mean DOUBLE, m2 DOUBLE, value DOUBLE, peak DOUBLE, max_dd DOUBLE, reasons STRING"
-PENDING_KEY = "ts BIGINT"
+PENDING_KEY = "ts BIGINT, seq BIGINT"
+PROGRESS = "arrived BIGINT, swept BIGINT"
 PENDING = "ret DOUBLE, bench_ret DOUBLE, reset BOOLEAN"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,24 +46,34 @@ class LimitMonitor(StatefulProcessor):
         self.handle = handle
         self.running = handle.getValueState("running", RUNNING)
         self.pending = handle.getMapState("pending", PENDING_KEY, PENDING)
+        self.progress = handle.getValueState("progress", PROGRESS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived, swept = self.progress.get() if self.progress.exists() else (0, -1)
         for pdf in rows:
             for row in pdf.itertuples(index=False):
                 at = int(pd.Timestamp(row.ts).timestamp() * 1000)
-                self.pending.updateValue((at,), (row.ret, row.bench_ret, bool(row.reset)))
+                known = not (pd.isna(row.ret) or pd.isna(row.bench_ret))
+                if known and (row.ret <= -1 or row.bench_ret <= -1):
+                    raise ValueError(f"{key[0]} at {row.ts}: a relative value needs returns above -100 %")
+                values = (float(row.ret), float(row.bench_ret)) if known else (None, None)
+                self.pending.updateValue((at, arrived), (*values, False if pd.isna(row.reset) else bool(row.reset)))
                 self.handle.registerTimer(at)
+                arrived += 1
+        self.progress.update((arrived, swept))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Timers of a key fire in any order, so each firing takes every row the watermark has passed."""
+        """Timers of a key fire in any order; the first takes every row the watermark has passed, the others find it done."""
         passed = timerValues.getCurrentWatermarkInMs()
-        due = sorted((k[0], tuple(v)) for k, v in self.pending.iterator() if k[0] <= passed)
+        arrived, swept = self.progress.get()
         out = []
-        if due:
+        if passed > swept:
+            self.progress.update((arrived, passed))
+            due = [(k[0], not v[2], k[1], tuple(v)) for k, v in self.pending.iterator() if k[0] <= passed]
             state = self.running.get() if self.running.exists() else (0, 0.0, 0.0, 1.0, 1.0, 0.0, "")
-            for at, row in due:
-                self.pending.removeKey((at,))
+            for at, _, seq, row in sorted(due, key=lambda d: d[:3]):
+                self.pending.removeKey((at, seq))
                 state, emitted, changed = self.step(tuple(state), *row)
                 if changed or not self.changes_only:
                     when = dt.datetime.fromtimestamp(at / 1000, dt.timezone.utc).replace(tzinfo=None)
@@ -71,15 +85,18 @@ class LimitMonitor(StatefulProcessor):
     def step(self, state, ret, bench_ret, reset):
         n, mean, m2, value, peak, max_dd, reasons = state
         before = reasons
-        n += 1
-        gap = (ret - bench_ret) - mean
-        mean += gap / n
-        m2 += gap * ((ret - bench_ret) - mean)
+        known = ret is not None and bench_ret is not None
+        if known:
+            n += 1
+            gap = (ret - bench_ret) - mean
+            mean += gap / n
+            m2 += gap * ((ret - bench_ret) - mean)
+            value *= (1 + ret) / (1 + bench_ret)
+            peak = max(peak, value)
+            max_dd = max(max_dd, 1 - value / peak)
         te = math.sqrt(m2 / (n - 1) * self.periods) if n > 1 else None
-        value *= (1 + ret) / (1 + bench_ret)
-        peak = max(peak, value)
-        max_dd = max(max_dd, 1 - value / peak)
-        fired = [name for name, hit in (
+        # A row that only resets is not judged again.
+        fired = [] if not known else [name for name, hit in (
             ("tracking_error", te is not None and te > self.te_limit), ("relative_drawdown", max_dd > self.drawdown_limit)
         ) if hit]
         held = [] if reset or not reasons else reasons.split(",")

@@ -74,10 +74,10 @@ FINALS["stratified_weights"] = rounded("w_strat", "rebalance_date, symbol", weig
 FINALS["holding_period_values"] = """
 WITH raw AS (
   SELECT w.strategy, g.rebalance_date, d.pos, sum(w.weight * d.close / o.close) AS growth
-  FROM seg g JOIN w_rule w ON w.rebalance_date = g.rebalance_date AND w.strategy = 'quality'
+  FROM seg g JOIN w_rule w ON w.rebalance_date = g.rebalance_date
   JOIN px_gappy o ON o.symbol = w.symbol AND o.pos = g.sp AND o.close <> 0
   JOIN filled_gappy d ON d.symbol = w.symbol AND d.pos BETWEEN g.sp AND g.ep GROUP BY 1, 2, 3)
-SELECT strategy, rebalance_date, pos, round(growth / first_value(growth) OVER (PARTITION BY rebalance_date ORDER BY pos), 9) AS growth FROM raw"""
+SELECT strategy, rebalance_date, pos, round(growth / first_value(growth) OVER (PARTITION BY strategy, rebalance_date ORDER BY pos), 9) AS growth FROM raw"""
 FINALS["variant_values"] = rounded("rule_values", "strategy, date", value=8)
 FINALS["variant_returns"] = rounded("rule_returns", "strategy, date", ret=9)
 FINALS["forward_tracking_error"] = """
@@ -93,7 +93,7 @@ FINALS["tracking_summary"] = """
 SELECT r.strategy, round(stddev_samp(r.ret - i.ret) * sqrt(12), 8) AS tracking_error_annualized,
   round(avg(r.ret - i.ret) * 12, 8) AS mean_active_return_annualized, round(corr(r.ret, i.ret), 8) AS correlation, count(*) AS n_periods,
   round(product(1 + r.ret) - product(1 + i.ret), 7) AS cumulative_active_return
-FROM rule_returns r JOIN index_returns i ON i.date = r.date GROUP BY 1"""
+FROM rule_returns r JOIN index_returns i ON i.date = r.date AND i.ticker = 'IDX' GROUP BY 1"""
 FINALS["strategy_summary"] = """
 SELECT a.*, b.tracking_error_vs_full_replication, b.correlation FROM (
   SELECT strategy, round(pow(1 + avg(ret), 12) - 1, 8) AS annualized_return, round(stddev_samp(ret) * sqrt(12), 8) AS annualized_vol,
@@ -173,9 +173,9 @@ SELECT d.strategy, d.rebalance_date, d.symbol, round(d.dw * 1e7, 2) AS trade_val
   round(CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN l.vol * sqrt(abs(d.dw * 1e7) / l.adv) END, 7) AS cost_fraction,
   round(CASE WHEN l.adv > 0 AND l.vol IS NOT NULL THEN abs(d.dw * 1e7) * l.vol * sqrt(abs(d.dw * 1e7) / l.adv) END, 1) AS dollar_cost,
   NOT coalesce(l.adv > 0 AND l.vol IS NOT NULL, FALSE) AS excluded
-FROM dw_all d LEFT JOIN liq_end l ON l.symbol = d.symbol WHERE abs(d.dw) >= 1e-12 AND d.strategy = 'quality'"""
+FROM dw_all d LEFT JOIN liq_end l ON l.symbol = d.symbol WHERE abs(d.dw) >= 1e-12"""
 FINALS["rebalance_costs"] = """
-SELECT strategy, rebalance_date, aum, round(cost_fraction, 7) AS cost_fraction, round(cost_fraction, 7) AS dollar_cost, n_priced, n_excluded FROM costs"""
+SELECT strategy, rebalance_date, aum, round(cost_fraction, 7) AS cost_fraction, round(cost_fraction * aum, 2) AS dollar_cost, n_priced, n_excluded FROM costs"""
 FINALS["cost_adjusted_returns"] = "SELECT strategy, aum, date, round(ret, 7) + 0.0::DOUBLE AS ret, round(gross_ret, 8) + 0.0::DOUBLE AS gross_ret FROM adjusted"
 FINALS["mean_rebalance_costs"] = "SELECT strategy, aum, round(avg(cost_fraction), 7) AS mean_rebalance_cost_frac FROM costs GROUP BY 1, 2"
 FINALS["capacity_ranking"] = """
@@ -258,12 +258,12 @@ FROM ranked x JOIN targets t ON x.r <= t.target_n JOIN complete c ON c.rebalance
 JOIN bench_ok k ON k.rebalance_date = x.rebalance_date GROUP BY 1, 2"""
 
 _TRACK = """
-SELECT 'IDX' AS ticker, round(stddev_samp(r.ret - i.ret) * sqrt(12), 8) AS tracking_error_annualized,
+SELECT i.ticker, round(stddev_samp(r.ret - i.ret) * sqrt(12), 8) AS tracking_error_annualized,
   round(avg(r.ret - i.ret) * 12, 8) AS mean_active_return_annualized, round(corr(r.ret, i.ret), 8) AS correlation, count(*) AS n_periods,
   round(product(1 + r.ret) - product(1 + i.ret), 7) AS cumulative_active_return
 FROM rep_returns r JOIN index_returns i ON i.date = r.date"""
-FINALS["replication_full"] = _TRACK
-FINALS["replication_full_recent"] = _TRACK + " WHERE r.date >= DATE '1999-01-01'"
+FINALS["replication_full"] = _TRACK + " GROUP BY 1"
+FINALS["replication_full_recent"] = _TRACK + " WHERE r.date >= DATE '1999-01-01' GROUP BY 1"
 FINALS["regime_summary"] = """
 SELECT label, count(*) AS n_days, label = (SELECT arg_max(label, date) FROM regimes WHERE label IS NOT NULL) AS is_current
 FROM regimes WHERE label IS NOT NULL GROUP BY 1"""
@@ -318,13 +318,16 @@ FROM w LEFT JOIN fx_constituents c ON c.symbol = w.symbol"""
 FINALS["price_hits"] = "SELECT symbol, symbol IN (SELECT symbol FROM fx_anchors) AS found FROM fx_constituents"
 FINALS["buffered_price_scan"] = "SELECT symbol, date, close FROM px WHERE date >= DATE '1998-01-01' - 400"
 FINALS["wide_price_panel"] = """
-SELECT date, max(close) FILTER (WHERE symbol = 'S1') AS "S1", max(close) FILTER (WHERE symbol = 'S2') AS "S2", max(close) FILTER (WHERE symbol = 'S3') AS "S3" FROM px GROUP BY 1"""
+SELECT * FROM (PIVOT (SELECT date, symbol, close FROM px) ON symbol USING max(close) GROUP BY date)"""
 FINALS["price_key_violations"] = """
 SELECT CAST(coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_suppkey IS NULL THEN n ELSE 0 END), 0) AS BIGINT) AS null_keys,
   count(*) FILTER (WHERE n > 1 AND l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL) AS duplicate_keys
 FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2) q"""
-FINALS["stored_results"] = f"SELECT text FROM ({FINALS['findings']}) q" if not FINALS["findings"].strip().startswith("WITH") else FINALS["findings"].replace(
-    "SELECT row_number() OVER (ORDER BY w.aum) AS seq, ", "SELECT ")
+FINALS["stored_results"] = FINALS["findings"].replace("SELECT row_number() OVER (ORDER BY w.aum) AS seq, ", "SELECT 'findings' AS part, ") + """
+UNION ALL SELECT t.part, concat(c.strategy, ' ', CAST(CAST(c.aum AS BIGINT) AS VARCHAR), ' ', c.regime)
+FROM comparison c, (SELECT unnest(['comparison', 'comparison_csv']) AS part) t
+UNION ALL SELECT 'sampling', concat(m.name, ' ', CAST(n.target_n AS VARCHAR))
+FROM (SELECT unnest(['stratified', 'optimization', 'lasso']) AS name) m, (SELECT unnest([8, 30]) AS target_n) n"""
 
 FINALS["lost_weight"] = """
 SELECT w.strategy, w.rebalance_date, count(*) FILTER (WHERE p.symbol IS NULL) AS n_unquoted,

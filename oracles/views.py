@@ -35,8 +35,9 @@ SELECT 'IDX' AS ticker, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_
 FROM lineitem GROUP BY 1,2"""
 
 VIEWS["idx_monthly"] = """
-SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS close
-FROM lineitem GROUP BY 1"""
+SELECT t.ticker, q.date, CASE WHEN t.ticker = 'IDX' THEN q.close ELSE q.close * (1 + (q.date - DATE '1995-01-01') / 10000.0::DOUBLE) END AS close
+FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS close
+FROM lineitem GROUP BY 1) q, (SELECT unnest(['IDX', 'IDXTR']) AS ticker) t"""
 
 VIEWS["fx_shares"] = """
 SELECT s.s_suppkey AS sid, concat('S', CAST(s.s_suppkey AS STRING)) AS symbol, c.date AS filing_date,
@@ -80,7 +81,7 @@ JOIN (SELECT CAST(ts AS DATE) AS date, avg(value) AS v FROM events GROUP BY 1) b
 
 VIEWS["sched"] = """
 SELECT CAST(make_date(y, m, 1) + CAST((12 - dayofweek(make_date(y, m, 1))) % 7 + 14 AS INTEGER) AS DATE) AS rebalance_date
-FROM (SELECT CAST(unnest(range(1996, 2002)) AS INTEGER) AS y) a,
+FROM (SELECT CAST(unnest(range(year(min(date) FILTER (WHERE pos >= 12)), year(max(date)) + 1)) AS INTEGER) AS y FROM cal) a,
      (SELECT CAST(unnest([3, 6, 9, 12]) AS INTEGER) AS m) b"""
 
 VIEWS["sched_next"] = """
@@ -345,8 +346,8 @@ VIEWS["rule_pairs"] = """
 SELECT r.strategy, r.pos, r.date, r.ret, b.ret AS bench_ret FROM rule_returns r JOIN rep_returns b ON b.date = r.date"""
 
 VIEWS["index_returns"] = """
-SELECT * FROM (SELECT i.date, i.close / nullif(lag(i.close) OVER (ORDER BY c.pos), 0) - 1 AS ret, c.pos - lag(c.pos) OVER (ORDER BY c.pos) AS step
-FROM idx i JOIN cal c ON c.date = i.date) q WHERE ret IS NOT NULL AND step = 1"""
+SELECT * FROM (SELECT i.ticker, i.date, i.close / nullif(lag(i.close) OVER w, 0) - 1 AS ret, c.pos - lag(c.pos) OVER w AS step
+FROM idx_monthly i JOIN cal c ON c.date = i.date WINDOW w AS (PARTITION BY i.ticker ORDER BY c.pos)) q WHERE ret IS NOT NULL AND step = 1"""
 
 # --- regimes -----------------------------------------------------------------------------
 
