@@ -23,6 +23,7 @@ from basketry.session import materialize
 from basketry.sizing import Calendar, Schedule, small
 
 TASK_CELLS = 20_000_000  # candidates x days of one problem that one task may hold (160 MB)
+SALTS = 32  # places where the blocks of one key are added before they meet
 FIT_COLUMNS = ("b", "n_names", "scale", "ridge", "proximal", "upper", "target", "budget")
 
 
@@ -71,6 +72,31 @@ def squares(x: str = "x") -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
 
 
+def added(blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Element-wise sums of equally long arrays per key. Blocks of one key are added in SALTS places first, so what a
+    shuffle carries is whole blocks, one per task and key, and no group gathers more than SALTS of them at the end."""
+    schema = StructType([*[blocks.schema[k] for k in keys], StructField(value, ArrayType(DoubleType()))])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf[value].to_numpy()), axis=0)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, value: [total]})
+
+    salted = blocks.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy(*keys, "_salt")
+    return salted.applyInPandas(add, schema).groupBy(*keys).applyInPandas(add, schema)
+
+
+def fit_status(names: DataFrame, specs: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., n_candidates, status)`` of every problem: ``solved``, or ``infeasible`` when it has no weights."""
+    keys = list(keys)
+    shared_keys = [k for k in keys if k in names.columns]
+    counted = names.groupBy(*shared_keys).agg(F.count(F.lit(1)).alias("n_candidates"))
+    solved = weights.select(*keys).distinct().withColumn("status", F.lit("solved"))
+    return (
+        specs.select(*keys).join(counted, shared_keys).join(solved, keys, "left")
+        .withColumn("status", F.coalesce("status", F.lit("infeasible")))
+    )
+
+
 # --- shrunk covariance -------------------------------------------------------------------
 
 def day_gram(histories: DataFrame) -> DataFrame:
@@ -92,9 +118,9 @@ def day_gram(histories: DataFrame) -> DataFrame:
             yield pd.DataFrame({"rebalance_date": [date], "a": [block.ravel()]})
 
     blocks = histories.select("rebalance_date", "x").mapInPandas(partial, schema)
-    cells = blocks.select("rebalance_date", F.size("a").alias("_n"), F.posexplode("a").alias("_i", "a"))
+    cells = added(blocks, ["rebalance_date"], "a").select("rebalance_date", F.size("a").alias("_n"), F.posexplode("a").alias("_i", "a"))
     side = F.sqrt("_n").cast("int")
-    return cells.groupBy("rebalance_date", (F.floor(F.col("_i") / side)).alias("t"), (F.col("_i") % side).cast("bigint").alias("u")).agg(F.sum("a").alias("a"))
+    return cells.select("rebalance_date", F.floor(F.col("_i") / side).alias("t"), (F.col("_i") % side).cast("bigint").alias("u"), "a")
 
 
 def shrinkage(histories: DataFrame, lookback: int) -> DataFrame:
@@ -314,11 +340,8 @@ def _sum_names(tagged: DataFrame, specs_by: dict, members: dict, points: dict) -
             yield pd.DataFrame({"_problem": [p], "s": [s]})
 
     schema = StructType([StructField("_problem", LongType()), StructField("s", ArrayType(DoubleType()))])
-    cells = tagged.mapInPandas(partial, schema).select("_problem", F.posexplode("s").alias("i", "v"))
-    totals = cells.groupBy("_problem", "i").agg(F.sum("v").alias("v")).groupBy("_problem").agg(
-        F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")
-    )
-    out = {r["_problem"]: np.array([c["v"] for c in r["s"]]) for r in totals.collect()}  # days squared per problem
+    totals = added(tagged.mapInPandas(partial, schema), ["_problem"], "s")
+    out = {r["_problem"]: np.array(r["s"]) for r in totals.collect()}  # days squared per problem
     shared.destroy()
     return out
 

@@ -23,6 +23,7 @@ import numpy as np
 
 MAX_OUTER, MAX_INNER, MAX_HALVINGS = 60, 100, 6
 TOL = 1e-10
+STILL = 1e-12  # squared move of the weights in the last proximal step
 SIGMA_FIRST, SIGMA_FALL, SIGMA_LAST = 1.0, 0.3, 1e-4  # proximal weights, falling from step to step
 
 
@@ -76,7 +77,10 @@ def name_sums(x, f, q, point: Point, spec: Spec) -> np.ndarray:
 
 
 def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
-    """Dual Newton steps inside proximal steps. Returns the final point and whether it is feasible."""
+    """Dual Newton steps inside proximal steps. Returns the final point and whether it is feasible.
+
+    A feasible problem that still moves when the steps run out is an error, never an answer.
+    """
     days = len(spec.b)
     size = days + 3
     target = spec.target if spec.target is not None else -np.inf
@@ -101,7 +105,7 @@ def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
 
     point = Point(np.zeros(size), SIGMA_FIRST if spec.proximal else 0.0)
     point.v[days] = (spec.ridge + point.sigma) / spec.n_names  # every name starts free
-    feasible = False
+    feasible, moved = False, np.inf
     for _ in range(MAX_OUTER):
         grad, dual, moved, curve = read((yield point), point.v)
         damp = 1e-8
@@ -131,6 +135,9 @@ def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
         if not feasible or not spec.proximal or moved < 1e-16:
             break
         point = Point(point.v.copy(), max(SIGMA_LAST, point.sigma * SIGMA_FALL), [*point.taken, (point.v, point.sigma)])
+    else:
+        if moved > STILL:
+            raise ArithmeticError(f"fit of {spec.n_names} names has not settled: the last step moved it by {moved ** 0.5:.1e}")
     return point, feasible
 
 
@@ -196,4 +203,6 @@ def lasso_path(x: np.ndarray, y: np.ndarray, n_alphas: int, eps: float, alpha_ma
         else:
             active.append(int(join.argmin()))
             blocked = -1
+    else:
+        raise ArithmeticError(f"lasso path over {len(x)} names has not reached its last penalty")
     return alphas, out

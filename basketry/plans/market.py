@@ -260,6 +260,13 @@ class Market:
         held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")
         return materialize(fits.shrinkage(held, self.settings.lookback), "shrunk")
 
+    @cached_property
+    def min_vol_status(self) -> DataFrame:
+        """Every rebalance with candidates, solved or not."""
+        held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")
+        names, specs, keys = fits.minimum_variance_problems(held, self.shrunk, self.settings.max_weight, self.settings.lookback, self.schedule)
+        return fits.fit_status(names, specs, self.min_vol_weights, keys)
+
     @cached_property
     def min_vol_weights(self) -> DataFrame:
         s = self.settings

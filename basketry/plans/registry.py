@@ -627,6 +627,21 @@ def min_vol_certificate(m: Market) -> DataFrame:
     return studies.min_vol_certificate(m)
 
 
+@query("fit_status")
+def fit_status(m: Market) -> DataFrame:
+    return m.min_vol_status
+
+
+@query("best_method_by_target")
+def best_method_by_target(m: Market) -> DataFrame:
+    return tidy(Q.best_by_target(G.sampling_curve(studies.sampling_study(m, [8, 30]))), mean_tracking_error=6)
+
+
+@query("replication_coverage")
+def replication_coverage(m: Market) -> DataFrame:
+    return tidy(named.replication_coverage(m), **{f.name: 8 for f in named.replication_coverage(m).schema.fields if f.dataType.simpleString() == "double"})
+
+
 @query("tracking_fit_certificate")
 def tracking_fit_certificate(m: Market) -> DataFrame:
     return studies.tracking_fit_certificate(m, [8, 30])

@@ -250,6 +250,10 @@ SELECT rebalance_date, n, p, round(mu, 9) AS mu, round(delta, 9) AS delta, round
 FINALS["min_vol_certificate"] = """
 SELECT c.rebalance_date, count(*) AS n_candidates, TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS is_optimal
 FROM complete c JOIN seg_held g ON g.rebalance_date = c.rebalance_date GROUP BY 1 HAVING count(*) * 0.25 >= 1"""
+FINALS["fit_status"] = """
+SELECT c.rebalance_date, count(*) AS n_candidates, CASE WHEN count(*) * 0.25 >= 1 THEN 'solved' ELSE 'infeasible' END AS status
+FROM complete c JOIN seg_held g ON g.rebalance_date = c.rebalance_date GROUP BY 1"""
+FINALS["replication_coverage"] = FINALS["rebalance_coverage"]
 FINALS["tracking_fit_certificate"] = """
 WITH ranked AS (SELECT rebalance_date, symbol, row_number() OVER (PARTITION BY rebalance_date ORDER BY market_cap DESC, symbol) AS r FROM member_caps),
 targets AS (SELECT CAST(unnest([8, 30]) AS BIGINT) AS target_n)
