@@ -62,7 +62,7 @@ class Settings:
 MONTHLY = Settings(
     periods_per_year=12, lookback=12, max_weight=0.25, momentum_lookback=12, momentum_skip=1, low_vol_window=6,
     ic_horizon=1, ic_lookback=6, embargo=0, regime_window=21, min_regime_days=5, volume_window=6, vol_window=6, block_length=6,
-    n_resamples=200, aums=(1e3, 1e4, 1e5), min_forward_days=2, te_limit=0.2, drawdown_limit=0.10, infeasible="skip", source="lcg",
+    n_resamples=2000, aums=(1e3, 1e4, 1e5), min_forward_days=2, te_limit=0.2, drawdown_limit=0.10, infeasible="skip", source="lcg",
 )
 
 

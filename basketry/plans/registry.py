@@ -706,7 +706,7 @@ def liquidity(m: Market) -> DataFrame:
 
 @query("backtest_bootstrap")
 def backtest_bootstrap(m: Market) -> DataFrame:
-    out = named.backtest_bootstrap(m, "quality", 1e4, 200)
+    out = named.backtest_bootstrap(m, "quality", 1e4, 2000)
     return tidy(out, point_estimate=6, ci_low=6, ci_high=6, confidence_level=6, mean_rebalance_cost_frac=7)
 
 

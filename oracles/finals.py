@@ -218,7 +218,7 @@ SELECT i.strategy, i.resample, i.k, i.idx, round(n.ret, 9) AS ret, round(n.bench
 FROM ev_idx i JOIN ev_numbered n ON n.strategy = i.strategy AND n.i = i.idx"""
 FINALS["bootstrap_metrics"] = "\nUNION ALL ".join(
     f"""SELECT p.strategy, p.aum, '{m}' AS metric, round(p.{m}, 6) AS point_estimate, round(c.lo_{m}, 6) AS ci_low, round(c.hi_{m}, 6) AS ci_high,
-  CAST(200 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level FROM bs_point p JOIN bs_ci c ON c.strategy = p.strategy AND c.aum = p.aum"""
+  CAST(2000 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level FROM bs_point p JOIN bs_ci c ON c.strategy = p.strategy AND c.aum = p.aum"""
     for m in ("cagr", "sharpe_ratio", "sortino_ratio", "max_drawdown", "win_rate", "tracking_error")
 )
 FINALS["beating_benchmark"] = """
@@ -273,7 +273,7 @@ SELECT label, count(*) AS n_days, label = (SELECT arg_max(label, date) FROM regi
 FROM regimes WHERE label IS NOT NULL GROUP BY 1"""
 FINALS["backtest_bootstrap"] = "\nUNION ALL ".join(
     f"""SELECT p.strategy, p.aum, '{m}' AS metric, round(p.{m}, 6) AS point_estimate, round(c.lo_{m}, 6) AS ci_low, round(c.hi_{m}, 6) AS ci_high,
-  CAST(200 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level,
+  CAST(2000 AS BIGINT) AS n_resamples, CAST(0.95 AS DOUBLE) AS confidence_level,
   (SELECT round(avg(cost_fraction), 7) FROM costs WHERE strategy = 'quality' AND aum = 10000) AS mean_rebalance_cost_frac
   FROM bs_point p JOIN bs_ci c ON c.strategy = p.strategy AND c.aum = p.aum WHERE p.strategy = 'quality' AND p.aum = 10000"""
     for m in ("cagr", "sharpe_ratio", "sortino_ratio", "max_drawdown", "win_rate", "tracking_error")

@@ -515,7 +515,7 @@ for _name, _src, _keys in (("bs", "adj_pairs", "strategy, aum"), ("cmp", "all_ce
 SELECT {_keys}, row_number() OVER (PARTITION BY {_keys} ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY {_keys}) AS n, ret, bench_ret, date FROM {_src}"""
     VIEWS[f"{_name}_rows"] = f"""
 SELECT {_sk}, r.r AS resample, b.b * 6 + o.o AS k, p.ret, p.bench_ret
-FROM (SELECT DISTINCT {_keys}, n FROM {_name}_num WHERE n >= 6) s, range(0, 200) r(r), range(0, 100) b(b), range(0, 6) o(o), {_name}_num p
+FROM (SELECT DISTINCT {_keys}, n FROM {_name}_num WHERE n >= 6) s, range(0, 2000) r(r), range(0, 100) b(b), range(0, 6) o(o), {_name}_num p
 WHERE b.b * 6 + o.o < s.n AND {_on}
   AND p.i = (((r.r * 1103515245 + b.b * 12345 + 42) % 2147483647) % s.n + o.o) % s.n"""
     VIEWS[f"{_name}_path"] = f"""
