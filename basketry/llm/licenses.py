@@ -5,8 +5,8 @@ occurrences lies whole in one window. Where a window holds four fifths of a temp
 least 0.57, and BANDS bands of one MinHash each miss the pair with a chance below 0.43 ** 20 = 5e-8. What the bands
 retrieve is verified by exact shingle containment.
 
-Only texts with a word that some template cannot do without are cut into windows: if more than a fifth of a template's
-shingles hold the word, no text without it reaches four fifths. This drops no match.
+Only windows with a word that some template of their size cannot do without are cut: if more than a fifth of a
+template's shingles hold the word, no window without it reaches four fifths. This drops no match.
 
 Defined results: null or empty texts match nothing; templates of fewer than SHINGLE words are one shingle; a template
 without words is ignored; rows with equal ids are one document; each (document, license) is one row.
@@ -74,13 +74,14 @@ def _classes(templates) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _needed(templates) -> list[str]:
-    """For each template the longest word in more than a fifth of its distinct shingles; empty if a template has none."""
+def _needed(templates, kind: tuple[int, int, int]) -> list[str]:
+    """For each template of a kind the longest word in more than a fifth of its distinct shingles; empty if one has none."""
     out = set()
     for _, text in templates:
-        if not (words := _template_words(text)):
-            continue
+        words = _template_words(text)
         k = min(SHINGLE, len(words))
+        if not words or (k, len(words) - k + 1) != kind[:2]:
+            continue
         runs = {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
         usable = [w for w in words if sum(w in run for run in runs) > (1 - LEAST) * len(runs) + 1e-9]
         if not usable:
@@ -89,6 +90,18 @@ def _needed(templates) -> list[str]:
     return sorted(out)
 
 
+def _starts_around(needed: list[str], span: int, stride: int, last: Column) -> Column:
+    """Starts of the windows of ``span`` words, a stride apart and none after ``last``, that hold a needed word."""
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(needed))
+
+    def around(place: Column) -> Column:
+        lo = F.ceil(F.greatest(place - span + 1, F.lit(0)) / stride).cast("int") * stride
+        hi = F.least(place, last)
+        return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size("words") > 0, F.array_distinct(F.flatten(F.transform(places, around)))).otherwise(F.array().cast("array<int>"))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, containment, n_windows, first_word) for every license found in a document.
 
@@ -100,11 +113,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text:
         raise ValueError(f"{len(templates)} templates; a scan takes {MOST_TEMPLATES} at most")
     body = named(docs, text)[0].cast("string")
     rows = docs.select(named(docs, doc_id)[0].alias("doc_id"), body.alias("text"))
-    if needed := _needed(templates):
-        rows = rows.filter(F.col("text").rlike("(?i)" + "|".join(map(re.escape, needed))))
+    classes = _classes(templates)
+    needed = [_needed(templates, kind) for kind in classes]
+    if all(needed):
+        rows = rows.filter(F.col("text").rlike("(?i)" + "|".join(sorted({re.escape(w) for words in needed for w in words}))))
     rows = rows.select("doc_id", _words(F.col("text")).alias("words"))
 
-    classes = _classes(templates)
     known = spark.createDataFrame([(n, t) for n, t in templates if _template_words(t)], "license string, template string")
     known = known.select("license", _words(F.col("template")).alias("words"))
     size = F.least(F.lit(SHINGLE), F.size("words"))
@@ -113,7 +127,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, doc_id: str = "doc_id", text:
         mine = known.filter((size == k) & (F.size("words") - k + 1 == m))
         parts.append(mine.select("license", F.lit(c).alias("kind"), F.array_distinct(_shingles(F.col("words"), k)).alias("template")))
         # Positions count from 0; the last window is the one that holds the last full-length place.
-        starts = F.sequence(F.lit(0), F.greatest(F.size(f"s{k}") - m, F.lit(0)), F.lit(stride))
+        last = F.greatest(F.size(f"s{k}") - m, F.lit(0))
+        starts = _starts_around(needed[c], m + stride + k - 2, stride, last) if needed[c] else F.sequence(F.lit(0), last, F.lit(stride))
         cut = lambda s: F.struct(F.lit(c).alias("kind"), s.alias("at"), F.slice(F.col(f"s{k}"), s + 1, m + stride - 1).alias("window"))  # noqa: B023, E731
         windows.append(F.transform(starts, cut))
     if not parts:
