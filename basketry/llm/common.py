@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``size`` bytes of text; a longer text is a piece of its own."""
     for batch in batches:
-        lengths = np.array([0 if t is None else len(t) for t in texts(batch, column)], dtype=np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         piece = (np.cumsum(lengths) - lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import arrow_map, carried, named, unpacked, with_text
+from basketry.llm.common import arrow_map, carried, named, slices, unpacked, with_text
 
 ORDER = 3
 PROFILE = 300
@@ -106,7 +106,7 @@ def profiles(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Dat
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             waiting: dict[str, list[str]] = {}
             size: dict[str, int] = {}
             for lang, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, rows: list[tuple[str, int, str]], *, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),

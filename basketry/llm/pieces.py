@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import arrow_map, carried, file_bytes, free, lists, unpacked, with_text
+from basketry.llm.common import arrow_map, carried, file_bytes, free, lists, slices, unpacked, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             column, ids = _encoded(batch, c)
             out = [batch.column("row"), column, pa.array([0 if i is None else len(i) for i in ids], pa.int64())]
             if check:

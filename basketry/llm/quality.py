@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Powers, WordHashes, arrow_map, carried, named, texts, unpacked, window_hashes, with_text
+from basketry.llm.common import Powers, WordHashes, arrow_map, carried, named, slices, texts, unpacked, window_hashes, with_text
 from basketry.session import materialize
 
 LEAST_WORDS = 50
@@ -71,7 +71,7 @@ def measure(docs: DataFrame, *, text: str = "text", keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers(0)
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([counts_of(t, hashes, powers) for t in texts(batch)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found.T.copy())], names=["row", *COUNTS])
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import LOWER, arrow_map, carried, named, texts, unpacked, with_text
+from basketry.llm.common import LOWER, arrow_map, carried, named, slices, texts, unpacked, with_text
 from basketry.llm.components import components
 from basketry.session import materialize
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     passed = ["row", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = pa.array([fingerprint(t) for t in texts(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([*map(batch.column, passed), fps], names=[*passed, "fp"])
 

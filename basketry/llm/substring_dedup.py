@@ -30,13 +30,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Powers, WordHashes, arrow_map, carried, lists, named, texts, window_hashes, with_text
+from basketry.llm.common import Powers, WordHashes, arrow_map, carried, lists, named, slices, texts, window_hashes, with_text
 from basketry.session import materialize
 
 WINDOW = 20
 GRAM = 8
 # Words whose automaton one task holds at a time (about 0.7 kB each). A longer document is a shard of its own.
-SHARD_WORDS = 1 << 17
+SHARD_WORDS = 1 << 16
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -95,7 +95,7 @@ def _census(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers(0)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, sha, grams, firsts = [], [], [], []
             for t in texts(batch):
                 words = t.split() if t else []
@@ -185,7 +185,7 @@ def _new_windows(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
                 pa.array(f["uid"], pa.int64()), pa.array(joined["start"].astype(np.int32), pa.int32()),
             ], names=["k1", "k2", "id", "uid", "start"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, uid, ranges, t in zip(batch.column("id").to_pylist(), batch.column("uid").to_pylist(), batch.column("ranges").to_pylist(), texts(batch)):
                 held.append((doc, uid, ranges, cache.of(t.split())))
                 size += sum(hi - lo for lo, hi in stretches(ranges))
@@ -253,7 +253,7 @@ def digest(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", windo
     census, cuts = removals(docs, doc_id=doc_id, text=text, window=window, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left = [_remains(t.split(), s, window) for t, s in zip(texts(batch), batch.column("starts").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column("uid"), pa.array([len(w) for w in left], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in left]),
@@ -281,11 +281,11 @@ def dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window
     if acts.filter("many AND NOT gone").take(1):
         once = joined.filter("many").groupBy("id_", "th_").agg(F.first("row").alias("row"), F.first("starts").alias("starts"))
         joined = joined.filter("many IS NULL OR NOT many").select("row", "starts").union(once.select("row", "starts"))
-    joined = joined.select("row", "starts")
+    joined = joined.select("row", "starts", F.col("row").getField(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column("row").field(text).cast(pa.string()).cast(pa.binary()).to_pylist()
+        for batch in slices(batches):
+            bodies = texts(batch)
             starts = batch.column("starts").to_pylist()
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), pa.array([t if s is None else cut_text(t, s, window) for t, s in zip(bodies, starts)], pa.binary()).cast(pa.string()),

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import arrow_map, carried, file_bytes, with_text
+from basketry.llm.common import arrow_map, carried, file_bytes, slices, with_text
 from basketry.session import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -46,7 +46,7 @@ def lengths(docs: DataFrame, *, text: str = "text", keep: list[str] | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(shared.value).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64())], names=["row", "n_tokens"])
 
