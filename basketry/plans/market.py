@@ -404,3 +404,10 @@ def supplied_market(spark: SparkSession, sf_dir: str, settings: Settings = MONTH
             settings=settings, index_panel=fixtures.index_level_monthly(spark, sf_dir),
         )
     return _markets[key]
+
+
+def release_supplied() -> None:
+    """Unpersist every market that ``supplied_market`` has built and forget it."""
+    for market in _markets.values():
+        market.release()
+    _markets.clear()

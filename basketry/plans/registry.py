@@ -724,7 +724,8 @@ def risk_kill_switch(m: Market) -> DataFrame:
 
 @query("full_comparison")
 def full_comparison(m: Market) -> DataFrame:
-    out = named.full_comparison(m, with_settings=False)
+    out = named.full_comparison(m)
+    out = out.withColumn("settings", F.to_json("settings"))
     return tidy(out, **{f.name: 6 for f in out.schema.fields if f.dataType.simpleString() == "double" and f.name != "aum"})
 
 
@@ -763,6 +764,36 @@ def clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_changes(fixtures.raw_changes(spark, sf_dir))
 
 
+def _written(df: DataFrame, name: str, kind: str = "parquet") -> str:
+    """Path of ``df`` as files in the shared folder, for the scans to read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.option("header", True).format(kind).save(path)
+    return path
+
+
+@query("scan_prices")
+def scan_prices(m: Market) -> DataFrame:
+    path = _written(m.prices.select("symbol", "date", "close", "volume"), "prices")
+    return tidy(cleaning.read_prices(m.spark, path), close=9)
+
+
+@raw_query("scan_index_level")
+def scan_index_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _written(fixtures.index_level(spark, sf_dir), "index")
+    return tidy(cleaning.read_index_level(spark, path, ["IDX", "IDXTR"]), close=4)
+
+
+@raw_query("scan_constituents")
+def scan_constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.read_constituents(spark, _written(cleaning.clean_constituents(fixtures.raw_constituents(spark, sf_dir)), "constituents", "csv"))
+
+
+@raw_query("scan_changes")
+def scan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.read_changes(spark, _written(cleaning.clean_changes(fixtures.raw_changes(spark, sf_dir)), "changes", "csv"))
+
+
 @raw_query("clean_shares")
 def clean_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_shares(fixtures.raw_shares(spark, sf_dir))

@@ -305,6 +305,12 @@ SELECT CAST(o_orderdate AS DATE) AS effective_date, CASE WHEN o_orderkey % 2 = 0
   CASE WHEN o_orderkey % 2 = 0 THEN concat('C-', CAST(o_custkey AS VARCHAR)) END AS added_feed,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('D-', CAST(o_custkey AS VARCHAR)) END AS removed_feed
 FROM orders WHERE o_orderkey % 13 <> 0"""
+FINALS["scan_constituents"] = FINALS["clean_constituents"]
+FINALS["scan_changes"] = FINALS["clean_changes"]
+FINALS["scan_prices"] = "SELECT symbol, date, round(close, 9) AS close, CAST(volume AS DOUBLE) AS volume FROM px"
+FINALS["scan_index_level"] = """
+SELECT ticker, date, round(CASE WHEN ticker = 'IDX' THEN close ELSE close * (1 + (date - DATE '1995-01-01') / 10000.0::DOUBLE) END, 4) AS close
+FROM (SELECT t.name AS ticker, date, close FROM idx, (SELECT unnest(['IDX', 'IDXTR']) AS name) t) q"""
 FINALS["clean_shares"] = """
 SELECT symbol, filing_date, shares FROM (
   SELECT concat('U', CAST(user_id AS VARCHAR)) AS symbol, CAST(ts AS DATE) AS filing_date,
