@@ -251,7 +251,7 @@ def solve_quadratic(
     specs = materialize(specs, "specs")  # a row per problem; also keeps the two sides of the cogroup apart
     shared_keys = [k for k in keys if k in names.columns]
     if len(shared_keys) < len(keys):  # one group per problem, so that they run in parallel
-        names = names.join(F.broadcast(specs.select(*[F.col(k).alias(k) for k in keys])), shared_keys)
+        names = names.join(small(specs.select(*[F.col(k).alias(k) for k in keys]), specs.count()), shared_keys)
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
         empty = _nothing(schema)
@@ -285,7 +285,7 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
     for p, r in rows.items():
         members.setdefault(r["_group"], []).append(p)
     groups = numbered.select(*shared_keys, "_group").distinct()
-    tagged = materialize(names.join(F.broadcast(groups), shared_keys), "names")
+    tagged = materialize(names.join(small(groups, len(rows)), shared_keys), "names")
     specs_by = {p: (*_spec(r), float(r["scale"])) for p, r in rows.items()}
     solvers, points, final = {}, {}, {}
     for p, (spec, days, _) in specs_by.items():
@@ -320,7 +320,7 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
 
     raw = tagged.mapInPandas(weigh, schema)
     total = raw.groupBy(*keys).agg(F.sum("weight").alias("_total"))
-    return raw.join(F.broadcast(total), keys).select(*keys, "symbol", (F.col("weight") / F.col("_total")).alias("weight"))
+    return raw.join(small(total, len(rows)), keys).select(*keys, "symbol", (F.col("weight") / F.col("_total")).alias("weight"))
 
 
 def _sum_names(tagged: DataFrame, specs_by: dict, members: dict, points: dict) -> dict:
