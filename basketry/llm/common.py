@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,23 +65,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 yield batch.slice(lo, hi - lo)
 
 
-class WordHashes(dict):
-    """64-bit hash of each distinct word, remembered up to a bound (a cache: forgetting changes no result)."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, as long as the longest text so far."""
 
@@ -103,6 +85,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASES[0]))
+
+
+def word_hashes(text: bytes | None, powers: Powers) -> np.ndarray:
+    """64-bit hashes of the words between white space (space and 0x09 to 0x0D), in order, as ``bytes.split`` finds them."""
+    if not text:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers.get(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def window_hashes(hashes: np.ndarray, size: int, powers: Powers) -> np.ndarray:
     """One 64-bit hash per window of ``size`` words: a polynomial in the words' hashes, from prefix sums."""
     n = len(hashes) - size + 1

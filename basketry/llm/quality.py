@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Powers, WordHashes, arrow_map, carried, named, slices, texts, unpacked, window_hashes, with_text
+from basketry.llm.common import Powers, arrow_map, carried, named, slices, texts, unpacked, window_hashes, with_text, word_hashes
 from basketry.session import materialize
 
 LEAST_WORDS = 50
@@ -46,7 +46,7 @@ VECTOR = tuple(f"x{i}" for i in range(5))
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1)]
 
 
-def counts_of(text: bytes | None, hashes: WordHashes, powers: Powers) -> tuple[int, ...]:
+def counts_of(text: bytes | None, spelling: Powers, powers: Powers) -> tuple[int, ...]:
     """COUNTS of one text."""
     if not text:
         return (0,) * len(COUNTS)
@@ -55,7 +55,7 @@ def counts_of(text: bytes | None, hashes: WordHashes, powers: Powers) -> tuple[i
     lines = [line for line in text.split(b"\n") if line.strip(SPACE)]
     repeated = 0
     if len(words) > 3:
-        windows = window_hashes(hashes.of(words), 3, powers)
+        windows = window_hashes(word_hashes(text, spelling), 3, powers)
         _, index, times = np.unique(windows, return_inverse=True, return_counts=True)
         twice = times[index] > 1
         cover = np.zeros(len(words), bool)
@@ -70,9 +70,9 @@ def measure(docs: DataFrame, *, text: str = "text", keep: list[str] | None = Non
     source = with_text(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers(0)
+        spelling, powers = Powers(1), Powers(0)
         for batch in slices(batches):
-            found = np.array([counts_of(t, hashes, powers) for t in texts(batch)], np.int64).reshape(-1, len(COUNTS))
+            found = np.array([counts_of(t, spelling, powers) for t in texts(batch)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found.T.copy())], names=["row", *COUNTS])
 
     return arrow_map(source, run, carried(source, ["row"], ", ".join(f"{c} long" for c in COUNTS)))

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Powers, WordHashes, arrow_map, carried, lists, named, slices, texts, window_hashes, with_text
+from basketry.llm.common import Powers, arrow_map, carried, lists, named, slices, texts, window_hashes, with_text, word_hashes
 from basketry.session import materialize
 
 WINDOW = 20
@@ -94,14 +94,14 @@ def _census(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) ->
     gram = min(gram, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers(0)
+        spelling, powers = Powers(1), Powers(0)
         for batch in slices(batches):
             n_words, sha, grams, firsts = [], [], [], []
             for t in texts(batch):
                 words = t.split() if t else []
                 n_words.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                g, f = elected(hashes.of(words), window, gram, powers)
+                g, f = elected(word_hashes(t, spelling), window, gram, powers)
                 grams.append(g)
                 firsts.append(f)
             sizes = [len(g) for g in grams]
@@ -172,7 +172,7 @@ def _new_windows(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        cache, powers = WordHashes(), (Powers(0), Powers(1))
+        spelling, powers = Powers(1), (Powers(0), Powers(1))
         held: list = []
         size = 0
 
@@ -187,7 +187,7 @@ def _new_windows(rows: DataFrame, window: int, shard_words: int) -> DataFrame:
 
         for batch in slices(batches):
             for doc, uid, ranges, t in zip(batch.column("id").to_pylist(), batch.column("uid").to_pylist(), batch.column("ranges").to_pylist(), texts(batch)):
-                held.append((doc, uid, ranges, cache.of(t.split())))
+                held.append((doc, uid, ranges, word_hashes(t, spelling)))
                 size += sum(hi - lo for lo, hi in stretches(ranges))
                 if size >= shard_words:
                     yield out()
