@@ -117,7 +117,8 @@ def _census(docs: DataFrame, doc_id: str, text: str, window: int, gram: int) ->
 def _open_windows(census: DataFrame, window: int) -> DataFrame:
     """(uid, id, th, ranges) of the first copies that have windows whose gram occurs twice; ranges are [lo, hi] of window starts."""
     spread = census.select("uid", F.posexplode("grams").alias("k", "gram"))
-    repeated = spread.groupBy("gram").count().filter("count > 1").select("gram")
+    # Written, so that the join below reads two plain exchanges and Spark can split a gram that very many texts share.
+    repeated = materialize(spread.groupBy("gram").count().filter("count > 1").select("gram"), "repeated")
     chosen = spread.join(repeated, "gram").groupBy("uid").agg(F.collect_list("k").alias("ks"))
     after = lambda k: F.when(k + 1 < F.size("firsts"), F.get("firsts", k + 1)).otherwise(F.col("n_words") - window + 1)
     ranges = F.transform(F.array_sort("ks"), lambda k: F.struct(F.get("firsts", k).alias("lo"), (after(k) - 1).cast("int").alias("hi")))
