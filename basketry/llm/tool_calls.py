@@ -5,9 +5,12 @@ number of calls before it, found for all calls at once by pointer doubling, so a
 whatever conversation it is in. Calls sorted by (level, at, call_id) are in topological order. Arguments are checked
 against the tool's schema and every record is written as canonical JSON: keys sorted, no white space, numbers normal.
 
-Defined results: rows that repeat an identifier are one call (the least by name and arguments), counted in ``copies``, and
-results likewise; a call without an identifier is never linked; a call that follows an unknown call is a root;
-calls on a cycle, or behind one, have no level; an orphan result is a record of its own.
+Defined results: calls that are equal in every column are one, counted in ``copies``, and results likewise. Calls that
+share an identifier but differ are a record each with status ``conflict``, and so is the call whose results differ: it
+shows the least of them, every other one is a record of its own with that status. An identifier's level is that of its
+least call. Every call and every result without an identifier is a record of its own (``no identifier``) and never linked;
+a call that follows an unknown call is a root; calls on a cycle, or behind one, have no level; every orphan result is a
+record of its own.
 """
 
 from __future__ import annotations
@@ -90,17 +93,30 @@ def _faults(arguments: Column, parameters: tuple[Parameter, ...]) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, tuple[Parameter, ...]]) -> DataFrame:
-    """One record per call and per orphan result.
+    """One record per call, and per result that no call's record shows.
 
     ``calls``: scope, call_id, at, name, arguments (JSON text), after. ``results``: scope, call_id, content.
     Gives scope, call_id, at, level, status, errors, copies and json.
     """
-    one = F.min(F.struct("name", "arguments", "at", "after", "scope")).alias("c")
-    calls = materialize(calls.groupBy("call_id").agg(one, F.count("*").alias("copies")).select("call_id", "c.*", "copies"), "calls")
-    answers = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("result"), F.first("scope").alias("scope_r"))
-    order = levels(calls)
-    rows = calls.join(answers.select("call_id", "result", F.lit(True).alias("answered")), "call_id", "left")
-    rows = rows.join(order, "call_id", "left").withColumn("value", F.try_parse_json("arguments"))
+    columns = ["call_id", "name", "arguments", "at", "after", "scope"]
+    single = materialize(calls.filter("call_id IS NOT NULL").groupBy(*columns).agg(F.count("*").alias("copies")), "calls")
+    least = F.min(F.struct("name", "arguments", "at", "after", "scope")).alias("c")
+    first = materialize(single.groupBy("call_id").agg(least, F.count("*").alias("kinds")), "identifiers")
+    said = materialize(results.filter("call_id IS NOT NULL").groupBy("call_id", "content", "scope").agg(F.count("*").alias("copies")), "results")
+    shown = F.min(F.struct(F.col("content").isNull().alias("empty"), "content", "scope")).alias("r")
+    answers = said.groupBy("call_id").agg(shown, F.count("*").alias("replies"))
+    known = materialize(first.select("call_id", "kinds").join(answers, "call_id", "left"), "answers")
+    order = levels(first.select("call_id", F.col("c.after").alias("after")))
+    places = known.join(order, "call_id").select(
+        "call_id", "level", F.col("r.content").alias("result"), F.col("r").isNotNull().alias("answered"),
+        ((F.col("kinds") > 1) | F.coalesce(F.col("replies") > 1, F.lit(False))).alias("conflict"),
+    )
+    rows = single.join(places, "call_id").select(*columns, "copies", "level", "result", "answered", "conflict")
+    nameless = calls.filter("call_id IS NULL").select(
+        *columns, F.lit(1).cast("long").alias("copies"), F.lit(None).cast("long").alias("level"), F.lit(None).cast("string").alias("result"),
+        F.lit(False).alias("answered"), F.lit(False).alias("conflict"),
+    )
+    rows = rows.union(nameless).withColumn("value", F.try_parse_json("arguments"))
 
     is_object = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
     errors = F.array(F.lit("unknown tool"))
@@ -108,7 +124,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, tuple[Parameter,
         errors = F.when(F.col("name") == name, _faults(F.col("value"), parameters)).otherwise(errors)
     errors = F.when(~is_object, F.array(F.lit("arguments are not an object"))).otherwise(errors)
     status = (
-        F.when(F.col("call_id").isNull(), "no identifier").when(F.size("errors") > 0, "invalid").when(F.col("level").isNull(), "cycle")
+        F.when(F.col("call_id").isNull(), "no identifier").when(F.col("conflict"), "conflict").when(F.size("errors") > 0, "invalid").when(F.col("level").isNull(), "cycle")
         .when(F.col("answered"), "linked").otherwise("no result")
     )
     rows = rows.withColumn("errors", errors).withColumn("status", status)
@@ -116,13 +132,16 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, tuple[Parameter,
         F.col("value").alias("arguments"), F.col("call_id").alias("id"), "level", "name", "result", "status",
     ))
     linked = rows.select("scope", "call_id", "at", "level", "status", F.array_join("errors", "; ").alias("errors"), "copies", record.alias("json"))
-    orphans = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min("content").alias("result"), F.min("scope").alias("scope"), F.count("*").alias("copies"),
-    ).join(calls.select("call_id"), "call_id", "left_anti")
+    # Results that no call's record shows: of unknown calls, further ones of known calls, and those without an identifier.
+    apart = said.join(known.select("call_id", "r", F.lit(True).alias("called")), "call_id", "left")
+    apart = apart.filter("called IS NULL OR NOT (content <=> r.content AND scope <=> r.scope)").select(
+        "scope", "call_id", "content", F.when(F.col("called"), "conflict").otherwise("orphan result").alias("status"), "copies",
+    )
+    apart = apart.union(results.filter("call_id IS NULL").select("scope", "call_id", "content", F.lit("no identifier"), F.lit(1).cast("long")))
     null = lambda kind: F.lit(None).cast(kind)
-    lost = orphans.withColumn("status", F.lit("orphan result")).select(
+    lost = apart.select(
         "scope", "call_id", null(calls.schema["at"].dataType).alias("at"), null("long").alias("level"), "status", F.lit("").alias("errors"), "copies",
-        F.to_json(F.struct(F.col("call_id").alias("id"), "result", "status")).alias("json"),
+        F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result"), "status")).alias("json"),
     )
     return linked.union(lost)
 
@@ -146,13 +165,14 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("role") == "system", sets).otherwise(asks).alias("arguments"), ident(1).alias("one"), ident(2).alias("two"),
     )
     known = calls.select(F.col("call_id").alias("id")).filter("id IS NOT NULL").distinct()
-    calls = calls.join(known, F.col("one") == F.col("id"), "left")
+    bare = calls.filter("one IS NULL").withColumn("id", F.lit(None).cast("string"))  # would all meet in one task
+    calls = calls.filter("one IS NOT NULL").join(known, F.col("one") == F.col("id"), "left").union(bare)
     calls = calls.select("scope", "call_id", "at", "name", "arguments", F.coalesce("id", "two").alias("after"))
     results = turns.filter(is_result).select(F.col("conv_id").alias("scope"), ident(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """conv_id, call_id, turn, level, status, errors, copies and json of every call and orphan result."""
+    """conv_id, call_id, turn, level, status, errors, copies and json of every call, and of every result that no call shows."""
     calls, results = from_conversations(turns)
     return link(calls, results, CONVERSATION_TOOLS).withColumnRenamed("scope", "conv_id").withColumnRenamed("at", "turn")

@@ -218,3 +218,25 @@ def test_conversations(spark):
     ])
     assert tool_calls.digest(turns).filter("call_id IS NULL").count() == 1
     assert tool_calls.digest(turns.limit(0)).count() == 0
+
+
+def test_tool_calls_lose_no_row(spark):
+    rows = [
+        (None, 1, "user", "who"), (None, 2, "user", "what"), (None, 2, "user", "what"), (7, None, "user", "when"), (None, 3, "assistant", "nobody"), (8, None, "assistant", None),
+        (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 2, "user", "next"), (1, 3, "assistant", "yes"), (1, 3, "assistant", "no"), (1, 3, "assistant", "yes"),
+        (1, 9, "assistant", "lost"), (1, 9, "assistant", "gone"), (2, 0, "user", "x"), (2, 1, "assistant", None), (2, 1, "assistant", "y"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING")
+    got = Counter()
+    for r in tool_calls.digest(turns).collect():
+        j = json.loads(r.json)
+        got[(r.conv_id, r.turn, r.call_id, r.level, r.status, r.copies, j.get("arguments", {}).get("prompt"), j.get("result"))] += 1
+    assert got == Counter([
+        (None, 1, None, None, "no identifier", 1, "who", None), (7, None, None, None, "no identifier", 1, "when", None),
+        (None, 2, None, None, "no identifier", 1, "what", None), (None, 2, None, None, "no identifier", 1, "what", None),
+        (None, None, None, None, "no identifier", 1, None, "nobody"), (8, None, None, None, "no identifier", 1, None, None),
+        (1, 0, "1:0", 0, "conflict", 1, "a", None), (1, 0, "1:0", 0, "conflict", 2, "b", None), (1, 2, "1:2", 1, "conflict", 1, "next", "no"),
+        (1, None, "1:2", None, "conflict", 2, None, "yes"), (1, None, "1:8", None, "orphan result", 1, None, "lost"), (1, None, "1:8", None, "orphan result", 1, None, "gone"),
+        (2, 0, "2:0", 0, "conflict", 1, "x", "y"), (2, None, "2:0", None, "conflict", 1, None, None),
+    ])
+    assert tool_calls.digest(turns.limit(0)).count() == 0
