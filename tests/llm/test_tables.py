@@ -130,6 +130,31 @@ def test_quality_rejects_junk(spark):
     assert all(got[r[0]] for r in rows) and not any(got[r[0]] for r in junk)
 
 
+def _junk(kind, k):
+    words = samples.prose(900 + k, 120).split()
+    if kind == "symbols":
+        return " ".join(w + "#" * (i % 2) for i, w in enumerate(words)).replace("#", "##", 12)
+    if kind == "words":
+        return " ".join(words[:90] + words[60:90])
+    lines = [" ".join(words[i:i + 4]) for i in range(0, 120, 4)]
+    return "\n".join(lines[:8] + lines[:8] + lines[8:14])
+
+
+def test_quality_rejects_a_third_of_copies_and_clear_single_outliers(spark):
+    rows = [(i, samples.prose(i, 80 + i), "en", "s", "", "", "", "") for i in range(200)]
+    copies = [(1000 + i, " ".join(w + "***" for w in samples.prose(1, 90).split()), "en", "s", "", "", "", "") for i in range(100)]
+    singles = [(2000 + i, _junk(kind, i), "en", "s", "", "", "", "") for i, kind in enumerate(("symbols", "words", "lines"))]
+    got = {r.doc_id: r.kept for r in quality.digest(samples.frame(spark, rows + copies + singles)).collect()}
+    assert not any(got[r[0]] for r in copies + singles) and sum(not got[r[0]] for r in rows) <= 4
+
+
+def test_equal_vectors_count_once(spark):
+    rng = np.random.default_rng(5)
+    x = rng.multivariate_normal([5000, 1700, 0, 0, 300], np.diag([500, 60, 1, 1, 200]) ** 2, 200).round().astype(int).tolist()
+    table = spark.createDataFrame([("a", *v, 1) for v in x + [[5000 + i, 1700, 3500, 3000, 0] for i in range(80)]], "g STRING, x0 LONG, x1 LONG, x2 LONG, x3 LONG, x4 LONG, w LONG")
+    assert quality.estimates(table).first().mean[2] < 100  # 29 % of different junk
+
+
 # -- licenses --------------------------------------------------------------------------------------------------------
 
 def brute_licenses(rows):
