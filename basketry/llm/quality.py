@@ -9,8 +9,8 @@ one place; a half may go on changing by a few vectors of its last bin. Sums are
 the order of tasks.
 
 A floor under each standard deviation keeps a group in which most values are equal from rejecting every other value.
-Sources with few documents are pooled within their language, and languages with few such documents with each other; a
-pool too small to estimate rejects nothing.
+Groups of all sizes have one rule: the moments of a source with n different vectors are mixed n to SHRINK with those of
+its language, which are mixed likewise with those of the table. A table of fewer than LEAST_POOL vectors rejects nothing.
 
 Defined results: null or empty texts have counts of 0 and fail the fixed rules; null languages and sources are groups.
 """
@@ -30,7 +30,7 @@ from basketry.session import materialize
 LEAST_WORDS = 50
 MOST_REPEATED = 0.5
 STEPS = 16
-LEAST_GROUP = 100
+SHRINK = 100
 LEAST_POOL = 30
 COVERAGE = 0.5
 # Makes the covariance of the nearest half of five normal variables consistent
@@ -92,18 +92,9 @@ def _vector() -> list:
     return [v.alias(n) for v, n in zip(values, VECTOR)]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """``g``: the source of a language, or the pool of its small sources, or the pool of small languages."""
-    sources = rows.filter("NOT base_failed").groupBy("lang", "source").count()
-    sources = sources.withColumn("own", F.col("count") >= LEAST_GROUP)
-    small = sources.groupBy("lang").agg(F.sum(F.when(~F.col("own"), F.col("count"))).alias("pool"))
-    level = F.when(F.col("own"), 2).when(F.col("pool") >= LEAST_GROUP, 1).otherwise(0)
-    groups = sources.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("lang").alias("lang_"), F.col("source").alias("source_"),
-        F.when(level == 2, F.to_json(F.struct(level.alias("n"), "lang", "source"))).when(level == 1, F.to_json(F.struct(level.alias("n"), "lang"))).otherwise("pool").alias("g"),
-    )
-    on = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return rows.join(groups, on, "left").drop("lang_", "source_")
+def _keys() -> list:
+    """The table, the language and the source that a document belongs to, as texts."""
+    return [F.lit("all").alias("g0"), F.to_json(F.struct("lang")).alias("g1"), F.to_json(F.struct(F.lit(2).alias("n"), "lang", "source")).alias("g2")]
 
 
 def _solved(moments: DataFrame) -> DataFrame:
@@ -146,9 +137,9 @@ def _start(vectors: DataFrame) -> DataFrame:
     return spread.select("g", "mean", F.array(*[entry(i) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inverse"))
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """(g, mean, inverse) of every group of ``vectors`` (g, x0..x4, w) with LEAST_POOL documents or more."""
-    sizes = vectors.groupBy("g").agg(F.sum("w").alias("size")).filter(F.col("size") >= LEAST_POOL)
+def estimates(vectors: DataFrame, least: int = LEAST_POOL) -> DataFrame:
+    """(g, mean, inverse) of every group of ``vectors`` (g, x0..x4, w) with ``least`` documents or more."""
+    sizes = vectors.groupBy("g").agg(F.sum("w").alias("size")).filter(F.col("size") >= least)
     found = materialize(_start(vectors.join(sizes.select("g"), "g")), "start")
     for _ in range(STEPS):
         placed = vectors.join(found, "g").select("g", *VECTOR, "w", F.floor(32 * F.log2(_distance() + 1e-6)).cast("int").alias("bin"))
@@ -166,6 +157,41 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return found
 
 
+def _full(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, means and covariances of the estimates of one level."""
+    inverse = np.zeros((batch.num_rows, 5, 5))
+    lower = np.array(batch.column(f"inverse{k}").to_pylist(), float).reshape(-1, len(_PAIRS))
+    for (i, j), values in zip(_PAIRS, lower.T):
+        inverse[:, i, j] = inverse[:, j, i] = values
+    return batch.column(f"n{k}").to_numpy().astype(float), np.array(batch.column(f"mean{k}").to_pylist(), float).reshape(-1, 5), np.linalg.inv(inverse)
+
+
+def shrunk(groups: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(g, mean, inverse) of every group of ``groups`` (g0, g1, g2), each level mixed with the one above it."""
+    sizes = vectors.groupBy("g").agg(F.sum("w").alias("n"))
+    found = materialize(estimates(vectors, 1).join(sizes, "g"), "sized")
+    for k in range(3):
+        level = found.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("n", "mean", "inverse")])
+        groups = groups.join(level, f"g{k}")
+    groups = groups.filter(F.col("n0") >= LEAST_POOL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, mean, covariance = _full(batch, 0)
+            for k in (1, 2):
+                n, own, spread = _full(batch, k)
+                part = n / (n + SHRINK)
+                off = own - mean
+                mean = mean + part[:, None] * off
+                between = (part * (1 - part))[:, None, None] * off[:, :, None] * off[:, None, :]
+                covariance = part[:, None, None] * spread + (1 - part)[:, None, None] * covariance + between
+            inverse = np.linalg.inv(covariance)
+            lower = np.stack([inverse[:, i, j] for i, j in _PAIRS], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("g2"), pa.array(mean.tolist(), pa.list_(pa.float64())), pa.array(lower.tolist(), pa.list_(pa.float64()))], names=["g", "mean", "inverse"])
+
+    return arrow_map(groups, run, "g string, mean array<double>, inverse array<double>")
+
+
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """``row`` (carried columns), the counts, ``base_failed``, ``distance`` (null without an estimate) and ``kept``."""
     groups = docs.select(*named(docs, *docs.columns))
@@ -175,9 +201,10 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     ), keep=["row", "lang", "source"]).select("row.*", *COUNTS)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = materialize(held.withColumn("base_failed", failed).select("*", *_vector()), "measured")
-    rows = _grouped(rows)
-    vectors = materialize(rows.filter("NOT base_failed").select("g", *VECTOR).distinct().withColumn("w", F.lit(1).cast("long")), "vectors")
-    found = rows.join(estimates(vectors), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    passing = rows.filter("NOT base_failed").select(*_keys(), *VECTOR)
+    vectors = passing.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *VECTOR).distinct().withColumn("w", F.lit(1).cast("long"))
+    found = materialize(shrunk(passing.select("g0", "g1", "g2").distinct(), materialize(vectors, "vectors")), "shrunk")
+    found = rows.withColumn("g", _keys()[2]).join(found, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return found.select("row", *COUNTS, "base_failed", "distance", kept.alias("kept"))
 

@@ -155,6 +155,17 @@ def test_equal_vectors_count_once(spark):
     assert quality.estimates(table).first().mean[2] < 100  # 29 % of different junk
 
 
+def test_quality_has_one_rule_for_groups_of_all_sizes(spark):
+    """A source's own words are told from its language's before it has 100 documents, and change no step at 100."""
+    def far(n):
+        rows = [(i, samples.prose(i, 80 + i), "en", "big", "", "", "", "") for i in range(150)]
+        rows += [(1000 + i, samples.prose(i, 400), "en", "small", "", "", "", "") for i in range(n)]
+        return {r.doc_id: r.distance for r in quality.digest(samples.frame(spark, rows)).collect()}[1000]
+
+    at = {n: far(n) for n in (5, 60, 99, 101)}
+    assert at[60] < 0.9 * at[5] and abs(at[101] - at[99]) < 0.1 * at[99]
+
+
 # -- licenses --------------------------------------------------------------------------------------------------------
 
 def brute_licenses(rows):
