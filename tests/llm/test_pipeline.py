@@ -57,6 +57,13 @@ def test_stages_in_turn(spark, tmp_path):
             assert Counter(after) == Counter(before) and docs.columns[len(columns):] == ["ids_", "n_pieces"]
 
 
+def test_language_id_keeps_short_texts_and_unlearned_scripts(spark, tmp_path):
+    rows = [(i, samples.prose(i, 60), "en", "s", "", "", "", "") for i in range(8)]
+    odd = [(100, "Kubernetes xylophone jukebox", None, "s", "", "", "", ""), (101, "Добрый день", None, "s", "", "", "", ""), (102, "12 34 !!", None, "s", "", "", "", "")]
+    docs = samples.frame(spark, rows + odd)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == {*range(8), 100, 101}
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     sf = tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, sf).count() == 0
