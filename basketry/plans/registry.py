@@ -781,7 +781,7 @@ def scan_prices(m: Market) -> DataFrame:
 @raw_query("scan_index_level")
 def scan_index_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _written(fixtures.index_level(spark, sf_dir), "index")
-    return tidy(cleaning.read_index_level(spark, path, ["IDX", "IDXTR"]), close=4)
+    return tidy(cleaning.read_index_level(spark, path, ["IDX", "IDXTR"]), close=9)
 
 
 @raw_query("scan_constituents")
@@ -831,7 +831,9 @@ def buffered_price_scan(m: Market) -> DataFrame:
 
 @query("wide_price_panel")
 def wide_price_panel(m: Market) -> DataFrame:
-    return cleaning.to_wide(m.prices, "close")
+    """The wide export, read back as (date, symbol, close): its column names depend on the data."""
+    wide = cleaning.to_wide(m.prices, "close")
+    return wide.unpivot("date", [c for c in wide.columns if c != "date"], "symbol", "close").where("close IS NOT NULL")
 
 
 @raw_query("price_key_violations")

@@ -132,9 +132,11 @@ FINALS["daily_returns_unfilled"] = """
 SELECT a.symbol, a.pos, round(a.close / b.close - 1, 9) AS ret FROM px_daily a JOIN px_daily b ON a.symbol = b.symbol AND b.pos = a.pos - 1
 WHERE b.close <> 0"""
 FINALS["daily_returns_filled"] = """
-WITH f AS (SELECT g.symbol, g.pos, p.close FROM (SELECT s.symbol, c.pos FROM (SELECT DISTINCT symbol FROM px_daily) s CROSS JOIN cal_daily c) g
-  ASOF JOIN px_daily p ON p.symbol = g.symbol AND p.pos <= g.pos)
-SELECT a.symbol, a.pos, round(a.close / b.close - 1, 9) AS ret FROM f a JOIN f b ON a.symbol = b.symbol AND b.pos = a.pos - 1 WHERE b.close <> 0"""
+WITH q AS (SELECT symbol, pos, close, lead(pos) OVER (PARTITION BY symbol ORDER BY pos) AS following, (SELECT max(pos) + 1 FROM cal_daily) AS past
+    FROM px_daily WHERE close IS NOT NULL),
+  f AS (SELECT symbol, unnest(range(pos, coalesce(following, past))) AS pos, close FROM q),
+  b AS (SELECT symbol, pos, close, lag(close) OVER (PARTITION BY symbol ORDER BY pos) AS before FROM f)
+SELECT symbol, pos, round(close / before - 1, 9) AS ret FROM b WHERE before <> 0"""
 
 FINALS["rolling_vol"] = "SELECT date, round(vol, 8) AS vol FROM regimes"
 FINALS["regime_labels"] = "SELECT date, label FROM regimes"
@@ -309,7 +311,7 @@ FINALS["scan_constituents"] = FINALS["clean_constituents"]
 FINALS["scan_changes"] = FINALS["clean_changes"]
 FINALS["scan_prices"] = "SELECT symbol, date, round(close, 9) AS close, CAST(volume AS DOUBLE) AS volume FROM px"
 FINALS["scan_index_level"] = """
-SELECT ticker, date, round(CASE WHEN ticker = 'IDX' THEN close ELSE close * (1 + (date - DATE '1995-01-01') / 10000.0::DOUBLE) END, 4) AS close
+SELECT ticker, date, round(CASE WHEN ticker = 'IDX' THEN close ELSE close * (1 + (date - DATE '1995-01-01') / 10000.0::DOUBLE) END, 9) AS close
 FROM (SELECT t.name AS ticker, date, close FROM idx, (SELECT unnest(['IDX', 'IDXTR']) AS name) t) q"""
 FINALS["clean_shares"] = """
 SELECT symbol, filing_date, shares FROM (
@@ -327,8 +329,7 @@ SELECT w.symbol, CASE WHEN c.symbol IS NOT NULL THEN concat(c.symbol, '-M') ELSE
 FROM w LEFT JOIN fx_constituents c ON c.symbol = w.symbol"""
 FINALS["price_hits"] = "SELECT symbol, symbol IN (SELECT symbol FROM fx_anchors) AS found FROM fx_constituents"
 FINALS["buffered_price_scan"] = "SELECT symbol, date, close FROM px WHERE date >= DATE '1998-01-01' - 400"
-FINALS["wide_price_panel"] = """
-SELECT * FROM (PIVOT (SELECT date, symbol, close FROM px) ON symbol USING max(close) GROUP BY date)"""
+FINALS["wide_price_panel"] = "SELECT date, symbol, close FROM px WHERE close IS NOT NULL"
 FINALS["price_key_violations"] = """
 SELECT CAST(coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_suppkey IS NULL THEN n ELSE 0 END), 0) AS BIGINT) AS null_keys,
   count(*) FILTER (WHERE n > 1 AND l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL) AS duplicate_keys
