@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, langid, licenses, pieces, quality, shards, simhash, substring_dedup, token_counts, tool_calls
+from basketry.llm import decontaminate, fim, langid, licenses, pieces, quality, shards, simhash, substring_dedup, token_counts, tool_calls
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -52,7 +52,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_sharding, op3_quality_outliers, op4_tool_calls, op5_token_counts, op6_decontaminate,
-    op7_substring_dedup, op8_license_scan, op9_language_id, op10_simhash_near_dedup,
+    op7_substring_dedup, op8_license_scan, op9_language_id, op10_simhash_near_dedup, op11_fill_in_middle,
 )}
