@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import decontaminate, fim, langid, licenses, pieces, quality, shards, simhash, substring_dedup, token_counts, tool_calls, toxicity
+from basketry.llm import decontaminate, fim, langid, licenses, pieces, quality, shards, simhash, substring_dedup, token_counts, tool_calls, toxicity, vector_codes
 from basketry.llm.sql import ORACLES  # noqa: F401
 
 
@@ -56,11 +56,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_sharding, op3_quality_outliers, op4_tool_calls, op5_token_counts, op6_decontaminate,
-    op7_substring_dedup, op8_license_scan, op9_language_id, op10_simhash_near_dedup, op11_fill_in_middle, op13_toxicity,
+    op7_substring_dedup, op8_license_scan, op9_language_id, op10_simhash_near_dedup, op11_fill_in_middle, op12_vector_codes, op13_toxicity,
 )}

@@ -114,3 +114,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
   sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """One pair of views for each round: the nearest entry of every part, and the entries moved to the means."""
+    near = """SELECT r, part, entry, d FROM (SELECT x.r, x.part, c.entry, sum((x.x - c.c) * (x.x - c.c)) AS d FROM x JOIN {c} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1"""
+    views = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, (i - 1) // w AS part, (i - 1) % w AS pos, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT r, e, len(e) // {parts} AS w, unnest(range(1, len(e) + 1)) AS i FROM v))",
+        f"s AS MATERIALIZED (SELECT r, n - 1 AS entry FROM (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS n FROM v) WHERE n <= {entries})",
+        "c0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM x JOIN s USING (r))",
+    ]
+    for k in range(rounds):
+        views += [
+            f"a{k} AS MATERIALIZED ({near.format(c=f'c{k}')})",
+            f"m{k} AS MATERIALIZED (SELECT a.part, a.entry, x.pos, CAST(floor(sum(x.x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS c FROM a{k} a JOIN x ON x.r = a.r AND x.part = a.part GROUP BY ALL)",
+            f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)",
+        ]
+    views += [
+        f"last AS MATERIALIZED ({near.format(c=f'c{rounds}')})",
+        "coded AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY r)",
+        f"spelled AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return "WITH " + ",\n".join(views) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), spelled"""
+
+
+ORACLES["op12_vector_codes"] = _vector_codes()
