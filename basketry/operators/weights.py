@@ -29,8 +29,12 @@ def equal_weights(members: DataFrame, start_prices: DataFrame, schedule: Schedul
 
 
 def quality_weights(members: DataFrame, scores: DataFrame, schedule: Schedule) -> DataFrame:
-    """Proportional to ``exp`` of the clipped score over scored members; a quote is not required."""
-    held = members.join(scores.where("score IS NOT NULL").select("symbol", "score"), "symbol").withColumn(
+    """Proportional to ``exp`` of the clipped score over scored members; a quote is not required.
+
+    Scores are per symbol, or per rebalance and symbol.
+    """
+    keys = [c for c in KEYS if c in scores.columns] + ["symbol"]
+    held = members.join(scores.where("score IS NOT NULL").select(*keys, "score"), keys).withColumn(
         "raw", F.exp(clip("score", -SCORE_CLIP, SCORE_CLIP))
     )
     return share_of_group(held, KEYS, "raw", schedule.n).select(*OUT)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry import schemas
 from basketry.functions.columns import feed_symbol
-from basketry.operators import calendar as cal_ops, costs, factors, fits, marketcap, membership, regime, stats, valuation, weights
+from basketry.operators import calendar as cal_ops, costs, factors, fits, fundamentals as known, marketcap, membership, regime, stats, valuation, weights
 from basketry.session import materialize, tune
 from basketry.sizing import Calendar, Schedule
 from basketry.sources import fixtures
@@ -145,8 +145,16 @@ class Market:
     def benchmark_returns(self) -> DataFrame:
         return valuation.value_returns(self.benchmark_values).drop("strategy")
 
+    @property
+    def dated(self) -> bool:
+        """Whether fundamentals carry the day they became public; a snapshot holds for all dates."""
+        return known.is_dated(self.fundamentals)
+
     @cached_property
     def quality(self) -> DataFrame:
+        """``(symbol, score)`` of a snapshot, ``(rebalance_date, symbol, score)`` of dated fundamentals."""
+        if self.dated:
+            return materialize(known.quality_at_rebalances(self.fundamentals, self.schedule), "quality")
         return materialize(factors.quality_scores(self.fundamentals), "quality")
 
     # --- factors ------------------------------------------------------------------------
@@ -158,15 +166,20 @@ class Market:
     @cached_property
     def factor_panels(self) -> dict[str, DataFrame]:
         s = self.settings
-        return {
+        panels = {
             "momentum": factors.momentum_scores(self.prices, self.cal, s.momentum_lookback, s.momentum_skip),
             "low_vol": factors.low_vol_scores(self.returns, self.cal, s.low_vol_window, s.periods_per_year),
-            "value": factors.value_scores(self.prices, self.fundamentals, self.cal),
         }
+        if self.dated:
+            return panels | {
+                "value": known.value_scores_known(self.prices, self.fundamentals, self.cal),
+                "quality": known.quality_panel(self.fundamentals, self.cal),
+            }
+        return panels | {"value": factors.value_scores(self.prices, self.fundamentals, self.cal)}
 
     @cached_property
     def constant_factors(self) -> dict[str, DataFrame]:
-        return {"quality": self.quality}
+        return {} if self.dated else {"quality": self.quality}
 
     @property
     def factor_names(self) -> list[str]:
@@ -361,7 +374,8 @@ def build_market(
     start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(), buffer_days: int = 400,
 ) -> Market:
     """A market over a user's own tables. Price, share and fundamentals symbols are feed symbols; the
-    constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match.
+    constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match. Fundamentals
+    with a column ``as_of`` are used as they were known on each date, others as a snapshot that holds throughout.
 
     Only prices from ``buffer_days`` before ``start`` up to ``end`` are read, so a study of two years does not scan
     the whole history; a key that is null or occurs twice in a table is an error."""

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.operators import (
-    bootstrap as BS, calendar as C, comparison as Q, costs as K, factors as X, fits as FT, marketcap as MC, membership as M,
+    bootstrap as BS, calendar as C, comparison as Q, costs as K, factors as X, fits as FT, fundamentals as KN, marketcap as MC, membership as M,
     regime as R, risk as L, stats as G, valuation as V, weights as B,
 )
 from basketry.plans import named, studies
@@ -168,6 +169,68 @@ def quality_scores(m: Market) -> DataFrame:
     return tidy(m.quality, score=8)
 
 
+# --- fundamentals as they were known --------------------------------------------------------
+
+STATED = ("returnOnEquity", "profitMargins", "earningsGrowth", "debtToEquity", "trailingEps")
+_dated: dict[int, Market] = {}
+
+
+def dated_market(m: Market, reports: DataFrame) -> Market:
+    """The same market over dated fundamentals, derived once for each market."""
+    if id(m) not in _dated or _dated[id(m)].prices is not m.prices:
+        _dated[id(m)] = replace(m, fundamentals=reports)
+    return _dated[id(m)]
+
+
+def known_query(name: str):
+    """Register a query that reads the supplied market with fundamentals as they were known on each date."""
+    def wrap(fn: Callable[[Market], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(dated_market(supplied_market(spark, sf_dir), fixtures.dated_fundamentals(spark, sf_dir)))
+        return fn
+
+    return wrap
+
+
+@known_query("fundamentals_known")
+def fundamentals_known(m: Market) -> DataFrame:
+    return tidy(KN.known_intervals(m.fundamentals, STATED), **dict.fromkeys(STATED, 9))
+
+
+@known_query("fundamentals_at_rebalances")
+def fundamentals_at_rebalances(m: Market) -> DataFrame:
+    return tidy(KN.known_at_rebalances(m.fundamentals, STATED, m.schedule), **dict.fromkeys(STATED, 9))
+
+
+@known_query("quality_scores_known")
+def quality_scores_known(m: Market) -> DataFrame:
+    return tidy(m.quality, score=8)
+
+
+@known_query("quality_panel_known")
+def quality_panel_known(m: Market) -> DataFrame:
+    return tidy(m.factor_panels["quality"], score=8)
+
+
+@known_query("value_scores_known")
+def value_scores_known(m: Market) -> DataFrame:
+    return tidy(m.factor_panels["value"], score=8)
+
+
+@known_query("information_coefficients_known")
+def information_coefficients_known(m: Market) -> DataFrame:
+    return tidy(m.ic, ic=8)
+
+
+@known_query("composite_scores_known")
+def composite_scores_known(m: Market) -> DataFrame:
+    return tidy(m.composite, composite=8)
+
+
+@known_query("quality_weights_known")
+def quality_weights_known(m: Market) -> DataFrame:
+    return tidy(m.rule_weights.where("strategy = 'quality'").drop("strategy"), weight=9)
+
+
 @query("snapshot_zscore")
 def snapshot_zscore(m: Market) -> DataFrame:
     return tidy(X.snapshot_zscore(m.fundamentals, "profitMargins").select("symbol", "zscore"), zscore=8)

@@ -145,6 +145,32 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each supplier and quarter, public some weeks after it; every fifth supplier restates each quarter 220 days
+    after its end with other figures, and not every report states every field."""
+    key, day = F.col("l_suppkey"), F.col("period_end")
+    line = table(spark, sf_dir, "lineitem")
+    quarter = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 2))
+    facts = line.groupBy("l_suppkey", quarter.alias("period_end")).agg(
+        F.avg("l_discount").alias("roe"), F.avg("l_tax").alias("margin"),
+        (F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("growth"),
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double") / F.count(F.lit(1)) / 100000).alias("eps"),
+        F.count(F.lit(1)).alias("n"),
+    ).withColumn("turn", key + F.month(day))
+    # The first report, then the restatement of those that make one.
+    told = facts.withColumn("late", F.explode(F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    late = F.col("late") == 1
+    return told.select(
+        symbol_of("l_suppkey").alias("symbol"), day,
+        F.when(late, F.date_add(day, 220)).otherwise(F.date_add(day, (20 + key % 30).cast("int"))).alias("as_of"),
+        F.when(F.col("turn") % 4 != 0, F.when(late, F.col("roe") * 1.25).otherwise(F.col("roe"))).alias("returnOnEquity"),
+        F.when(~late, F.col("margin")).alias("profitMargins"),
+        F.when(key % 7 != 0, F.col("growth")).alias("earningsGrowth"),
+        F.when(F.col("turn") % 3 != 0, (F.col("n") * 10 + key % 11 + F.when(late, 5).otherwise(0)).cast("double")).alias("debtToEquity"),
+        F.when((F.col("turn") % 5 != 0) | late, F.when(late, F.col("eps") * 0.9).otherwise(F.col("eps"))).alias("trailingEps"),
+    )
+
+
 def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily return pairs: event type = strategy, all events = benchmark."""
     daily = (

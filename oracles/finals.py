@@ -48,6 +48,15 @@ FINALS["momentum_scores"] = rounded("mom_z", "symbol, pos", score=8)
 FINALS["low_vol_scores"] = rounded("lowvol_z", "symbol, pos", score=8)
 FINALS["value_scores"] = rounded("value_z", "symbol, pos", score=8)
 FINALS["quality_scores"] = rounded("quality_z", "symbol", score=8)
+_STATES = ', '.join(f'round({c}, 9) AS "{n}"' for c, n in (("roe", "returnOnEquity"), ("margin", "profitMargins"), ("growth", "earningsGrowth"), ("debt", "debtToEquity"), ("eps", "trailingEps")))
+FINALS["fundamentals_known"] = f"SELECT symbol, known_from, CAST(lead(known_from) OVER (PARTITION BY symbol ORDER BY known_from) - 1 AS DATE) AS known_until, {_STATES} FROM known_days"
+FINALS["fundamentals_at_rebalances"] = f"SELECT t AS rebalance_date, symbol, {_STATES} FROM known_reb"
+FINALS["quality_scores_known"] = "SELECT t AS rebalance_date, symbol, round(score, 8) + 0.0::DOUBLE AS score FROM quality_known_reb"
+FINALS["quality_panel_known"] = "SELECT t AS pos, symbol, round(score, 8) + 0.0::DOUBLE AS score FROM quality_known_pos WHERE score IS NOT NULL"
+FINALS["value_scores_known"] = rounded("value_known_z", "symbol, pos", score=8)
+FINALS["information_coefficients_known"] = rounded("ic_series_known", "factor, pos, n_names", ic=8)
+FINALS["composite_scores_known"] = rounded("composite_known", "rebalance_date, symbol", composite=8)
+FINALS["quality_weights_known"] = rounded("w_quality_known", "rebalance_date, symbol", weight=9)
 FINALS["snapshot_zscore"] = "SELECT symbol, round(z2, 8) AS zscore FROM quality_parts"
 FINALS["forward_returns"] = rounded("fwd", "symbol, pos", fwd=9)
 FINALS["information_coefficients"] = rounded("ic_series", "factor, pos, n_names", ic=8)

@@ -254,6 +254,50 @@ SELECT * FROM (SELECT s.rebalance_date, s.symbol, sum(w.weight * s.score) / null
 FROM start_scores s JOIN ic_w w ON w.rebalance_date = s.rebalance_date AND w.factor = s.factor GROUP BY 1, 2) q
 WHERE composite IS NOT NULL"""
 
+# --- fundamentals as they were known ------------------------------------------------------
+
+VIEWS["fx_reports"] = """
+SELECT concat('S', CAST(k AS STRING)) AS symbol, d AS period_end, CASE WHEN late = 1 THEN d + 220 ELSE d + CAST(20 + k % 30 AS INTEGER) END AS as_of,
+  CASE WHEN turn % 4 <> 0 THEN CASE WHEN late = 1 THEN roe * 1.25::DOUBLE ELSE roe END END AS roe, CASE WHEN late = 0 THEN margin END AS margin,
+  CASE WHEN k % 7 <> 0 THEN growth END AS growth, CASE WHEN turn % 3 <> 0 THEN CAST(n * 10 + k % 11 + 5 * late AS DOUBLE) END AS debt,
+  CASE WHEN turn % 5 <> 0 OR late = 1 THEN CASE WHEN late = 1 THEN eps * 0.9::DOUBLE ELSE eps END END AS eps
+FROM (SELECT *, k + month(d) AS turn, unnest(CASE WHEN k % 5 = 0 THEN [0, 1] ELSE [0] END) AS late FROM (
+  SELECT l_suppkey AS k, last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS d, avg(l_discount) AS roe, avg(l_tax) AS margin,
+    sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity) AS growth,
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS eps, count(*) AS n
+  FROM lineitem GROUP BY 1, 2) q) t"""
+
+_KNOWN = ", ".join(f"arg_max({c}, (r.period_end - DATE '1900-01-01') * 100000 + (r.as_of - DATE '1900-01-01')) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("roe", "margin", "growth", "debt", "eps"))
+VIEWS["known_days"] = f"""
+SELECT k.symbol, k.as_of AS known_from, {_KNOWN}
+FROM (SELECT DISTINCT symbol, as_of FROM fx_reports) k JOIN fx_reports r ON r.symbol = k.symbol AND r.as_of <= k.as_of GROUP BY 1, 2"""
+VIEWS["known_reb"] = f"SELECT s.rebalance_date AS t, r.symbol, {_KNOWN} FROM sched s JOIN fx_reports r ON r.as_of <= s.rebalance_date GROUP BY 1, 2"
+VIEWS["known_pos"] = f"SELECT c.pos AS t, r.symbol, {_KNOWN} FROM cal c JOIN fx_reports r ON r.as_of <= c.date GROUP BY 1, 2"
+for _v in ("reb", "pos"):
+    VIEWS[f"quality_known_{_v}"] = f"""
+SELECT t, symbol, (coalesce(z1, 0) + coalesce(z2, 0) + coalesce(z3, 0) + coalesce(z4, 0))
+  / nullif((z1 IS NOT NULL)::INT + (z2 IS NOT NULL)::INT + (z3 IS NOT NULL)::INT + (z4 IS NOT NULL)::INT, 0) AS score FROM (
+  SELECT t, symbol, (roe - avg(roe) OVER w) / nullif(stddev_pop(roe) OVER w, 0) AS z1, (margin - avg(margin) OVER w) / nullif(stddev_pop(margin) OVER w, 0) AS z2,
+    (growth - avg(growth) OVER w) / nullif(stddev_pop(growth) OVER w, 0) AS z3, -(debt - avg(debt) OVER w) / nullif(stddev_pop(debt) OVER w, 0) AS z4
+  FROM known_{_v} WINDOW w AS (PARTITION BY t)) q"""
+VIEWS["value_known_raw"] = """
+SELECT p.symbol, p.pos, k.eps / p.close AS raw FROM px p JOIN known_pos k ON k.symbol = p.symbol AND k.t = p.pos WHERE k.eps IS NOT NULL AND p.close <> 0"""
+VIEWS["value_known_z"] = VIEWS["value_z"].replace("value_raw", "value_known_raw")
+VIEWS["ic_pairs_known"] = VIEWS["ic_pairs"].replace("value_z", "value_known_z").split("UNION ALL SELECT 'quality'")[0] + """
+UNION ALL SELECT 'quality', z.symbol, f.pos, z.score, f.fwd FROM quality_known_pos z JOIN fwd f ON f.symbol = z.symbol AND f.pos = z.t WHERE z.score IS NOT NULL"""
+VIEWS["ic_ranked_known"] = VIEWS["ic_ranked"].replace("ic_pairs", "ic_pairs_known")
+VIEWS["ic_series_known"] = VIEWS["ic_series"].replace("ic_ranked", "ic_ranked_known")
+VIEWS["ic_w_known_raw"] = VIEWS["ic_w_raw"].replace("ic_series", "ic_series_known")
+VIEWS["ic_w_known"] = VIEWS["ic_w"].replace("ic_w_raw", "ic_w_known_raw")
+VIEWS["start_scores_known"] = VIEWS["start_scores"].replace("value_z", "value_known_z").split("UNION ALL SELECT g.rebalance_date, 'quality'")[0] + """
+UNION ALL SELECT g.rebalance_date, 'quality', z.symbol, z.score FROM seg g JOIN quality_known_pos z ON z.t = g.sp WHERE z.score IS NOT NULL"""
+VIEWS["composite_known"] = VIEWS["composite"].replace("start_scores", "start_scores_known").replace("ic_w ", "ic_w_known ")
+VIEWS["w_quality_known"] = """
+SELECT m.rebalance_date, m.symbol,
+  exp(least(3, greatest(-3, q.score))) / sum(exp(least(3, greatest(-3, q.score)))) OVER (PARTITION BY m.rebalance_date) AS weight
+FROM members m JOIN seg_held g ON g.rebalance_date = m.rebalance_date JOIN quality_known_reb q ON q.symbol = m.symbol AND q.t = m.rebalance_date
+WHERE q.score IS NOT NULL"""
+
 # --- rule-based variants -----------------------------------------------------------------
 
 VIEWS["w_quality"] = """
