@@ -231,8 +231,9 @@ def encode(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id"
     codebooks, found = train(kept, **options)
     if found is None:
         return kept.select("row", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")), codebooks
-    digits = [F.max(F.when(F.col("part") == p, F.lpad(F.lower(F.hex("entry")), 2, "0"))) for p in range(len(codebooks))]
-    codes = assigned(found, codebooks).groupBy("uid").agg(F.concat(*digits).alias("code"), F.sum("distance").alias("error"))
+    numbers = [F.max(F.when(F.col("part") == p, F.col("entry"))) for p in range(len(codebooks))]
+    digits = F.concat(*[F.lpad(F.lower(F.hex(n)), 2, "0") for n in numbers])
+    codes = assigned(found, codebooks).groupBy("uid").agg(digits.alias("code"), F.sum("distance").alias("error"))
     return kept.select("uid", "row").join(codes, "uid").select("row", "code", "error"), codebooks
 
 
