@@ -145,6 +145,32 @@ def forward_fill(prices: DataFrame, cal: Calendar) -> DataFrame:
     )
 
 
+def held_spans(prices: DataFrame, segments: DataFrame, schedule: Schedule, cal: Calendar) -> DataFrame:
+    """``(rebalance_date, symbol, sp, first, last, close, quoted)``: quotes merged with the holding segments.
+
+    A quote holds from its row to the row before the symbol's next one. Each such span is cut at the segments it meets, so
+    a row stands for the days ``first`` to ``last`` of one segment at one price, and no day is written out. ``quoted`` tells
+    a span that begins with its quote from one carried into the segment. Segments meet a quote's own row through a table by
+    calendar row; only a span with a gap behind it looks for segments that start inside.
+    """
+    following = F.lead("pos").over(W.partitionBy("symbol").orderBy("pos"))
+    spans = prices.where("close IS NOT NULL").select("symbol", "pos", "close", F.coalesce(following - 1, F.lit(cal.last).cast("bigint")).alias("_until"))
+    whole = segments.select(F.struct("rebalance_date", "sp", "ep").alias("s"))
+    here = segments.select(F.struct("rebalance_date", "sp", "ep").alias("s"), F.explode(F.sequence("sp", "ep")).alias("pos")).groupBy("pos").agg(F.collect_list("s").alias("_here"))
+    met = spans.join(cal.hint(here), "pos", "left").withColumn("_all", whole.agg(F.collect_list("s")).scalar())  # bounded by the schedule
+    carried = F.filter("_all", lambda s: (s["sp"] > F.col("pos")) & (s["sp"] <= F.col("_until")))
+    nothing = F.slice("_all", 1, 0)
+    cut = met.select(
+        "symbol", "pos", "close", "_until",
+        F.explode(F.concat(F.coalesce("_here", nothing), F.when(F.col("_until") > F.col("pos"), carried).otherwise(nothing))).alias("_s"),
+    )
+    first = F.greatest("pos", "_s.sp")
+    return cut.select(
+        F.col("_s.rebalance_date").alias("rebalance_date"), "symbol", F.col("_s.sp").alias("sp"), first.alias("first"),
+        F.least("_until", "_s.ep").alias("last"), "close", (F.col("pos") == first).alias("quoted"),
+    )
+
+
 def shifted(value: str, offset: int, keys: Sequence[str] = ("symbol",)) -> Column:
     """Value exactly ``offset`` calendar rows away (negative = earlier), null when that row is missing."""
     return F.max(value).over(W.partitionBy(*keys).orderBy("pos").rangeBetween(offset, offset))

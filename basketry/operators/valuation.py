@@ -3,6 +3,8 @@
 A segment's growth is ``sum(weight * price(d) / price(start))``; the value carried
 into a segment is the product of the earlier segments' end growths. That turns a
 sequential simulation into one join by symbol and a window over a tiny table.
+Prices are never filled over the whole calendar: quotes are merged with the segments,
+and days are written out for held names alone.
 """
 
 from __future__ import annotations
@@ -10,44 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from basketry.functions.columns import ratio
-from basketry.operators.calendar import segment_days
-from basketry.sizing import Calendar, Schedule
+from basketry.sizing import Calendar
 
 
-def segment_growth(
-    weights: DataFrame, panel: DataFrame, segments: DataFrame, schedule: Schedule, cal: Calendar,
-    normalize: bool = False,
-) -> DataFrame:
+def segment_growth(weights: DataFrame, spans: DataFrame, normalize: bool = False) -> DataFrame:
     """``(strategy, rebalance_date, pos, growth)`` of every holding segment.
 
-    ``panel`` is the forward-filled panel. Without ``normalize`` a carried quote may
+    ``spans`` are the quotes merged with the segments (``held_spans``). Without ``normalize`` a carried quote may
     price the start (full replication). With it the start needs a real quote and the
     path is rebased to 1, so a name that has none drops out of the portfolio.
     """
-    starts = segments.select("rebalance_date", F.col("sp").alias("pos"))
-    opening = panel.join(schedule.hint(starts), "pos")
-    if normalize:
-        opening = opening.where("quoted")
-    units = weights.join(
-        opening.select("rebalance_date", "symbol", F.col("close").alias("_open")), ["rebalance_date", "symbol"]
-    ).select("strategy", "rebalance_date", "symbol", ratio("weight", "_open").alias("units"))
-    # Rebalances overlap only on boundary days, so this has about one row per date.
-    days = segment_days(segments)
-    held = panel.select("symbol", "pos", "close").join(small_days(days, cal, schedule), "pos")
-    growth = (
-        units.join(held, ["rebalance_date", "symbol"]).groupBy("strategy", "rebalance_date", "pos")
-        .agg(F.sum(F.col("units") * F.col("close")).alias("growth"))
-    )
+    growth = held_days(units_held(weights, spans, normalize), spans).groupBy("strategy", "rebalance_date", "pos").agg(F.sum("value").alias("growth"))
     if not normalize:
         return growth
     first = W.partitionBy("strategy", "rebalance_date").orderBy("pos")
     return growth.withColumn("growth", ratio("growth", F.first("growth").over(first)))
 
 
-def small_days(days: DataFrame, cal: Calendar, schedule: Schedule) -> DataFrame:
-    from basketry.sizing import small
+def units_held(weights: DataFrame, spans: DataFrame, quoted: bool) -> DataFrame:
+    """``(strategy, rebalance_date, symbol, units)`` bought at the start of a segment."""
+    opening = spans.where(F.col("first") == F.col("sp"))
+    opening = (opening.where("quoted") if quoted else opening).select("rebalance_date", "symbol", F.col("close").alias("_open"))
+    return weights.join(opening, ["rebalance_date", "symbol"]).select(
+        "strategy", "rebalance_date", "symbol", ratio("weight", "_open").alias("units")
+    )
+
 
-    return small(days.select("rebalance_date", "pos"), cal.n + schedule.n)
+def held_days(units: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(strategy, rebalance_date, pos, value)``: days are written out behind the join, so there is one row a held day and no other."""
+    held = units.join(spans.select("rebalance_date", "symbol", "first", "last", "close"), ["rebalance_date", "symbol"])
+    return held.select(
+        "strategy", "rebalance_date", (F.col("units") * F.col("close")).alias("value"), F.explode(F.sequence("first", "last")).alias("pos")
+    )
 
 
 def chain_segments(growth: DataFrame, cal: Calendar) -> DataFrame:
@@ -84,19 +80,15 @@ def value_returns(values: DataFrame) -> DataFrame:
     return values.select("strategy", "pos", "date", F.when(F.abs(move) < FLAT, 0.0).otherwise(move).alias("ret")).where("ret IS NOT NULL")
 
 
-def simulate(
-    weights: DataFrame, panel: DataFrame, segments: DataFrame, schedule: Schedule, cal: Calendar, normalize: bool
-) -> DataFrame:
+def simulate(weights: DataFrame, spans: DataFrame, cal: Calendar, normalize: bool) -> DataFrame:
     """Chained value of every strategy in ``weights``."""
-    return chain_segments(segment_growth(weights, panel, segments, schedule, cal, normalize), cal)
+    return chain_segments(segment_growth(weights, spans, normalize), cal)
 
 
-def replication_values(
-    cap_weights: DataFrame, panel: DataFrame, segments: DataFrame, schedule: Schedule, cal: Calendar
-) -> DataFrame:
+def replication_values(cap_weights: DataFrame, spans: DataFrame, cal: Calendar) -> DataFrame:
     """Full cap-weighted replication."""
     named = cap_weights.withColumn("strategy", F.lit("full_replication"))
-    return simulate(named, panel, segments, schedule, cal, normalize=False)
+    return simulate(named, spans, cal, normalize=False)
 
 
 def forward_tracking_error(growth: DataFrame, benchmark_returns: DataFrame, by: list[str], periods_per_year: float = 252) -> DataFrame:

@@ -105,8 +105,9 @@ class Market:
         return materialize(membership.membership_history(self.schedule, self.constituents, self.changes), "members")
 
     @cached_property
-    def panel(self) -> DataFrame:
-        return cal_ops.forward_fill(self.prices, self.cal)
+    def spans(self) -> DataFrame:
+        """Quotes merged with the holding segments, for every valuation."""
+        return cal_ops.held_spans(self.prices, self.segments, self.schedule, self.cal)
 
     @cached_property
     def returns(self) -> DataFrame:
@@ -138,7 +139,7 @@ class Market:
     def benchmark_values(self) -> DataFrame:
         """Full-replication value series; one row per date, kept because every study reads it."""
         return materialize(
-            valuation.replication_values(self.cap_weights, self.panel, self.segments, self.schedule, self.cal), "benchmark_values"
+            valuation.replication_values(self.cap_weights, self.spans, self.cal), "benchmark_values"
         )
 
     @cached_property
@@ -235,7 +236,7 @@ class Market:
 
     def simulate(self, held_weights: DataFrame) -> DataFrame:
         """Chained value of held weights, each segment rebased at its start."""
-        return valuation.simulate(held_weights, self.panel, self.segments, self.schedule, self.cal, normalize=True)
+        return valuation.simulate(held_weights, self.spans, self.cal, normalize=True)
 
     @cached_property
     def rule_values(self) -> DataFrame:

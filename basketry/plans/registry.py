@@ -316,7 +316,7 @@ def stratified_weights(m: Market) -> DataFrame:
 @query("holding_period_values")
 def holding_period_values(m: Market) -> DataFrame:
     w = m.rule_weights
-    growth = V.segment_growth(w, C.forward_fill(fixtures.gappy(m.prices), m.cal), m.segments, m.schedule, m.cal, normalize=True)
+    growth = V.segment_growth(w, C.held_spans(fixtures.gappy(m.prices), m.segments, m.schedule, m.cal), normalize=True)
     return tidy(growth, growth=9)
 
 
@@ -334,7 +334,7 @@ def variant_returns(m: Market) -> DataFrame:
 def forward_tracking_error(m: Market) -> DataFrame:
     """Tracking error of each stratified portfolio over its own next period."""
     w = B.stratified_weights(_buckets(m, 17), m.schedule).withColumn("strategy", F.lit("stratified"))
-    growth = V.segment_growth(w, m.panel, m.segments, m.schedule, m.cal, normalize=True)
+    growth = V.segment_growth(w, m.spans, normalize=True)
     te = V.forward_tracking_error(growth, m.benchmark_returns, ["strategy"], m.settings.periods_per_year)
     return tidy(te.drop("strategy"), tracking_error=8)
 
@@ -343,7 +343,7 @@ def forward_tracking_error(m: Market) -> DataFrame:
 def stratified_curve(m: Market) -> DataFrame:
     """The sampling curve of the method that needs no fitting."""
     w = B.stratified_weights(_buckets(m, 17), m.schedule)
-    growth = V.segment_growth(w.withColumn("strategy", F.lit("stratified")), m.panel, m.segments, m.schedule, m.cal, normalize=True)
+    growth = V.segment_growth(w.withColumn("strategy", F.lit("stratified")), m.spans, normalize=True)
     te = V.forward_tracking_error(growth, m.benchmark_returns, ["strategy"], m.settings.periods_per_year).drop("strategy")
     counts = w.groupBy("rebalance_date").agg(F.count(F.lit(1)).alias("actual_n"))
     rows = counts.join(te, "rebalance_date", "left").select(

@@ -40,7 +40,7 @@ def sampling_study(m: Market, targets: Sequence[int]) -> DataFrame:
     w = materialize(sampling_weights(m, targets), "sampling_weights")
     label = F.concat_ws("|", "method", F.col("target_n").cast("string"))
     growth = valuation.segment_growth(
-        w.select(label.alias("strategy"), "rebalance_date", "symbol", "weight"), m.panel, m.segments, m.schedule, m.cal, normalize=True
+        w.select(label.alias("strategy"), "rebalance_date", "symbol", "weight"), m.spans, normalize=True
     )
     te = valuation.forward_tracking_error(growth, m.benchmark_returns, ["strategy"], m.settings.periods_per_year).select(
         "rebalance_date", F.split("strategy", r"\|")[0].alias("method"), F.split("strategy", r"\|")[1].cast("bigint").alias("target_n"), "tracking_error"

@@ -86,7 +86,25 @@ def test_size_tiers(spark, n, k, want):
 
 def _chain(spark, prices, cal, sched, w, normalize, **kw):
     segments = C.holding_segments(sched, cal, **kw)
-    return V.simulate(w, C.forward_fill(prices, cal), segments, sched, cal, normalize)
+    return V.simulate(w, C.held_spans(prices, segments, sched, cal), cal, normalize)
+
+
+def test_held_spans(spark):
+    d = days(10)
+    prices, cal = numbered(spark, d, {"A": [1.0, 2.0, None, None, None, None, 3.0, None, None, None], "B": [None] * 6 + [9.0] + [None] * 3, "C": [5.0] + [None] * 9})
+    sched = schedule(spark, [d[1], d[3], d[6]])
+    spans = C.held_spans(prices, C.holding_segments(sched, cal), sched, cal)
+    got = sorted((r.symbol, d.index(r.rebalance_date), r.first, r.last, r.close, r.quoted) for r in spans.collect())
+    assert got == [
+        ("A", 1, 1, 3, 2.0, True), ("A", 3, 3, 5, 2.0, False), ("A", 3, 6, 6, 3.0, True), ("A", 6, 6, 9, 3.0, True),
+        ("B", 3, 6, 6, 9.0, True), ("B", 6, 6, 9, 9.0, True), ("C", 1, 1, 3, 5.0, False), ("C", 3, 3, 6, 5.0, False), ("C", 6, 6, 9, 5.0, False),
+    ]
+    # The same days as the filled panel has inside the segments.
+    wide = C.forward_fill(prices, cal).join(C.segment_days(C.holding_segments(sched, cal)), "pos")
+    written = spans.select("rebalance_date", "symbol", F.explode(F.sequence("first", "last")).alias("pos"), "close")
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, wide.select("rebalance_date", "symbol", "pos", "close").collect()))
+    none = prices.limit(0)
+    assert C.held_spans(none, C.holding_segments(sched, cal), sched, cal).count() == 0
 
 
 def test_single_rebalance_is_buy_and_hold(spark):

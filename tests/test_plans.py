@@ -39,7 +39,7 @@ def test_panel_is_never_exchanged_by_symbol(spark, market):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(V.segment_growth(market.rule_weights, market.panel, market.segments, market.schedule, market.cal, True))
+        plan = plan_of(V.segment_growth(market.rule_weights, market.spans, True))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # One exchange for the weights, one for the aggregate, one for the rebasing window.
@@ -48,6 +48,20 @@ def test_panel_is_never_exchanged_by_symbol(spark, market):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_days_are_written_out_for_holdings_alone(spark, market):
+    w = market.rule_weights.where("strategy = 'equal_weight'")
+    days = V.held_days(V.units_held(w, market.spans, True), market.spans)
+    plan = plan_of(days)
+    assert plan.index("explode(sequence(first") < plan.index("Join")  # the days come last, behind the join with what is held
+    # One row for each day of each name that is held and quoted at the start; nothing for any other.
+    starts = market.start_prices.select("rebalance_date", "symbol")
+    held = w.join(starts, ["rebalance_date", "symbol"]).join(market.segments, "rebalance_date").agg(F.sum(F.col("ep") - F.col("sp") + 1)).first()[0]
+    assert days.count() == held
+    # Quotes cross as they are: once, and once more for each boundary day and each gap that a segment start falls into.
+    spans, quotes, boundaries = market.spans.count(), market.prices.count(), market.segments.count() * market.n_symbols
+    assert spans <= quotes + boundaries
+
+
 def test_top_names_are_pruned_before_the_shuffle(market):
     plan = plan_of(B.top_by_cap(market.members, market.start_caps, 5))
     assert plan.count("WindowGroupLimit") == 2
