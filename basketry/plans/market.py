@@ -14,6 +14,7 @@ from basketry.operators import calendar as cal_ops, costs, factors, fits, fundam
 from basketry.session import materialize, tune
 from basketry.sizing import Calendar, Schedule
 from basketry.sources import fixtures
+from basketry.sources.store import PriceStore
 
 
 @dataclass(frozen=True)
@@ -70,7 +71,7 @@ MONTHLY = Settings(
 class Market:
     """Input tables. ``prices`` has ``symbol, date, pos, close, volume``; the rest follow ``schemas``.
 
-    The price panel is cached, hashed by symbol. Results that several studies share are
+    The price panel is cached, or lies in a store, hashed by symbol. Results that several studies share are
     written once to the shared folder, which also keeps the plans built on them short.
     """
 
@@ -87,6 +88,7 @@ class Market:
     index_level: DataFrame
     settings: Settings = field(default_factory=Settings)
     index_panel: DataFrame | None = None  # index levels on the panel's own dates, where those are not the index's
+    held: tuple[DataFrame, ...] = ()  # cached tables that ``release`` gives up
 
     def with_settings(self, **changes) -> "Market":
         return replace(self, settings=replace(self.settings, **changes))
@@ -115,7 +117,7 @@ class Market:
 
     @cached_property
     def caps(self) -> DataFrame:
-        return marketcap.market_caps(self.prices, self.shares, self.anchors)
+        return marketcap.market_caps(self.prices, self.shares, self.anchors, self.cal.rows)
 
     @cached_property
     def start_caps(self) -> DataFrame:
@@ -355,49 +357,61 @@ class Market:
         return materialize(costs.apply_costs(self.rule_returns, self.rule_costs), "rule_adjusted")
 
     def release(self) -> None:
-        self.prices.unpersist()
-        self.cal.rows.unpersist()
+        for table in (self.prices, self.cal.rows, *self.held):
+            table.unpersist()
 
 
-def numbered_prices(raw: DataFrame, dates: DataFrame | None = None) -> tuple[DataFrame, Calendar, int]:
+def numbered_prices(raw: DataFrame, dates: DataFrame | None = None, dealt: bool = False) -> tuple[DataFrame, Calendar, int]:
     """Attach ``pos`` and keep the panel hashed by symbol, the key of every later window and join.
 
-    ``dates`` may give the trading dates from a cheaper source than the panel itself.
+    ``dates`` may give the trading dates from a cheaper source than the panel itself. ``dealt`` says that ``raw`` is hashed
+    by symbol already, by a store of buckets or a cache; it is then used as it is.
     """
     cal = cal_ops.trading_calendar(raw if dates is None else dates)
-    prices = cal_ops.number_dates(raw, cal).repartition("symbol").persist()
+    prices = cal_ops.number_dates(raw, cal)
+    prices = prices if dealt else prices.repartition("symbol").persist()
     n_symbols = prices.select("symbol").distinct().count()
     return prices, cal, n_symbols
 
 
+def _checked(name: str, table: DataFrame, keys: list[str]) -> None:
+    found = schemas.key_violations(table, keys).first()
+    if found["null_keys"] or found["duplicate_keys"]:
+        raise ValueError(f"{name}: {found['null_keys']} rows with a null key, {found['duplicate_keys']} keys more than once")
+
+
 def build_market(
-    prices: DataFrame, constituents: DataFrame, changes: DataFrame, shares: DataFrame, fundamentals: DataFrame, index_level: DataFrame,
-    start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(), buffer_days: int = 400,
+    prices: DataFrame | PriceStore, constituents: DataFrame, changes: DataFrame, shares: DataFrame, fundamentals: DataFrame,
+    index_level: DataFrame, start: str, end: str, anchors: DataFrame | None = None, settings: Settings = Settings(), buffer_days: int = 400,
 ) -> Market:
     """A market over a user's own tables. Price, share and fundamentals symbols are feed symbols; the
     constituent list and change log may use listing symbols (``BRK.B``), which are normalised to match. Fundamentals
     with a column ``as_of`` are used as they were known on each date, others as a snapshot that holds throughout.
 
     Only prices from ``buffer_days`` before ``start`` up to ``end`` are read, so a study of two years does not scan
-    the whole history; a key that is null or occurs twice in a table is an error."""
-    schemas.require_columns(prices, "symbol STRING, date DATE, close DOUBLE, volume DOUBLE")
+    the whole history; a key that is null or occurs twice in a table is an error. A table of prices is dealt by symbol
+    once, before its keys are checked, and cached; a ``PriceStore`` lies by symbol and year and is read as it lies."""
+    stored = isinstance(prices, PriceStore)
+    spark = tune(prices.spark if stored else prices.sparkSession)
     schemas.require_columns(constituents, "symbol STRING, gics_sector STRING")
     schemas.require_columns(changes, "effective_date DATE, added_ticker STRING, removed_ticker STRING")
     schemas.require_columns(shares, schemas.SHARES)
     schemas.require_columns(index_level, schemas.INDEX_LEVEL)
-    spark = tune(prices.sparkSession)
     first, last = dt.date.fromisoformat(start) - dt.timedelta(days=buffer_days), dt.date.fromisoformat(end)
     window = F.col("date").between(F.lit(first), F.lit(last))
-    prices, index_level = prices.select("symbol", "date", "close", "volume").where(window), index_level.where(window)
-    for name, table, keys in (("prices", prices, ["symbol", "date"]), ("index levels", index_level, ["ticker", "date"])):
-        found = schemas.key_violations(table, keys).first()
-        if found["null_keys"] or found["duplicate_keys"]:
-            raise ValueError(f"{name}: {found['null_keys']} rows with a null key, {found['duplicate_keys']} keys more than once")
-    panel, cal, n_symbols = numbered_prices(prices)
+    if stored:
+        by_symbol = prices.read(first, last)
+    else:
+        schemas.require_columns(prices, "symbol STRING, date DATE, close DOUBLE, volume DOUBLE")
+        by_symbol = prices.select("symbol", "date", "close", "volume").where(window).repartition("symbol").persist()
+    index_level = index_level.where(window)
+    _checked("prices", by_symbol, ["symbol", "date"])
+    _checked("index levels", index_level, ["ticker", "date"])
+    panel, cal, n_symbols = numbered_prices(by_symbol, dealt=True)
     return Market(
         spark=spark, prices=panel, cal=cal, n_symbols=n_symbols, schedule=cal_ops.quarterly_schedule(spark, start, end),
         constituents=constituents, changes=changes, shares=shares, anchors=anchors, fundamentals=fundamentals,
-        index_level=index_level, settings=settings,
+        index_level=index_level, settings=settings, held=() if stored else (by_symbol,),
     )
 
 

@@ -20,7 +20,7 @@ from basketry.plans import named, studies
 from basketry.plans.market import Market, numbered_prices, supplied_market
 from basketry.schemas import key_violations
 from basketry.session import materialize, shared_dir, tune
-from basketry.sources import cleaning, fixtures, results
+from basketry.sources import cleaning, fixtures, results, store
 from basketry.streaming import monitor as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -899,6 +899,54 @@ def wide_price_panel(m: Market) -> DataFrame:
     return wide.unpivot("date", [c for c in wide.columns if c != "date"], "symbol", "close").where("close IS NOT NULL")
 
 
+# --- prices stored by symbol and year -------------------------------------------------------
+
+_stores: dict[str, tuple[store.PriceStore, C.Calendar]] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[store.PriceStore, C.Calendar]:
+    """The monthly prices in a store, written as a history and a later delivery of the whole table."""
+    key = f"{spark.sparkContext.applicationId} {id(spark._jsparkSession)} {sf_dir}"
+    if key not in _stores:
+        rows = fixtures.prices(spark, sf_dir)
+        path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+        early = store.create(rows.where("date < '1996-01-01'"), path)
+        early.append(rows)
+        early.detach()
+        _stores[key] = store.attach(spark, path), C.trading_calendar(fixtures.price_dates(spark, sf_dir))
+    return _stores[key]
+
+
+@raw_query("stored_prices")
+def stored_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that the two deliveries left in the store."""
+    return tidy(_stored(spark, sf_dir)[0].read(), close=9)
+
+
+@raw_query("stored_price_years")
+def stored_price_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A study's window of the store; other years are not read."""
+    return tidy(_stored(spark, sf_dir)[0].read("1995-02-01", "1996-11-30"), close=9)
+
+
+@raw_query("stored_key_violations")
+def stored_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir)[0].violations()
+
+
+@raw_query("stored_simple_returns")
+def stored_simple_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices, cal = _stored(spark, sf_dir)
+    return tidy(C.simple_returns(C.number_dates(prices.read(), cal), cal), ret=9)
+
+
+@raw_query("stored_market_caps")
+def stored_market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices, cal = _stored(spark, sf_dir)
+    caps = MC.market_caps(C.number_dates(prices.read(), cal), fixtures.shares(spark, sf_dir, cal), fixtures.share_anchors(spark, sf_dir), cal.rows)
+    return caps.select("symbol", "pos", "market_cap")
+
+
 @raw_query("price_key_violations")
 def price_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = fixtures.table(spark, sf_dir, "lineitem")

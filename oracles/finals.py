@@ -339,6 +339,11 @@ FROM w LEFT JOIN fx_constituents c ON c.symbol = w.symbol"""
 FINALS["price_hits"] = "SELECT symbol, symbol IN (SELECT symbol FROM fx_anchors) AS found FROM fx_constituents"
 FINALS["buffered_price_scan"] = "SELECT symbol, date, close FROM px WHERE date >= DATE '1998-01-01' - 400"
 FINALS["wide_price_panel"] = "SELECT date, symbol, close FROM px WHERE close IS NOT NULL"
+FINALS["stored_prices"] = "SELECT symbol, date, round(close, 9) AS close, volume FROM fx_prices"
+FINALS["stored_price_years"] = "SELECT symbol, date, round(close, 9) AS close, volume FROM fx_prices WHERE date BETWEEN DATE '1995-02-01' AND DATE '1996-11-30'"
+FINALS["stored_key_violations"] = "SELECT CAST(0 AS BIGINT) AS null_keys, count(*) AS duplicate_keys FROM (SELECT 1 FROM fx_prices GROUP BY symbol, date HAVING count(*) > 1) q"
+FINALS["stored_simple_returns"] = FINALS["simple_returns"]
+FINALS["stored_market_caps"] = FINALS["market_caps"]
 FINALS["price_key_violations"] = """
 SELECT CAST(coalesce(sum(CASE WHEN l_orderkey IS NULL OR l_suppkey IS NULL THEN n ELSE 0 END), 0) AS BIGINT) AS null_keys,
   count(*) FILTER (WHERE n > 1 AND l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL) AS duplicate_keys
