@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 from basketry.operators import kernels
 from basketry.operators.calendar import trailing_days
 from basketry.session import materialize
-from basketry.sizing import Calendar, Schedule, small
+from basketry.sizing import TASK_ROWS, Calendar, Schedule, small, sum_before
 
 TASK_CELLS = 20_000_000  # candidates x days of one problem that one task may hold (160 MB)
 SALTS = 32  # places where the blocks of one key are added before they meet
@@ -85,16 +85,63 @@ def added(blocks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return salted.applyInPandas(add, schema).groupBy(*keys).applyInPandas(add, schema)
 
 
-def fit_status(names: DataFrame, specs: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys..., n_candidates, status)`` of every problem: ``solved``, or ``infeasible`` when it has no weights."""
+def greatest_exposure(names: DataFrame, specs: DataFrame, keys: Sequence[str], names_bound: int | None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``(keys..., within_budget, exposure)``: whether a portfolio can be reached within the turnover budget, and the
+    greatest exposure of one that can.
+
+    Buying the names of greatest exposure and selling those of least is a fractional knapsack: with the names in order of
+    their exposure, running sums of the room to buy and of what can be sold tell how much of each name trades for any
+    budget. What one can gain stops where the portfolio of greatest exposure without a budget is reached.
+    Weights above the limit must be sold first.
+    """
+    shared = [k for k in keys if k in names.columns]
+    group = [*shared, "upper"]
+    u = F.col("upper")
+    rows = names.select(*shared, "symbol", "f", "q").join(specs.select(*group).distinct(), shared)
+    rows = rows.select(*group, "symbol", "f", F.least("q", u).alias("own"), F.greatest(F.col("q") - u, F.lit(0.0)).alias("excess"), u.cast("double").alias("_one"))
+    rows = rows.withColumn("room", u - F.col("own"))
+    down, up = [F.desc("f"), F.col("symbol")], [F.col("f"), F.col("symbol")]
+    for order, value, out in ((down, "_one", "_filled"), (down, "room", "_bought"), (up, "own", "_sold")):
+        rows = sum_before(rows, group, order, value, names_bound, out, task_rows)
+    rows = materialize(rows.withColumn("best", F.greatest(F.lit(0.0), F.least(u, 1 - F.col("_filled")))), "knapsack")
+    totals = rows.groupBy(*group).agg(
+        F.sum("own").alias("_own"), F.sum("excess").alias("_excess"), F.sum(F.col("f") * F.col("own")).alias("_held"),
+        F.sum(F.greatest(F.col("best") - F.col("own"), F.lit(0.0))).alias("_enough"),
+    )
+    lack, left = 1 - F.col("_own"), F.col("budget") - F.col("_excess")
+    bounds = specs.select(*keys, "upper", "budget").join(totals, group).select(
+        *keys, "upper", "_held", (left >= F.abs(lack) - 1e-9).alias("within_budget"), F.least((left + lack) / 2, F.col("_enough")).alias("_buy"), lack.alias("_lack")
+    )
+    part = lambda total, start, size: F.greatest(F.lit(0.0), F.least(total - F.col(start), F.col(size)))
+    bought, sold = part(F.col("_buy"), "_bought", "room"), part(F.col("_buy") - F.col("_lack"), "_sold", "own")
+    return rows.join(bounds, group).groupBy(*keys).agg(
+        F.first("within_budget").alias("within_budget"), (F.first("_held") + F.sum(F.col("f") * (bought - sold))).alias("exposure")
+    )
+
+
+def feasibility(names: DataFrame, specs: DataFrame, keys: Sequence[str], names_bound: int | None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The specs with ``feasible``, told before anything is solved: enough names for the greatest weight, two days, and
+    where there is a budget and a floor, an exposure that reaches the floor within the budget."""
+    keys = list(keys)
+    days = F.size(F.filter("b", lambda v: v.isNotNull() & ~F.isnan(v)))
+    enough = (F.col("n_names") * F.col("upper") >= 1) & (days >= 2)
+    if not {"f", "q"} <= set(names.columns):
+        return specs.withColumn("feasible", enough)
+    reach = greatest_exposure(names, specs, keys, names_bound, task_rows)
+    met = F.col("within_budget") & (F.col("exposure") >= F.col("target") - 1e-9 * (1 + F.abs("target")))
+    return specs.join(reach, keys).withColumn("feasible", enough & met).drop("within_budget", "exposure")
+
+
+def fit_status(names: DataFrame, specs: DataFrame, keys: Sequence[str], names_bound: int | None) -> DataFrame:
+    """``(keys..., n_candidates, status)`` of every problem: ``solved``, or ``infeasible`` where that is proved.
+
+    A problem with a solution that the solver does not reach raises instead.
+    """
     keys = list(keys)
     shared_keys = [k for k in keys if k in names.columns]
     counted = names.groupBy(*shared_keys).agg(F.count(F.lit(1)).alias("n_candidates"))
-    solved = weights.select(*keys).distinct().withColumn("status", F.lit("solved"))
-    return (
-        specs.select(*keys).join(counted, shared_keys).join(solved, keys, "left")
-        .withColumn("status", F.coalesce("status", F.lit("infeasible")))
-    )
+    told = feasibility(names, specs, keys, names_bound).select(*keys, F.when(F.col("feasible"), "solved").otherwise("infeasible").alias("status"))
+    return told.join(counted, shared_keys)
 
 
 # --- shrunk covariance -------------------------------------------------------------------
@@ -175,10 +222,11 @@ def turnover_problems(
 ):
     """Names and specs of the tracking fits under turnover budgets and exposure floors.
 
-    ``targets`` has ``rebalance_date, factor_target`` rows; candidates are names with a
+    ``targets`` has ``rebalance_date, factor_target`` rows and may have columns that tell them apart; candidates are names with a
     complete history and an exposure, and previous weights outside them are ignored.
     """
-    grid = targets.select("rebalance_date", "factor_target", F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("turnover_budget"))
+    named = [c for c in targets.columns if c != "rebalance_date"]
+    grid = targets.select("rebalance_date", *named, F.explode(F.array(*[F.lit(float(b)) for b in budgets])).alias("turnover_budget"))
     prior = previous.select("rebalance_date", "symbol", F.col("weight").alias("q"))
     names = (
         histories.join(exposure.where("composite IS NOT NULL").select("rebalance_date", "symbol", F.col("composite").alias("f")), ["rebalance_date", "symbol"])
@@ -189,7 +237,7 @@ def turnover_problems(
     specs = specs.join(points, "rebalance_date").withColumns(
         {"target": F.col("factor_target"), "budget": F.col("turnover_budget"), "upper": F.lit(float(max_weight))}
     )
-    return names, specs, [*keys, "factor_target", "turnover_budget"]
+    return names, specs, [*keys, *named, "turnover_budget"]
 
 
 def _with_specs(names: DataFrame, keys: list[str], benchmark: DataFrame, schedule: Schedule):
@@ -227,16 +275,23 @@ def _nothing(schema: StructType) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
 
 
+MULTIPLIERS = ("sum_multiplier", "exposure_multiplier", "turnover_multiplier")
+
+
 def _weight_schema(specs: DataFrame, keys: Sequence[str]) -> StructType:
-    return StructType([specs.schema[k] for k in keys] + [StructField("symbol", StringType()), StructField("weight", DoubleType())])
+    numbers = [StructField(c, DoubleType()) for c in ("weight", *MULTIPLIERS)]
+    return StructType([specs.schema[k] for k in keys] + [StructField("symbol", StringType()), *numbers])
 
 
 def solve_quadratic(
     names: DataFrame, specs: DataFrame, keys: Sequence[str], names_bound: int | None, lookback: int, infeasible: str = "skip",
-    task_cells: int = TASK_CELLS,
+    task_cells: int = TASK_CELLS, multipliers: bool = False,
 ) -> DataFrame:
     """``(keys..., symbol, weight)``: every candidate of every feasible problem.
 
+    Whether a problem has a solution is proved first; one that has and is not solved raises. ``multipliers`` adds those of
+    the weights' sum, the exposure floor and the turnover budget, in units of the scaled objective.
+
     ``names`` may be keyed by some of ``keys`` only; problems that differ in the others
     share their candidates.
 
@@ -245,10 +300,14 @@ def solve_quadratic(
     leaving a problem out.
     """
     keys = list(keys)
+    told = materialize(feasibility(names, specs, keys, names_bound), "specs")  # a row per problem; also keeps the two sides of the cogroup apart
+    if infeasible == "error" and (bad := told.where("NOT feasible").limit(1).collect()):
+        raise ValueError(f"infeasible fit: {bad[0]['n_names']} candidates, upper weight {bad[0]['upper']}")
+    specs = told.where("feasible").drop("feasible")
+    out = [*keys, "symbol", "weight", *(MULTIPLIERS if multipliers else ())]
     if names_bound is None or names_bound * lookback > task_cells:
-        return _solve_distributed(names, specs, keys, infeasible)
+        return _solve_distributed(names, specs, keys).select(*out)
     schema = _weight_schema(specs, keys)
-    specs = materialize(specs, "specs")  # a row per problem; also keeps the two sides of the cogroup apart
     shared_keys = [k for k in keys if k in names.columns]
     if len(shared_keys) < len(keys):  # one group per problem, so that they run in parallel
         names = names.join(small(specs.select(*[F.col(k).alias(k) for k in keys]), specs.count()), shared_keys)
@@ -260,17 +319,13 @@ def solve_quadratic(
         row = spec_pdf.iloc[0]
         spec, days = _spec(row)
         pdf = pdf.sort_values("symbol")
-        w = kernels.fit_in_task(*_arrays(pdf, days, row["scale"]), spec) if days.sum() >= 2 else None
-        if w is None:
-            if infeasible == "error":
-                raise ValueError(f"infeasible fit: {len(pdf)} candidates, upper weight {spec.upper}")
-            return empty
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "symbol": pdf["symbol"].to_numpy(), "weight": w})
+        w, prices = kernels.fit_with_multipliers(*_arrays(pdf, days, row["scale"]), spec, proven=True)
+        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "symbol": pdf["symbol"].to_numpy(), "weight": w, **dict(zip(MULTIPLIERS, prices))})
 
-    return names.groupBy(*keys).cogroup(specs.groupBy(*keys)).applyInPandas(fit, schema)
+    return names.groupBy(*keys).cogroup(specs.groupBy(*keys)).applyInPandas(fit, schema).select(*out)
 
 
-def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infeasible: str) -> DataFrame:
+def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str]) -> DataFrame:
     """The dual solver with its sums added up by Spark, all open problems in one job per step."""
     spark = names.sparkSession
     shared_keys = [k for k in keys if k in names.columns]
@@ -289,9 +344,8 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
     specs_by = {p: (*_spec(r), float(r["scale"])) for p, r in rows.items()}
     solvers, points, final = {}, {}, {}
     for p, (spec, days, _) in specs_by.items():
-        if days.sum() >= 2 and spec.n_names * spec.upper >= 1.0:
-            solvers[p] = kernels.solve(spec)
-            points[p] = next(solvers[p])
+        solvers[p] = kernels.solve(spec)
+        points[p] = next(solvers[p])
     while points:
         sums = _sum_names(tagged, specs_by, members, points)
         following = {}
@@ -299,12 +353,11 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
             try:
                 following[p] = solvers[p].send(sums[p])
             except StopIteration as done:
-                point, ok = done.value
-                if ok:
-                    final[p] = point
+                point, met = done.value
+                if not met:
+                    raise kernels.unsettled(specs_by[p][0])
+                final[p] = point
         points = following
-    if infeasible == "error" and len(final) < len(rows):
-        raise ValueError(f"{len(rows) - len(final)} infeasible fits")
     schema = _weight_schema(specs, keys)
     shared = spark.sparkContext.broadcast((specs_by, members, final, {p: [rows[p][k] for k in keys] for p in final}))
 
@@ -316,11 +369,12 @@ def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str], infe
                     if p in solved:
                         spec, days, scale = specs_now[p]
                         w = kernels.name_weights(*_arrays(part, days, scale), solved[p], spec)[0]
-                        yield pd.DataFrame({**dict(zip(keys, values[p])), "symbol": part["symbol"].to_numpy(), "weight": w})
+                        prices = dict(zip(MULTIPLIERS, kernels.multipliers(solved[p], spec)))
+                        yield pd.DataFrame({**dict(zip(keys, values[p])), "symbol": part["symbol"].to_numpy(), "weight": w, **prices})
 
     raw = tagged.mapInPandas(weigh, schema)
     total = raw.groupBy(*keys).agg(F.sum("weight").alias("_total"))
-    return raw.join(small(total, len(rows)), keys).select(*keys, "symbol", (F.col("weight") / F.col("_total")).alias("weight"))
+    return raw.join(small(total, len(rows)), keys).withColumn("weight", F.col("weight") / F.col("_total")).drop("_total")
 
 
 def _sum_names(tagged: DataFrame, specs_by: dict, members: dict, points: dict) -> dict:

@@ -132,6 +132,8 @@ def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
             else:
                 damp *= 100
         feasible = violation(grad) < 1e-6
+        if feasible and not spec.proximal and np.abs(grad[:days]).max() > 1e-6:
+            raise ArithmeticError(f"fit of {spec.n_names} names has not settled: its gradient is {np.abs(grad[:days]).max():.1e}")
         if not feasible or not spec.proximal or moved < 1e-16:
             break
         point = Point(point.v.copy(), max(SIGMA_LAST, point.sigma * SIGMA_FALL), [*point.taken, (point.v, point.sigma)])
@@ -141,8 +143,17 @@ def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
     return point, feasible
 
 
-def fit_in_task(x, f, q, spec: Spec) -> np.ndarray | None:
+def fit_in_task(x, f, q, spec: Spec, proven: bool = False) -> np.ndarray | None:
     """Weights of one problem whose names all sit in this task; None when infeasible."""
+    found = fit_with_multipliers(x, f, q, spec, proven)
+    return None if found is None else found[0]
+
+
+def fit_with_multipliers(x, f, q, spec: Spec, proven: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights, and the multipliers of the sum, of the exposure floor and of the turnover budget.
+
+    ``proven`` says that the problem has a solution, so not reaching one is an error.
+    """
     if len(x) * spec.upper < 1.0:
         return None
     steps = solve(spec)
@@ -152,7 +163,19 @@ def fit_in_task(x, f, q, spec: Spec) -> np.ndarray | None:
             point = steps.send(name_sums(x, f, q, point, spec))
         except StopIteration as done:
             point, feasible = done.value
-            return normalised(name_weights(x, f, q, point, spec)[0]) if feasible else None
+            if not feasible:
+                if proven:
+                    raise unsettled(spec)
+                return None
+            return normalised(name_weights(x, f, q, point, spec)[0]), multipliers(point, spec)
+
+
+def multipliers(point: Point, spec: Spec) -> np.ndarray:
+    return point.v[len(spec.b):].copy()
+
+
+def unsettled(spec: Spec) -> ArithmeticError:
+    return ArithmeticError(f"a fit of {spec.n_names} names has a solution, but its limits were not met when the steps ran out")
 
 
 def normalised(w: np.ndarray) -> np.ndarray:

@@ -281,7 +281,7 @@ class Market:
         """Every rebalance with candidates, solved or not."""
         held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")
         names, specs, keys = fits.minimum_variance_problems(held, self.shrunk, self.settings.max_weight, self.settings.lookback, self.schedule)
-        return fits.fit_status(names, specs, self.min_vol_weights, keys)
+        return fits.fit_status(names, specs, keys, self.n_symbols)
 
     @cached_property
     def min_vol_weights(self) -> DataFrame:

@@ -705,6 +705,19 @@ def replication_coverage(m: Market) -> DataFrame:
     return tidy(named.replication_coverage(m), **{f.name: 8 for f in named.replication_coverage(m).schema.fields if f.dataType.simpleString() == "double"})
 
 
+BUDGETS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0)
+
+
+@query("turnover_fit_certificate")
+def turnover_fit_certificate(m: Market) -> DataFrame:
+    return tidy(studies.turnover_fit_certificate(m, BUDGETS), factor_target=8)
+
+
+@query("frontier_status")
+def frontier_status(m: Market) -> DataFrame:
+    return tidy(studies.frontier_status(m, BUDGETS), factor_target=8, greatest_exposure=8)
+
+
 @query("tracking_fit_certificate")
 def tracking_fit_certificate(m: Market) -> DataFrame:
     return studies.tracking_fit_certificate(m, [8, 30])
@@ -742,7 +755,7 @@ def replication_sampling(m: Market) -> DataFrame:
 
 @query("multi_objective")
 def multi_objective(m: Market) -> DataFrame:
-    out = named.multi_objective(m, "0.1,0.3,0.5,1.0,2.0")
+    out = named.multi_objective(m)
     return tidy(out, factor_target=8, realized_turnover=6, realized_factor_exposure=6, tracking_error=6)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -55,12 +56,32 @@ def sampling_study(m: Market, targets: Sequence[int]) -> DataFrame:
 
 # --- turnover frontier -------------------------------------------------------------------
 
-def frontier(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> DataFrame:
-    """Tracking error against turnover at the last held rebalance, starting from the previous tilted portfolio.
+@dataclass
+class Frontier:
+    """Inputs of the frontier at the last held rebalance: problems, the portfolio held before, candidates and benchmark."""
 
-    One row per feasible (factor target, turnover budget); targets are unconstrained, the
-    median and the upper quartile of the candidates' composite.
-    """
+    names: DataFrame
+    specs: DataFrame
+    keys: list[str]
+    previous: DataFrame
+    exposure: DataFrame
+    histories: DataFrame
+    bench: DataFrame
+
+
+def too_short(m: Market, strategy: str = "multi_factor") -> str | None:
+    """Why the last held rebalance of a strategy cannot be studied, if so."""
+    pair = costs.last_two_held(m.rule_weights, strategy).first()
+    if pair["t_prev"] is None:
+        return "fewer than two held rebalances"
+    start = m.segments.where(F.col("rebalance_date") == F.lit(pair["t_curr"])).first()
+    if start is None or start["sp"] < m.settings.lookback:
+        return f"fewer than {m.settings.lookback} trading rows before the last held rebalance"
+    return None
+
+
+def frontier_problems(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> Frontier:
+    """The grid of floors (none, median and upper quartile of the candidates' composite) and turnover budgets."""
     s = m.settings
     dates = costs.last_two_held(m.rule_weights, "multi_factor")
     tilted = m.rule_weights.where("strategy = 'multi_factor'")
@@ -81,23 +102,89 @@ def frontier(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> Da
     bench = materialize(bench_days.groupBy("rebalance_date").agg(F.sort_array(F.collect_list(F.struct("pos", "b"))).alias("_s")).select("rebalance_date", F.col("_s.b").alias("b")), "frontier_benchmark")
     scored = exposure.join(histories.select("rebalance_date", "symbol"), ["rebalance_date", "symbol"], "left_semi")
     cuts = factors.composite_quantiles(scored, {"median": 0.5, "p75": 0.75}, m.n_symbols)
-    targets = cuts.select("rebalance_date", F.explode(F.array(F.lit(UNCONSTRAINED), F.col("median"), F.col("p75"))).alias("factor_target"))
-    names, specs, keys = fits.turnover_problems(
-        histories, bench, previous, exposure, materialize(targets, "targets"), budgets, m.schedule, max_weight
-    )
-    w = materialize(fits.solve_quadratic(names, specs, keys, m.n_symbols, s.lookback), "frontier_weights")
+    floor = lambda name, value: F.struct(F.lit(name).alias("target_name"), value.alias("factor_target"))
+    floors = F.array(floor("unconstrained", F.lit(UNCONSTRAINED)), floor("median", F.col("median")), floor("p75", F.col("p75")))
+    targets = materialize(cuts.select("rebalance_date", F.explode(floors).alias("t")).select("rebalance_date", "t.*"), "targets")
+    names, specs, keys = fits.turnover_problems(histories, bench, previous, exposure, targets, budgets, m.schedule, max_weight)
+    return Frontier(names, materialize(specs, "frontier_specs"), keys, previous, exposure, histories, bench)
+
+
+def frontier(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> DataFrame:
+    """Tracking error against turnover at the last held rebalance, starting from the previous tilted portfolio.
+
+    One row per feasible (named factor target, turnover budget), with the number of candidates.
+    """
+    s, fr = m.settings, frontier_problems(m, budgets, max_weight)
+    keys = fr.keys
+    w = materialize(fits.solve_quadratic(fr.names, fr.specs, keys, m.n_symbols, s.lookback), "frontier_weights")
 
     points = w.select(*keys).distinct()
     booked = w.select(*keys, "symbol", F.col("weight").alias("dw")).unionByName(
-        points.join(previous, "rebalance_date").select(*keys, "symbol", (-F.col("weight")).alias("dw"))
+        points.join(fr.previous, "rebalance_date").select(*keys, "symbol", (-F.col("weight")).alias("dw"))
     )
     turnover = booked.groupBy(*keys, "symbol").agg(F.sum("dw").alias("dw")).groupBy(*keys).agg(F.sum(F.abs("dw")).alias("realized_turnover"))
-    held = w.join(exposure, ["rebalance_date", "symbol"]).groupBy(*keys).agg(
-        F.sum(F.col("weight") * F.col("composite")).alias("realized_factor_exposure"), F.count_if(F.col("weight") > 1e-6).alias("n_holdings")
+    held = w.join(fr.exposure, ["rebalance_date", "symbol"]).groupBy(*keys).agg(
+        F.sum(F.col("weight") * F.col("composite")).alias("realized_factor_exposure"), F.count_if(F.col("weight") > 1e-6).alias("n_holdings"),
+        F.count(F.lit(1)).alias("n_candidates"),
     )
-    te = in_sample_tracking_error(w, histories, bench, keys, s.periods_per_year)
+    te = in_sample_tracking_error(w, fr.histories, fr.bench, keys, s.periods_per_year)
     return turnover.join(held, keys).join(te, keys).select(
-        *keys, "realized_turnover", "realized_factor_exposure", "tracking_error", "n_holdings"
+        *keys, "realized_turnover", "realized_factor_exposure", "tracking_error", "n_holdings", "n_candidates"
+    )
+
+
+def frontier_status(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> DataFrame:
+    """Every point of the grid: candidates, the greatest exposure within the budget, and whether the point has a solution."""
+    fr = frontier_problems(m, budgets, max_weight)
+    reach = fits.greatest_exposure(fr.names, fr.specs, fr.keys, m.n_symbols)
+    return fits.fit_status(fr.names, fr.specs, fr.keys, m.n_symbols).join(reach, fr.keys).select(
+        *fr.keys, "n_candidates", "status", "within_budget", F.col("exposure").alias("greatest_exposure")
+    )
+
+
+def turnover_fit_certificate(m: Market, budgets: Sequence[float], tolerance: float = 1e-6, max_weight: float = 1.0) -> DataFrame:
+    """Checks every solved grid point by a bound: ``(keys..., n_candidates, sums_to_one, within_bounds, meets_floor, within_budget,
+    is_optimal)``.
+
+    With the multipliers of the sum, the floor and the budget, the least value that any portfolio of the grid point can have
+    under the gradient at the fit is a sum of one minimum per name, taken at zero, at the weight held before or at the greatest
+    weight. The fit is optimal when it lies above that bound by ``tolerance`` of the objective at most; a wrong multiplier can only lower the
+    bound.
+    """
+    fr = frontier_problems(m, budgets, max_weight)
+    w = materialize(fits.solve_quadratic(fr.names, fr.specs, fr.keys, m.n_symbols, m.settings.lookback, multipliers=True), "turnover_fit")
+    return certified(w, fr, tolerance, max_weight)
+
+
+def certified(w: DataFrame, fr: Frontier, tolerance: float = 1e-6, max_weight: float = 1.0) -> DataFrame:
+    """The checks of ``turnover_fit_certificate`` on weights with multipliers."""
+    keys = fr.keys
+    scale = fr.specs.select(*keys, "scale")
+    days = w.join(fr.histories, ["rebalance_date", "symbol"]).select(*keys, "symbol", "weight", F.posexplode("x").alias("t", "r"))
+    target = fr.bench.select("rebalance_date", F.posexplode("b").alias("t", "b")).where("b IS NOT NULL")
+    resid = days.groupBy(*keys, "t").agg(F.sum(F.col("weight") * F.col("r")).alias("fit")).join(target, ["rebalance_date", "t"]).select(
+        *keys, "t", (F.col("fit") - F.col("b")).alias("e"), "b"
+    )
+    size = resid.join(scale, keys).groupBy(*keys).agg((F.sum(F.col("e") * F.col("e") + F.col("b") * F.col("b")) / F.first("scale") ** 2).alias("_size"))
+    grads = days.join(resid, [*keys, "t"]).join(scale, keys).groupBy(*keys, "symbol").agg((F.sum(F.col("r") * F.col("e")) / F.first("scale") ** 2).alias("g"))
+    own = fr.names.select("rebalance_date", "symbol", "f", "q")
+    graded = w.join(grads, [*keys, "symbol"]).join(own, ["rebalance_date", "symbol"])
+    floor = F.greatest("exposure_multiplier", F.lit(0.0))
+    trade = F.greatest("turnover_multiplier", F.lit(0.0))
+    price = F.col("g") - F.col("sum_multiplier") - floor * F.col("f")
+    at = lambda z: price * z + trade * F.abs(z - F.col("q"))
+    least = F.least(at(F.lit(0.0)), at(F.least("q", F.lit(float(max_weight)))), at(F.lit(float(max_weight))))
+    sums = graded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_candidates"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sums_to_one"),
+        ((F.min("weight") >= 0) & (F.max("weight") <= max_weight + 1e-9)).alias("within_bounds"),
+        F.sum(F.col("weight") * F.col("f")).alias("_exposure"), F.sum(F.abs(F.col("weight") - F.col("q"))).alias("_trade"),
+        F.sum(F.col("g") * F.col("weight")).alias("_value"), F.sum(least).alias("_least"),
+        F.first("sum_multiplier").alias("_s"), F.first(floor).alias("_f"), F.first(trade).alias("_t"),
+    ).join(size, keys)
+    bound = F.col("_s") + F.col("_f") * F.col("factor_target") - F.col("_t") * F.col("turnover_budget") + F.col("_least")
+    return sums.select(
+        *keys, "n_candidates", "sums_to_one", "within_bounds", (F.col("_exposure") >= F.col("factor_target") - 1e-6).alias("meets_floor"),
+        (F.col("_trade") <= F.col("turnover_budget") + 1e-6).alias("within_budget"), (F.col("_value") - bound <= tolerance * F.col("_size")).alias("is_optimal"),
     )
 
 

@@ -100,6 +100,28 @@ def position_in_group(
     )
 
 
+def sum_before(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, group_rows: int | None, out: str, task_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Sum of ``value`` over the rows of the group that come before each row; ``order`` has no ties.
+
+    A group beyond ``task_rows`` (or of unknown size) spreads over range slices, as in ``position_in_group``.
+    """
+    keys = list(keys)
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    if group_rows is not None and group_rows <= task_rows:
+        return df.withColumn(out, earlier(W.partitionBy(*keys).orderBy(*order)))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = materialize(
+        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()), "slices"
+    )
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = sums.select(*keys, "_slice", before.alias("_offset"))
+    local = earlier(W.partitionBy(*keys, "_slice").orderBy(*order))
+    return sliced.join(offsets, [*keys, "_slice"]).withColumn(out, F.col("_offset") + local).drop("_slice", "_offset")
+
+
 def mean_rank_in_group(
     df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None, out: str, task_rows: int = TASK_ROWS
 ) -> DataFrame:

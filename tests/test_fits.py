@@ -2,8 +2,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import fits, kernels
+from basketry.plans import studies
 from basketry.sizing import Schedule
 
 DAY = dt.date(2020, 3, 20)
@@ -125,3 +127,69 @@ def test_infeasible_cap_raises_or_skips(spark):
     assert fits.solve_quadratic(*problem, 3, 12).count() == 0
     with pytest.raises(Exception, match="infeasible"):
         fits.solve_quadratic(*problem, 3, 12, infeasible="error").count()
+
+
+def _dual_bound(f, q, u, budget):
+    """Greatest exposure by duality: the least dual value over all pairs of marginal names (exact, as a best pair is among them)."""
+    own, best = np.minimum(q, u), np.inf
+    for a in f:
+        for b in f[f <= a]:
+            level, trade = (a + b) / 2, (a - b) / 2
+            z = np.stack([np.zeros(len(f)), own, np.full(len(f), u)])
+            best = min(best, level + trade * budget + ((f - level) * z - trade * np.abs(z - q)).max(axis=0).sum())
+    return best
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 1])
+def test_greatest_exposure_is_exact(spark, task_rows):
+    rng = np.random.default_rng(5)
+    names, specs, want = [], [], {}
+    for k in range(12):
+        day = DAY + dt.timedelta(days=k)
+        n, u = int(rng.integers(3, 9)), float(rng.choice([1.0, 0.5, 0.4]))
+        f = np.round(rng.normal(size=n), 1)  # ties
+        q = rng.dirichlet(np.ones(n)) * rng.choice([1.0, 0.7])
+        names += [(day, f"N{i}", float(f[i]), float(q[i])) for i in range(n)]
+        for budget in (0.1, 0.35, 0.8, 2.0):
+            specs.append((day, budget, u, n, -10.0, [0.0, 0.0]))
+            lack, left = 1 - np.minimum(q, u).sum(), budget - np.maximum(q - u, 0).sum()
+            want[day, budget] = (left >= abs(lack) - 1e-9, _dual_bound(f, q, u, budget))
+    nf = spark.createDataFrame(names, "rebalance_date DATE, symbol STRING, f DOUBLE, q DOUBLE")
+    sf = spark.createDataFrame(specs, "rebalance_date DATE, budget DOUBLE, upper DOUBLE, n_names INT, target DOUBLE, b ARRAY<DOUBLE>").withColumn("turnover_budget", F.col("budget"))
+    got = fits.greatest_exposure(nf, sf, ["rebalance_date", "turnover_budget"], 9, task_rows).collect()
+    assert len(got) == 48 and {r.within_budget for r in got} == {True, False}
+    for r in got:
+        ok, best = want[r.rebalance_date, r.turnover_budget]
+        assert r.within_budget == ok
+        if ok:
+            assert r.exposure == pytest.approx(best, abs=1e-9)
+
+
+def test_certificate_tells_a_worse_portfolio(spark):
+    rng = np.random.default_rng(13)
+    n, days = 15, 30
+    x, f, q = rng.normal(0, 0.01, (n, days)), rng.normal(size=n), rng.dirichlet(np.ones(n))
+    b = x.T @ rng.dirichlet(np.ones(n))
+    table = lambda v, c: spark.createDataFrame([(DAY, f"N{i:03d}", float(z)) for i, z in enumerate(v)], f"rebalance_date DATE, symbol STRING, {c} DOUBLE")
+    goals = spark.createDataFrame([(DAY, "none", -10.0), (DAY, "high", float(np.quantile(f, 0.7))), (DAY, "beyond", float(f.max()) + 1)], "rebalance_date DATE, target_name STRING, factor_target DOUBLE")
+    names, bench, exposure = _names(spark, x), _bench(spark, b), table(f, "composite")
+    problem = fits.turnover_problems(names, bench, table(q, "weight"), exposure, goals, [0.2, 0.6, 2.0], Schedule(None, 1))
+    fr = studies.Frontier(*problem, table(q, "weight"), exposure, names, bench)
+    status = {(r.target_name, r.turnover_budget): r.status for r in fits.fit_status(*problem, n).collect()}
+    assert len(status) == 9 and all(v == "infeasible" for k, v in status.items() if k[0] == "beyond")
+    w = fits.solve_quadratic(*problem, n, days, multipliers=True).persist()
+    good = studies.certified(w, fr).collect()
+    assert {(r.target_name, r.turnover_budget) for r in good} == {k for k, v in status.items() if v == "solved"} and len(good) >= 5
+    assert all(r.is_optimal and r.sums_to_one and r.within_bounds and r.meets_floor and r.within_budget and r.n_candidates == n for r in good)
+    # A portfolio that is half the one held before meets every limit but the floor, and is never the best.
+    held = spark.createDataFrame([(f"N{i:03d}", float(v)) for i, v in enumerate(q)], "symbol STRING, q DOUBLE")
+    mixed = w.join(held, "symbol").withColumn("weight", (F.col("weight") + F.col("q")) / 2).drop("q")
+    assert not any(r.is_optimal for r in studies.certified(mixed, fr).collect() if r.turnover_budget < 2)
+    # Wrong multipliers prove nothing.
+    wrong = w.withColumn("turnover_multiplier", F.col("turnover_multiplier") + 1.0)
+    assert not any(r.is_optimal for r in studies.certified(wrong, fr).collect() if r.turnover_budget == 2.0)
+    w.unpersist()
+    outside = {tuple(r)[:5]: r for r in fits.solve_quadratic(*problem, None, days, multipliers=True).collect()}
+    inside = {tuple(r)[:5]: r for r in fits.solve_quadratic(*problem, n, days, multipliers=True).collect()}
+    assert outside.keys() == inside.keys()
+    assert all(outside[k].weight == pytest.approx(inside[k].weight, abs=1e-6) for k in inside)

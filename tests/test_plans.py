@@ -88,7 +88,7 @@ def test_comparison_records_its_settings(market):
 
 
 def test_query_parameters_are_checked(market):
-    assert "unknown strategy" in named.backtest_bootstrap(market, "nope").first().error
+    assert "is not one of" in named.backtest_bootstrap(market, "nope").first().error
     with pytest.raises(ValueError):
         named.backtest_bootstrap(market, "quality", n_resamples=5001)
     with pytest.raises(ValueError):
