@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from basketry.operators import valuation as V, weights as B
 from basketry.plans import named
 from basketry.plans.market import MONTHLY, Settings, build_market, supplied_market
+from basketry.session import materialize
+from basketry.sizing import Schedule
 from tests.helpers import as_dict, days
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -62,6 +65,18 @@ def test_days_are_written_out_for_holdings_alone(spark, market):
     assert spans <= quotes + boundaries
 
 
+def test_short_histories_give_an_error_row(spark, market):
+    first = market.segments.agg(F.min("rebalance_date")).first()[0]
+    two = market.schedule.rows.where(F.col("rebalance_date") >= F.lit(first)).orderBy("rebalance_date").limit(2)
+    short = replace(market, schedule=Schedule(materialize(two, "two"), 2))
+    assert short.rule_weights.select("rebalance_date").distinct().count() == 1
+    assert "fewer than two" in named.multi_objective(short).first().error
+    assert "fewer than two" in named.liquidity(short, 1e5).first().error
+    assert "fewer than two" in named.risk_attribution(short).first().error
+    assert "is not one of" in named.risk_attribution(market, "nope").first().error
+    assert "trading rows" in named.multi_objective(market.with_settings(lookback=market.cal.n)).first().error
+
+
 def test_top_names_are_pruned_before_the_shuffle(market):
     plan = plan_of(B.top_by_cap(market.members, market.start_caps, 5))
     assert plan.count("WindowGroupLimit") == 2
