@@ -417,11 +417,53 @@ def solve_lasso(
     are then checked against every penalty's optimality condition and violators join,
     until none is left. The result is the path over all names.
     """
+    names, specs = _lasso_inputs(histories, benchmark, names_bound, lookback, schedule, n_alphas, eps, task_cells)
+    schema = StructType([
+        names.schema["rebalance_date"], StructField("target_n", LongType()), StructField("symbol", StringType()), StructField("weight", DoubleType()),
+    ])
+
+    def picks(pdf: pd.DataFrame, alphas: np.ndarray, coefficients: np.ndarray) -> Iterator[pd.DataFrame]:
+        for target in targets:
+            w = _pick(coefficients, target)
+            on = w > 0
+            if on.any():
+                yield pd.DataFrame({
+                    "rebalance_date": pdf["rebalance_date"].to_numpy()[on], "target_n": int(target),
+                    "symbol": pdf["symbol"].to_numpy()[on], "weight": w[on] / w[on].sum(),
+                })
+
+    return _lasso_groups(names, specs, schema, picks, n_alphas, eps)
+
+
+def lasso_paths(
+    histories: DataFrame, benchmark: DataFrame, names_bound: int | None, lookback: int, schedule: Schedule, n_alphas: int = 150,
+    eps: float = 1e-4, task_cells: int = TASK_CELLS,
+) -> DataFrame:
+    """``(rebalance_date, k, alpha, symbol, coefficient)``: the coefficients above zero at every penalty, numbered from the
+    greatest; a penalty without any has one row without symbol. A penalty holds no more names than the window has days."""
+    names, specs = _lasso_inputs(histories, benchmark, names_bound, lookback, schedule, n_alphas, eps, task_cells)
+    schema = StructType([
+        names.schema["rebalance_date"], StructField("k", LongType()), StructField("alpha", DoubleType()), StructField("symbol", StringType()),
+        StructField("coefficient", DoubleType()),
+    ])
+
+    def rows(pdf: pd.DataFrame, alphas: np.ndarray, coefficients: np.ndarray) -> Iterator[pd.DataFrame]:
+        day, symbols = pdf["rebalance_date"].iloc[0], pdf["symbol"].to_numpy()
+        for k, (alpha, w) in enumerate(zip(alphas, coefficients)):
+            on = np.flatnonzero(w)
+            yield pd.DataFrame({
+                "rebalance_date": day, "k": k, "alpha": alpha, "symbol": symbols[on] if len(on) else [None], "coefficient": w[on] if len(on) else [0.0],
+            })
+
+    return _lasso_groups(names, specs, schema, rows, n_alphas, eps)
+
+
+def _lasso_inputs(histories, benchmark, names_bound, lookback, schedule, n_alphas, eps, task_cells) -> tuple[DataFrame, DataFrame]:
+    """Names whose path is the path over all names, and the benchmark with the greatest penalty where it is known."""
     names = histories.join(schedule.hint(benchmark.select("rebalance_date")), "rebalance_date", "left_semi")
     if names_bound is None or names_bound * lookback > task_cells:
-        return _lasso_by_working_set(names, benchmark, targets, lookback, schedule, n_alphas, eps)
-    top = benchmark.select("rebalance_date", "b", F.lit(None).cast("double").alias("alpha_max"))
-    return _lasso_groups(names, top, targets, n_alphas, eps)
+        return _lasso_working_set(names, benchmark, lookback, schedule, n_alphas, eps)
+    return names, benchmark.select("rebalance_date", "b", F.lit(None).cast("double").alias("alpha_max"))
 
 
 def _lasso_path_of(pdf: pd.DataFrame, row, n_alphas: int, eps: float):
@@ -434,29 +476,23 @@ def _lasso_path_of(pdf: pd.DataFrame, row, n_alphas: int, eps: float):
     return alphas, coefficients, y - coefficients @ x
 
 
-def _lasso_groups(names: DataFrame, specs: DataFrame, targets: Sequence[int], n_alphas: int, eps: float) -> DataFrame:
-    date = names.schema["rebalance_date"]
-    schema = StructType([date, StructField("target_n", LongType()), StructField("symbol", StringType()), StructField("weight", DoubleType())])
+def _lasso_groups(names: DataFrame, specs: DataFrame, schema: StructType, emit, n_alphas: int, eps: float) -> DataFrame:
+    """What ``emit`` makes of the path of each rebalance."""
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_nothing(schema)]
-        if not pdf.empty and not spec_pdf.empty:
-            pdf = pdf.sort_values("symbol")
-            _, coefficients, _ = _lasso_path_of(pdf, spec_pdf.iloc[0], n_alphas, eps)
-            for target in targets:
-                w = _pick(coefficients, target)
-                on = w > 0
-                if on.any():
-                    parts.append(pd.DataFrame({
-                        "rebalance_date": pdf["rebalance_date"].to_numpy()[on], "target_n": int(target),
-                        "symbol": pdf["symbol"].to_numpy()[on], "weight": w[on] / w[on].sum(),
-                    }))
-        return pd.concat(parts[1:], ignore_index=True) if len(parts) > 1 else parts[0]
+        if pdf.empty or spec_pdf.empty:
+            return _nothing(schema)
+        pdf = pdf.sort_values("symbol")
+        alphas, coefficients, _ = _lasso_path_of(pdf, spec_pdf.iloc[0], n_alphas, eps)
+        parts = list(emit(pdf, alphas, coefficients))
+        return pd.concat(parts, ignore_index=True) if parts else _nothing(schema)
 
     return names.groupBy("rebalance_date").cogroup(specs.groupBy("rebalance_date")).applyInPandas(fit, schema)
 
 
-def _lasso_by_working_set(names: DataFrame, benchmark: DataFrame, targets, lookback: int, schedule: Schedule, n_alphas: int, eps: float, tolerance: float = 1e-9) -> DataFrame:
+def _lasso_working_set(
+    names: DataFrame, benchmark: DataFrame, lookback: int, schedule: Schedule, n_alphas: int, eps: float, tolerance: float = 1e-9
+) -> tuple[DataFrame, DataFrame]:
     spark = names.sparkSession
     names = materialize(names, "names")
     batch = 2 * lookback
@@ -504,5 +540,5 @@ def _lasso_by_working_set(names: DataFrame, benchmark: DataFrame, targets, lookb
             .select("rebalance_date", "symbol"), "joining",
         )
         if joining.isEmpty():
-            return _lasso_groups(chosen, specs, targets, n_alphas, eps)
+            return chosen, specs
         working = materialize(working.unionByName(joining), "working")

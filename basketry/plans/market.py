@@ -271,6 +271,11 @@ class Market:
             self.segments, self.benchmark_returns, self.cal, self.schedule, s.lookback, s.max_missing_benchmark, s.min_forward_days
         ), "fit_benchmark")
 
+    @cached_property
+    def lasso_paths(self) -> DataFrame:
+        """Coefficients at every penalty of every evaluated rebalance."""
+        return materialize(fits.lasso_paths(self.histories, self.fit_benchmark, self.n_symbols, self.settings.lookback, self.schedule), "lasso_paths")
+
     @cached_property
     def shrunk(self) -> DataFrame:
         held = self.histories.join(self.schedule.hint(self.held_segments.select("rebalance_date")), "rebalance_date", "left_semi")

@@ -718,6 +718,12 @@ def frontier_status(m: Market) -> DataFrame:
     return tidy(studies.frontier_status(m, BUDGETS), factor_target=8, greatest_exposure=8)
 
 
+@query("sparse_path_certificate")
+def sparse_path_certificate(m: Market) -> DataFrame:
+    out = studies.sparse_path_certificate(m.lasso_paths, m.histories, m.fit_benchmark)
+    return tidy(out.drop("n_held"), alpha=12)
+
+
 @query("tracking_fit_certificate")
 def tracking_fit_certificate(m: Market) -> DataFrame:
     return studies.tracking_fit_certificate(m, [8, 30])

@@ -238,3 +238,43 @@ def min_vol_certificate(m: Market, tolerance: float = 1e-6) -> DataFrame:
         m.schedule.hint(shrunk), "rebalance_date"
     ).select(*keys, "symbol", "weight", (sample + F.col("shrinkage") * F.col("mu") * F.col("weight")).alias("g"), (F.col("mu") * 1e-3).alias("scale"))
     return _certificate(graded, keys, m.settings.max_weight, tolerance)
+
+
+def sparse_path_certificate(paths: DataFrame, histories: DataFrame, benchmark: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """``(rebalance_date, k, alpha, n_candidates, n_held, is_stationary, gap_is_closed)`` for every penalty of ``fits.lasso_paths``.
+
+    Over all candidates, none correlates with the residual above the penalty and those held do so at the penalty, to
+    ``tolerance`` of the greatest penalty; and the objective lies no further above its dual bound (the residual scaled into the feasible set) than ``tolerance`` of its size.
+    The residuals, one array a penalty, come to the candidates; no candidate is paired with another.
+    """
+    keys = ["rebalance_date", "k"]
+    held = paths.where("symbol IS NOT NULL")
+    fitted = held.join(histories, ["rebalance_date", "symbol"]).select(*keys, "coefficient", F.posexplode("x").alias("t", "r")).groupBy(*keys, "t").agg(
+        F.sum(F.col("coefficient") * F.col("r")).alias("fit")
+    )
+    penalties = paths.groupBy(*keys).agg(F.first("alpha").alias("alpha"), F.sum("coefficient").alias("_total"), F.count("symbol").alias("n_held"))
+    penalties = penalties.withColumn("_top", F.max("alpha").over(W.partitionBy("rebalance_date")))  # a row a penalty
+    days = benchmark.select("rebalance_date", F.posexplode("b").alias("t", "b")).where("b IS NOT NULL")
+    grid = penalties.join(days, "rebalance_date").join(fitted, [*keys, "t"], "left").withColumn("e", F.col("b") - F.coalesce("fit", F.lit(0.0)))
+    resid = grid.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("t", "e"))).alias("_e"), F.count(F.lit(1)).alias("_days"), F.sum(F.col("e") * F.col("e")).alias("_ee"),
+        F.sum(F.col("e") * F.col("b")).alias("_eb"), F.sum(F.col("b") * F.col("b")).alias("_bb"),
+        *[F.first(c).alias(c) for c in ("alpha", "_total", "n_held", "_top")],
+    )
+    whole = resid.withColumn("_r", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_e"))), lambda t: F.coalesce(F.try_element_at("_e", t), F.lit(0.0))))
+    dot = F.aggregate(F.zip_with("x", "_r", lambda a, c: F.coalesce(a * c, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v) / F.col("_days")
+    graded = histories.join(materialize(whole.drop("_e"), "residuals"), "rebalance_date").withColumn("_c", dot).join(
+        held.select(*keys, "symbol", F.lit(True).alias("_in")), [*keys, "symbol"], "left"
+    )
+    sums = graded.groupBy(*keys, "alpha", "n_held", "_top", "_total", "_days", "_ee", "_eb", "_bb").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.max("_c").alias("_most"), F.max(F.when(F.col("_in"), F.abs(F.col("_c") - F.col("alpha")))).alias("_off"),
+    )
+    n, a = F.col("_days"), F.col("alpha")
+    size = F.col("_top")
+    primal = F.col("_ee") / (2 * n) + a * F.col("_total")
+    part = F.when(F.col("_most") > a, a / F.col("_most")).otherwise(1.0)
+    bound = (2 * part * F.col("_eb") - part * part * F.col("_ee")) / (2 * n)
+    return sums.select(
+        *keys, "alpha", "n_candidates", "n_held", ((F.col("_most") <= a + tolerance * size) & (F.coalesce("_off", F.lit(0.0)) <= tolerance * size)).alias("is_stationary"),
+        (primal - bound <= tolerance * F.col("_bb") / (2 * n)).alias("gap_is_closed"),
+    )

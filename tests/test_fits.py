@@ -193,3 +193,31 @@ def test_certificate_tells_a_worse_portfolio(spark):
     inside = {tuple(r)[:5]: r for r in fits.solve_quadratic(*problem, n, days, multipliers=True).collect()}
     assert outside.keys() == inside.keys()
     assert all(outside[k].weight == pytest.approx(inside[k].weight, abs=1e-6) for k in inside)
+
+
+def test_sparse_paths_certificate_and_picks(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 0.01, (30, 14))
+    b = list(x[:5].mean(0) + rng.normal(0, 0.002, 14))
+    b[2] = None
+    names, bench, sched = _names(spark, x), _bench(spark, b), Schedule(None, 1)
+    paths = fits.lasso_paths(names, bench, 30, 14, sched).persist()
+    wide = {(r.k, r.symbol): r.coefficient for r in fits.lasso_paths(names, bench, None, 14, sched).collect()}
+    assert {(r.k, r.symbol): r.coefficient for r in paths.collect()} == pytest.approx(wide, abs=1e-8)
+    good = studies.sparse_path_certificate(paths, names, bench).collect()
+    assert len(good) == 150 and all(r.is_stationary and r.gap_is_closed and r.n_candidates == 30 for r in good)
+    assert good and {r.k: r.n_held for r in good}[0] == 0  # nothing is held at the greatest penalty
+    off = paths.withColumn("coefficient", F.col("coefficient") * 1.01)
+    bad = [r for r in studies.sparse_path_certificate(off, names, bench).collect() if r.n_held > 0]
+    assert not any(r.is_stationary and r.gap_is_closed for r in bad)
+    dropped = paths.where("NOT symbol <=> 'N000' OR k < 20")
+    assert not all(r.is_stationary for r in studies.sparse_path_certificate(dropped, names, bench).collect())
+    # What the sampling fit takes is the penalty whose support is nearest the target, the first on a tie.
+    support = {r.k: r.n_held for r in good}
+    for target in (3, 6, 12):
+        k = min(support, key=lambda i: (abs(support[i] - target), i))
+        held = {r.symbol: r.coefficient for r in paths.where(F.col("k") == k).collect()}
+        total = sum(held.values())
+        got = {r.symbol: r.weight for r in fits.solve_lasso(names, bench, [target], 30, 14, sched).collect()}
+        assert got == pytest.approx({s: c / total for s, c in held.items()}, abs=1e-12)
+    paths.unpersist()
