@@ -366,6 +366,12 @@ FROM comparison c, (SELECT unnest(['comparison', 'comparison_csv']) AS part) t
 UNION ALL SELECT 'sampling', concat(m.name, ' ', CAST(n.target_n AS VARCHAR))
 FROM (SELECT unnest(['stratified', 'optimization', 'lasso']) AS name) m, (SELECT unnest([8, 30]) AS target_n) n"""
 
+FINALS["stored_comparison"] = FINALS["stored_comparison_csv"] = FINALS["comparison_table"]
+FINALS["result_manifest"] = f"""
+SELECT CAST(v AS BIGINT) AS version, part, CASE WHEN v = 1 THEN 0 ELSE n END AS n_rows FROM (
+  SELECT 'comparison' AS part, count(*) AS n FROM comparison UNION ALL SELECT 'findings', count(*) FROM ({FINALS["findings"]}) f UNION ALL SELECT 'sampling', 6) t,
+  (SELECT unnest([1, 2]) AS v) u WHERE v = 2 OR part <> 'sampling'"""
+
 FINALS["lost_weight"] = """
 SELECT w.strategy, w.rebalance_date, count(*) FILTER (WHERE p.symbol IS NULL) AS n_unquoted,
   round(coalesce(sum(w.weight) FILTER (WHERE p.symbol IS NULL), 0), 8) AS lost_weight

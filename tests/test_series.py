@@ -184,6 +184,25 @@ def test_absent_results_are_an_error_row(spark, tmp_path):
     assert "not found" in out["comparison"].first().error
 
 
+def test_a_failed_write_leaves_the_earlier_results(spark, tmp_path):
+    path = str(tmp_path / "set")
+    table = lambda x: spark.createDataFrame([("s", 1e6, x), ("t", 1e7, x)], "strategy STRING, aum DOUBLE, value DOUBLE")
+    said = lambda *lines: spark.createDataFrame(list(enumerate(lines)), "seq INT, text STRING")
+    assert results.write_results(path, table(1.0), table(1.5), said("one", "two"), {"flat": table(1.0)}) == 1
+    broken = said("three").withColumn("text", F.expr("raise_error('stopped')"))
+    with pytest.raises(Exception, match="stopped"):
+        results.write_results(path, table(2.0), table(2.5), broken)
+    got = results.read_results(spark, path)
+    assert {r.value for r in got["comparison"].collect()} == {1.0} and {r.value for r in got["sampling"].collect()} == {1.5}
+    assert [r.text for r in got["findings"].collect()] == ["one", "two"] and results.read_csv(spark, path, "flat").count() == 2
+    assert results.write_results(path, table(3.0), None, said("four")) == 2
+    got = results.read_results(spark, path)
+    assert {r.value for r in got["comparison"].collect()} == {3.0} and "not found" in got["sampling"].first().error
+    results.prune(spark, path, keep=1)
+    assert {r.value for r in results.read_results(spark, path)["comparison"].collect()} == {3.0} and results.published(spark, path).count() == 2
+    assert "not found" in results.read_csv(spark, str(tmp_path / "no"), "flat").first().error
+
+
 def test_forward_window_prices_do_not_change_past_coefficients(spark):
     from tests.helpers import numbered
 
