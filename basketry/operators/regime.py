@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from basketry.functions.columns import compounded_from_mean, ratio
 from basketry.operators.calendar import shifted
+from basketry.operators.running import running_quantiles
 
 LABELS = ("calm", "normal", "volatile")
 
@@ -46,6 +47,22 @@ def classify(vols: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3) -> Da
     return vols.join(cut, "ticker").withColumn("label", label).drop("_t")
 
 
+def expanding_thresholds(vols: DataFrame, rows_bound: int | None, low_q: float = 1 / 3, high_q: float = 2 / 3) -> DataFrame:
+    """``(ticker, date, n_seen, low_threshold, high_threshold)``: quantiles of what each ticker has shown up to each date."""
+    return running_quantiles(vols, "ticker", "date", "vol", {"low_threshold": low_q, "high_threshold": high_q}, rows_bound)
+
+
+def classify_expanding(vols: DataFrame, rows_bound: int | None, low_q: float = 1 / 3, high_q: float = 2 / 3, least: int = 21) -> DataFrame:
+    """Adds ``label`` by the thresholds known on each date, so no later day moves an earlier label; null before ``least``
+    days have been seen."""
+    cut = expanding_thresholds(vols, rows_bound, low_q, high_q)
+    label = (
+        F.when(F.col("vol").isNull() | (F.col("n_seen") < least), F.lit(None).cast("string"))
+        .when(F.col("vol") <= F.col("low_threshold"), "calm").when(F.col("vol") >= F.col("high_threshold"), "volatile").otherwise("normal")
+    )
+    return vols.join(cut, ["ticker", "date"], "left").withColumn("label", label).drop("n_seen", "low_threshold", "high_threshold")
+
+
 def reference_levels(index_level: DataFrame, ticker: str | None = None) -> DataFrame:
     """The levels of one index, by default of the first by name; a date that it has twice is an error."""
     chosen = index_level.agg(F.min("ticker")).scalar() if ticker is None else F.lit(ticker)
@@ -54,10 +71,17 @@ def reference_levels(index_level: DataFrame, ticker: str | None = None) -> DataF
     return levels.agg(once.otherwise(F.first("close")).alias("close"))
 
 
-def regime_labels(index_level: DataFrame, window: int = 21, periods_per_year: float = 252, ticker: str | None = None) -> DataFrame:
-    """``(date, vol, label)`` of one index, a row per date."""
-    levels = reference_levels(index_level, ticker)
-    return classify(rolling_vol(number_series(levels), "ticker", window, periods_per_year)).select("date", "vol", "label")
+def regime_labels(
+    index_level: DataFrame, window: int = 21, periods_per_year: float = 252, ticker: str | None = None, thresholds: str = "full",
+    rows_bound: int | None = None,
+) -> DataFrame:
+    """``(date, vol, label)`` of one index, a row per date. ``thresholds``: ``full`` takes the quantiles of the whole history,
+    ``expanding`` those of the days up to each date."""
+    if thresholds not in ("full", "expanding"):
+        raise ValueError(f"thresholds are full or expanding, not {thresholds}")
+    vols = rolling_vol(number_series(reference_levels(index_level, ticker)), "ticker", window, periods_per_year)
+    labelled = classify(vols) if thresholds == "full" else classify_expanding(vols, rows_bound)
+    return labelled.select("date", "vol", "label")
 
 
 def day_counts(labels: DataFrame) -> DataFrame:

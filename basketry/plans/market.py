@@ -34,6 +34,7 @@ class Settings:
     tilt_strength: float = 0.5
     regime_window: int = 21
     regime_ticker: str | None = None
+    thresholds: str = "full"
     min_regime_days: int = 30
     volume_window: int = 63
     vol_window: int = 21
@@ -333,7 +334,8 @@ class Market:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return materialize(regime.regime_labels(self.index_level, self.settings.regime_window, ticker=self.settings.regime_ticker), "labels")
+        s = self.settings
+        return materialize(regime.regime_labels(self.index_level, s.regime_window, ticker=s.regime_ticker, thresholds=s.thresholds), "labels")
 
     @cached_property
     def liquidity(self) -> DataFrame:

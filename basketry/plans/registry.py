@@ -438,6 +438,18 @@ def regime_labels(m: Market) -> DataFrame:
     return m.labels.select("date", "label")
 
 
+@query("regime_labels_expanding")
+def regime_labels_expanding(m: Market) -> DataFrame:
+    """Labels by thresholds that know no later day."""
+    return m.with_settings(thresholds="expanding").labels.select("date", "label")
+
+
+@query("regime_thresholds_expanding")
+def regime_thresholds_expanding(m: Market) -> DataFrame:
+    vols = R.rolling_vol(R.number_series(m.index_level), "ticker", m.settings.regime_window)
+    return tidy(R.expanding_thresholds(vols, None), low_threshold=8, high_threshold=8)
+
+
 @query("regime_thresholds")
 def regime_thresholds(m: Market) -> DataFrame:
     return tidy(R.regime_thresholds(m.labels.withColumn("ticker", F.lit("IDX"))).drop("ticker"), low_quantile=8, high_quantile=8, low_threshold=8, high_threshold=8)

@@ -149,6 +149,18 @@ SELECT symbol, pos, round(close / before - 1, 9) AS ret FROM b WHERE before <> 0
 
 FINALS["rolling_vol"] = "SELECT date, round(vol, 8) AS vol FROM regimes"
 FINALS["regime_labels"] = "SELECT date, label FROM regimes"
+FINALS["regime_labels_expanding"] = """
+SELECT date, CASE WHEN vol IS NULL OR n < 21 THEN NULL WHEN vol <= lo THEN 'calm' WHEN vol >= hi THEN 'volatile' ELSE 'normal' END AS label FROM (
+  SELECT date, vol, count(vol) OVER w AS n, quantile_cont(vol, 1.0::DOUBLE/3) OVER w AS lo, quantile_cont(vol, 2.0::DOUBLE/3) OVER w AS hi
+  FROM idx_vol WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q"""
+FINALS["regime_thresholds_expanding"] = """
+WITH lv AS (SELECT t.name AS ticker, date, CASE WHEN t.name = 'IDX' THEN close ELSE close * (1 + (date - DATE '1995-01-01') / 10000.0::DOUBLE) END AS close
+    FROM idx, (SELECT unnest(['IDX', 'IDXTR']) AS name) t),
+  lg AS (SELECT ticker, date, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS l FROM lv),
+  vv AS (SELECT ticker, date, CASE WHEN count(l) OVER w = 21 THEN stddev_samp(l) OVER w * sqrt(252) END AS vol FROM lg
+    WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))
+SELECT ticker, date, count(*) OVER w AS n_seen, round(quantile_cont(vol, 1.0::DOUBLE/3) OVER w, 8) AS low_threshold, round(quantile_cont(vol, 2.0::DOUBLE/3) OVER w, 8) AS high_threshold
+FROM vv WHERE vol IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 FINALS["regime_thresholds"] = """
 SELECT round(1.0::DOUBLE/3, 8) AS low_quantile, round(2.0::DOUBLE/3, 8) AS high_quantile, round(lo, 8) AS low_threshold, round(hi, 8) AS high_threshold FROM vol_cuts"""
 FINALS["regime_day_counts"] = "SELECT label, count(*) AS n_days FROM regimes WHERE label IS NOT NULL GROUP BY 1"
