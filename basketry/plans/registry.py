@@ -846,6 +846,23 @@ def streaming_limit_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out, tracking_error=8, max_relative_drawdown=8)
 
 
+@raw_query("streaming_late_rows")
+def streaming_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event returns, then a row that moves the watermark past them, then all of them once more: those come too late."""
+    base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/late-{uuid.uuid4().hex}"
+    feed = fixtures.event_returns(spark, sf_dir).withColumn("reset", F.lit(False))
+    run = lambda: ST.run_available(
+        spark, f"{base}/feed", f"{base}/out", f"{base}/checkpoint", late=f"{base}/late", te_limit=0.05, drawdown_limit=0.004
+    )
+    ST.write_feed(feed, f"{base}/feed")
+    run()
+    ST.write_heartbeat(spark, f"{base}/feed", "2100-01-01")
+    run()
+    ST.write_feed(feed, f"{base}/feed")
+    run()
+    return ST.late_rows(spark, f"{base}/late").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_late").alias("n_late"))
+
+
 # --- cleaning, scans, results ------------------------------------------------------------
 
 @raw_query("clean_constituents")

@@ -5,8 +5,7 @@ date order, because relative drawdown depends on the path. Rows of one timestamp
 kept: resets come first, the rest in order of arrival. A row without both returns moves
 no figure (its reset still counts); a return of -100 % or less is an error, as it is in
 the batch form. State per strategy is a handful of running numbers; rows older than the
-watermark are dropped by Spark and counted in the query progress
-(``numRowsDroppedByWatermark``).
+watermark are dropped by Spark, and ``LateRows`` turns their number into a result row per batch.
 """
 
 from __future__ import annotations
@@ -14,12 +13,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from basketry.operators.risk import check_limits
 
@@ -125,14 +125,72 @@ def monitor(
     )
 
 
-def run_available(spark: SparkSession, source: str, target: str, checkpoint: str, **options) -> DataFrame:
-    """Process everything new under ``source`` in one trigger and return all that ``target`` holds."""
-    stream = spark.readStream.schema(INPUT).parquet(source)
-    query = (
-        monitor(stream, **options).writeStream.format("parquet").option("path", target)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+LATE = "query STRING, batch BIGINT, watermark STRING, n_rows BIGINT, n_late BIGINT"
+
+
+class LateRows(StreamingQueryListener):
+    """Listens to queries and keeps, for each of their batches, the rows read and those that came behind the watermark.
+
+    A batch that is run again after a failure reports anew and replaces its earlier line.
+    """
+
+    def __init__(self):
+        self.batches: dict[tuple[str, int], tuple] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.batches[str(p.id), p.batchId] = (str(p.id), p.batchId, (p.eventTime or {}).get("watermark"), int(p.numInputRows), int(late))
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def heard(self, query, seconds: float = 60.0) -> list[tuple]:
+        """The lines of an ended query; its last events may still be on their way."""
+        until = time.time() + seconds
+        while str(query.runId) not in self.ended:
+            if time.time() > until:
+                raise TimeoutError("the query's last events have not arrived")
+            time.sleep(0.05)
+        return sorted(line for (q, _), line in self.batches.items() if q == str(query.id))
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch: ``(query, batch, watermark, n_rows, n_late)``; a batch reported twice counts once."""
+    lines = spark.read.schema(LATE).parquet(path)
+    return lines.groupBy("query", "batch").agg(*[F.max(c).alias(c) for c in ("watermark", "n_rows", "n_late")])
+
+
+def run_available(
+    spark: SparkSession, source: str, target: str, checkpoint: str, late: str | None = None, files_per_batch: int | None = None, **options
+) -> DataFrame:
+    """Process everything new under ``source`` and return all that ``target`` holds; ``late`` is a folder for the lines
+    of ``LateRows``, written even when a batch fails."""
+    reader = spark.readStream.schema(INPUT)
+    stream = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(source)
+    listener = LateRows()
+    if late is not None:
+        spark.streams.addListener(listener)
+    try:
+        query = (
+            monitor(stream, **options).writeStream.format("parquet").option("path", target)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
+        try:
+            query.awaitTermination()
+        finally:
+            if late is not None and (lines := listener.heard(query)):
+                spark.createDataFrame(lines, LATE).coalesce(1).write.mode("append").parquet(late)
+    finally:
+        if late is not None:
+            spark.streams.removeListener(listener)
     return spark.read.schema(OUTPUT).parquet(target)
 
 

@@ -402,3 +402,5 @@ te AS (SELECT a.rebalance_date, stddev_samp(a.r - b.ret) * sqrt(12) AS te FROM r
 n AS (SELECT rebalance_date, count(*) AS n FROM w_strat GROUP BY 1)
 SELECT 'stratified' AS method, CAST(17 AS BIGINT) AS target_n, round(avg(n.n), 8) AS mean_actual_n, round(avg(te), 8) AS mean_tracking_error,
   round(quantile_cont(te, 0.5), 8) AS median_tracking_error, count(te) AS n_periods FROM n JOIN te ON te.rebalance_date = n.rebalance_date WHERE te IS NOT NULL"""
+
+FINALS["streaming_late_rows"] = "SELECT CAST(2 * count(*) + 1 AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_late FROM fx_returns"

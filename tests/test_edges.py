@@ -50,6 +50,46 @@ def test_stream_keeps_rows_of_one_timestamp(spark, tmp_path):
     assert all(r.tracking_error is None or r.tracking_error == r.tracking_error for r in out)  # never NaN
 
 
+def test_late_rows_are_counted_batch_by_batch(spark, tmp_path):
+    at = lambda d: dt.datetime(2020, 1, d)
+    parts = [
+        [("a", at(d), 0.01, 0.0, False) for d in range(1, 11)],
+        [("b", at(20), 0.0, 0.0, False), ("a", at(3), 0.5, 0.0, False), ("b", at(8), 0.5, 0.0, False), ("a", at(9), 0.0, 0.0, False)],  # the 3rd is behind the 8th, the 8th at it
+        [("a", at(5), 0.5, 0.0, False), ("a", at(21), 0.0, 0.0, False), ("a", at(17), 0.5, 0.0, False)],
+    ]
+    folders = [str(tmp_path / x) for x in ("feed", "out", "checkpoint", "late")]
+    for rows in parts:
+        spark.createDataFrame(rows, ST.INPUT).coalesce(1).write.mode("append").parquet(folders[0])
+        ST.run_available(spark, *folders, te_limit=9.0, drawdown_limit=0.5, changes_only=False)
+    lines = sorted((r.batch, r.n_rows, r.n_late) for r in ST.late_rows(spark, folders[3]).collect())
+    assert len({r.query for r in ST.late_rows(spark, folders[3]).collect()}) == 1  # one query, started three times
+    with_rows = [(n, late) for _, n, late in lines if n]
+    assert with_rows == [(10, 0), (4, 2), (3, 2)]
+
+
+def test_stream_goes_on_where_a_failed_run_stopped(spark, tmp_path):
+    at = lambda d: dt.datetime(2020, 1, d)
+    days_ = [[("a", at(3 * k + d), 0.02 * (-1) ** d, 0.0, d == 2), ("b", at(3 * k + d), 0.001 * k, 0.0, None)] for k in range(5) for d in (1, 2, 3)]
+    whole, halting = tmp_path / "whole", tmp_path / "halting"
+    limits = dict(te_limit=9.0, drawdown_limit=0.01, changes_only=False)
+    results = []
+    for base, stops in ((whole, ()), (halting, (4, 9))):
+        folders = [str(base / x) for x in ("feed", "out", "checkpoint")]
+        for k, rows in enumerate(days_):
+            spark.createDataFrame(rows, ST.INPUT).coalesce(1).write.mode("append").parquet(folders[0])
+            if k in stops:  # the run ends in the middle of its batches and is started again
+                stream = spark.readStream.schema(ST.INPUT).option("maxFilesPerTrigger", 1).parquet(folders[0])
+                query = ST.monitor(stream, **limits).writeStream.format("parquet").option("path", folders[1]).option("checkpointLocation", folders[2]).trigger(processingTime="0 seconds").start()
+                while not any(p.batchId >= 1 for p in query.recentProgress):
+                    assert query.isActive
+                query.stop()
+        ST.write_heartbeat(spark, folders[0], "2100-01-01")
+        ST.run_available(spark, *folders, files_per_batch=2, **limits)
+        out = ST.run_available(spark, *folders, **limits)
+        results.append(sorted(map(tuple, out.where("strategy <> 'heartbeat'").collect()), key=str))
+    assert results[0] == results[1] and len(results[0]) == 30
+
+
 def test_stream_rejects_a_total_loss(spark, tmp_path):
     with pytest.raises(Exception, match="above -100 %"):
         feed(spark, tmp_path, [("a", dt.datetime(2020, 1, 1), -1.0, 0.0, False)])
