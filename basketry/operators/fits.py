@@ -293,7 +293,7 @@ def solve_quadratic(
     the weights' sum, the exposure floor and the turnover budget, in units of the scaled objective.
 
     ``names`` may be keyed by some of ``keys`` only; problems that differ in the others
-    share their candidates.
+    share their candidates, which meet them in one group and are never copied for each.
 
     ``names_bound`` is a proven bound on candidates per problem; beyond ``task_cells``
     values the distributed way is taken. ``infeasible='error'`` raises instead of
@@ -309,20 +309,20 @@ def solve_quadratic(
         return _solve_distributed(names, specs, keys).select(*out)
     schema = _weight_schema(specs, keys)
     shared_keys = [k for k in keys if k in names.columns]
-    if len(shared_keys) < len(keys):  # one group per problem, so that they run in parallel
-        names = names.join(small(specs.select(*[F.col(k).alias(k) for k in keys]), specs.count()), shared_keys)
+    order = [c for c in ("target", "budget") if c in specs.columns]
 
     def fit(pdf: pd.DataFrame, spec_pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = _nothing(schema)
-        if pdf.empty or spec_pdf.empty:
-            return empty
-        row = spec_pdf.iloc[0]
-        spec, days = _spec(row)
-        pdf = pdf.sort_values("symbol")
-        w, prices = kernels.fit_with_multipliers(*_arrays(pdf, days, row["scale"]), spec, proven=True)
-        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "symbol": pdf["symbol"].to_numpy(), "weight": w, **dict(zip(MULTIPLIERS, prices))})
-
-    return names.groupBy(*keys).cogroup(specs.groupBy(*keys)).applyInPandas(fit, schema).select(*out)
+        parts = [_nothing(schema)]
+        if not pdf.empty and not spec_pdf.empty:
+            pdf, cold = pdf.sort_values("symbol"), None
+            # Problems over the same names differ in their limits alone: from the widest on, each starts where its neighbour did.
+            for _, row in spec_pdf.sort_values(order, ascending=[True, False][:len(order)]).iterrows():
+                spec, days = _spec(row)
+                w, prices, cold = kernels.fit_with_multipliers(*_arrays(pdf, days, row["scale"]), spec, proven=True, start=cold)
+                parts.append(pd.DataFrame({**{k: [row[k]] * len(pdf) for k in keys}, "symbol": pdf["symbol"].to_numpy(), "weight": w, **dict(zip(MULTIPLIERS, prices))}))
+        return pd.concat(parts[1:], ignore_index=True) if len(parts) > 1 else parts[0]
+
+    return names.groupBy(*shared_keys).cogroup(specs.groupBy(*shared_keys)).applyInPandas(fit, schema).select(*out)
 
 
 def _solve_distributed(names: DataFrame, specs: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,10 +76,11 @@ def name_sums(x, f, q, point: Point, spec: Spec) -> np.ndarray:
     return np.concatenate([*head, (g.T @ g / rho).ravel()])
 
 
-def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
+def solve(spec: Spec, start: np.ndarray | None = None) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
     """Dual Newton steps inside proximal steps. Returns the final point and whether it is feasible.
 
-    A feasible problem that still moves when the steps run out is an error, never an answer.
+    A feasible problem that still moves when the steps run out is an error, never an answer. ``start`` are the multipliers
+    of the first step of a neighbouring problem; every step has one solution in the weights, so they save work and change none.
     """
     days = len(spec.b)
     size = days + 3
@@ -105,6 +106,8 @@ def solve(spec: Spec) -> Generator[Point, np.ndarray, tuple[Point, bool]]:
 
     point = Point(np.zeros(size), SIGMA_FIRST if spec.proximal else 0.0)
     point.v[days] = (spec.ridge + point.sigma) / spec.n_names  # every name starts free
+    if start is not None:
+        point.v = np.where(live, start, 0.0)
     feasible, moved = False, np.inf
     for _ in range(MAX_OUTER):
         grad, dual, moved, curve = read((yield point), point.v)
@@ -149,14 +152,14 @@ def fit_in_task(x, f, q, spec: Spec, proven: bool = False) -> np.ndarray | None:
     return None if found is None else found[0]
 
 
-def fit_with_multipliers(x, f, q, spec: Spec, proven: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights, and the multipliers of the sum, of the exposure floor and of the turnover budget.
+def fit_with_multipliers(x, f, q, spec: Spec, proven: bool = False, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Weights; the multipliers of the sum, of the exposure floor and of the turnover budget; and a start for a neighbour.
 
     ``proven`` says that the problem has a solution, so not reaching one is an error.
     """
     if len(x) * spec.upper < 1.0:
         return None
-    steps = solve(spec)
+    steps = solve(spec, start)
     point = next(steps)
     while True:
         try:
@@ -167,7 +170,8 @@ def fit_with_multipliers(x, f, q, spec: Spec, proven: bool = False) -> tuple[np.
                 if proven:
                     raise unsettled(spec)
                 return None
-            return normalised(name_weights(x, f, q, point, spec)[0]), multipliers(point, spec)
+            first = point.taken[0][0] if point.taken else point.v
+            return normalised(name_weights(x, f, q, point, spec)[0]), multipliers(point, spec), first
 
 
 def multipliers(point: Point, spec: Spec) -> np.ndarray:

@@ -221,3 +221,23 @@ def test_sparse_paths_certificate_and_picks(spark):
         got = {r.symbol: r.weight for r in fits.solve_lasso(names, bench, [target], 30, 14, sched).collect()}
         assert got == pytest.approx({s: c / total for s, c in held.items()}, abs=1e-12)
     paths.unpersist()
+
+
+def test_a_grid_in_one_group_equals_its_points_solved_alone(spark):
+    rng = np.random.default_rng(17)
+    n, days = 25, 16  # more names than days: the best portfolio is not unique
+    x, f, q = rng.normal(0, 0.01, (n, days)), rng.normal(size=n), rng.dirichlet(np.ones(n))
+    b = x.T @ rng.dirichlet(np.ones(n)) + rng.normal(0, 0.003, days)
+    table = lambda v, c: spark.createDataFrame([(DAY, f"N{i:03d}", float(z)) for i, z in enumerate(v)], f"rebalance_date DATE, symbol STRING, {c} DOUBLE")
+    floors, budgets = (-10.0, float(np.median(f)), float(np.quantile(f, 0.7))), (0.1, 0.3, 0.6, 1.2, 2.0)
+    goals = spark.createDataFrame([(DAY, v) for v in floors], "rebalance_date DATE, factor_target DOUBLE")
+    problem = fits.turnover_problems(_names(spark, x), _bench(spark, b), table(q, "weight"), table(f, "composite"), goals, budgets, Schedule(None, 1))
+    fitted = fits.solve_quadratic(*problem, n, days)
+    got = {(r.factor_target, r.turnover_budget, r.symbol): r.weight for r in fitted.collect()}
+    solved = {k[:2] for k in got}
+    assert len(solved) >= 10
+    for floor, budget in solved:
+        w = _fit(x, b, f=f, q=q, target=floor, budget=budget)
+        assert [got[floor, budget, f"N{i:03d}"] for i in range(n)] == pytest.approx(w.tolist(), abs=1e-8)
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas [rebalance_date" in plan and "turnover_budget" not in plan.split("FlatMapCoGroupsInPandas")[1].split("]")[0]
