@@ -182,9 +182,10 @@ def decode(encoded: DataFrame, *, ids: str = "ids", keep: list[str] | None = Non
 
 
 def with_ids(docs: DataFrame, **options) -> DataFrame:
-    """The documents with their ids and number of pieces added."""
-    ids, n = free(docs.columns, "ids", "n_pieces")
-    return unpacked(encode(docs, **options), F.col("ids").alias(ids), F.col("n_pieces").alias(n))
+    """The documents with their ids, the number of pieces and whether the ids decode to the text (null for a null text)."""
+    added = ("ids", "n_pieces", "lossless")
+    names = free(docs.columns, *added)
+    return unpacked(encode(docs, check=True, **options), *[F.col(a).alias(b) for a, b in zip(added, names)])
 
 
 def digest(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
