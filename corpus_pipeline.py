@@ -4,7 +4,7 @@
 2. SimHash near-dedup keeps one document of each component, the one of smallest id.
 3. Substring dedup cuts passages of 20 words or more that stand earlier; a document left without words is dropped.
 4. Decontamination drops documents that hold a benchmark window.
-5. SentencePiece encoding adds the ids of each text (``ids``, ``n_pieces``).
+5. SentencePiece encoding adds the ids of each text (``ids``, ``n_pieces``) and decodes them again (``lossless``).
 
 All but the last return the columns of ``documents``. Empty tables pass through as empty tables.
 """
@@ -16,12 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.llm import decontaminate, langid, pieces, simhash, substring_dedup
 from basketry.session import materialize
 
-# No cut: scores depend on the text's length, and short clean texts and scripts that were not learned score low.
-LEAST_SCORE = 0.0
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accept(docs, least=LEAST_SCORE)
+    # No cut on the score: it depends on the text's length, and short clean texts and scripts that were not learned score low.
+    return langid.accept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +42,7 @@ STAGES = [
     ("SimHash near-dedup", near_dedup),
     ("substring dedup", passage_dedup),
     ("benchmark decontamination", benchmark_decontamination),
-    ("SentencePiece encoding", sentencepiece),
+    ("SentencePiece encoding and decoding", sentencepiece),
 ]
 
 # Language profiles, XXH64 fingerprints and piece scores have no SQL form; the tests hold the stages against brute force.
