@@ -11,11 +11,11 @@ from basketry.sizing import Schedule
 DAY = dt.date(2020, 3, 20)
 
 
-def _fit(x, b, upper=1.0, f=None, q=None, **limits):
+def _fit(x, b, upper=1.0, f=None, q=None, proven=False, **limits):
     scale = np.sqrt((x ** 2).sum(1).mean())
     zero = np.zeros(len(x))
     spec = kernels.Spec(b / scale, len(x), upper=upper, **limits)
-    return kernels.fit_in_task(x / scale, zero if f is None else f, zero if q is None else q, spec)
+    return kernels.fit_in_task(x / scale, zero if f is None else f, zero if q is None else q, spec, proven)
 
 
 @pytest.mark.parametrize("names,days,upper", [(2, 60, 1.0), (5, 100, 1.0), (20, 200, 0.2), (60, 40, 0.05), (10, 300, 0.15)])
@@ -29,6 +29,26 @@ def test_tracking_fit_is_optimal(names, days, upper):
     assert g[w > 1e-9].max() <= g[w < upper - 1e-9].min() + 1e-7 * np.abs(g).max()
 
 
+@pytest.mark.parametrize("distinct,seed", [(20, 71), (25, 118)])
+def test_tracking_fit_of_copied_names_settles(distinct, seed):
+    """Equal names leave their bounds together, which bends the dual too sharply for a step search of few trials."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 0.15, (distinct, 12))
+    x = x[np.concatenate([np.arange(distinct), rng.integers(0, distinct, 30 - distinct)])]
+    b = rng.normal(0, 0.02, 12)
+    w = _fit(x, b, proven=True)
+    g = x @ (x.T @ w - b)
+    assert w.sum() == pytest.approx(1) and g[w > 1e-9].max() <= g.min() + 1e-7 * np.abs(g).max()
+
+
+def test_nearly_flat_direction_is_followed_to_its_end():
+    """With equal proximal weights each step would move by the same little amount, and 60 of them end nowhere."""
+    x = np.array([[1.0, 0.0], [1.0, 3e-4]])
+    spec = kernels.Spec(np.array([1.0, 3e-5]), 2)
+    w = kernels.fit_in_task(x, np.zeros(2), np.zeros(2), spec, proven=True)
+    assert w == pytest.approx([0.9, 0.1], abs=1e-5)
+
+
 def test_tracking_fit_recovers_known_portfolio():
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.01, (5, 100))
