@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from basketry.operators import costs, factors, fits, stats, valuation, weights
 from basketry.plans.market import Market
@@ -149,7 +149,8 @@ def turnover_fit_certificate(m: Market, budgets: Sequence[float], tolerance: flo
     With the multipliers of the sum, the floor and the budget, the least value that any portfolio of the grid point can have
     under the gradient at the fit is a sum of one minimum per name, taken at zero, at the weight held before or at the greatest
     weight. The fit is optimal when it lies above that bound by ``tolerance`` of the objective at most; a wrong multiplier can only lower the
-    bound.
+    bound. So the better of two is taken: with the sum's multiplier as it is, and lowered until no name gains at the greatest
+    weight, which keeps a last digit of the multiplier from counting once for every name.
     """
     fr = frontier_problems(m, budgets, max_weight)
     w = materialize(fits.solve_quadratic(fr.names, fr.specs, fr.keys, m.n_symbols, m.settings.lookback, multipliers=True), "turnover_fit")
@@ -172,13 +173,20 @@ def certified(w: DataFrame, fr: Frontier, tolerance: float = 1e-6, max_weight: f
     floor = F.greatest("exposure_multiplier", F.lit(0.0))
     trade = F.greatest("turnover_multiplier", F.lit(0.0))
     price = F.col("g") - F.col("sum_multiplier") - floor * F.col("f")
-    at = lambda z: price * z + trade * F.abs(z - F.col("q"))
-    least = F.least(at(F.lit(0.0)), at(F.least("q", F.lit(float(max_weight)))), at(F.lit(float(max_weight))))
+    graded = materialize(graded.withColumn("_price", price), "graded")
+    lowered = graded.groupBy(*keys).agg(F.greatest(F.max(-trade - F.col("_price")), F.lit(0.0)).alias("_lower"))  # a row per grid point
+    graded = graded.join(F.broadcast(lowered), keys)
+
+    def least(paid: Column) -> Column:
+        at = lambda z: paid * z + trade * F.abs(z - F.col("q"))
+        return F.least(at(F.lit(0.0)), at(F.least("q", F.lit(float(max_weight)))), at(F.lit(float(max_weight))))
+
     sums = graded.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_candidates"), (F.abs(F.sum("weight") - 1) < 1e-9).alias("sums_to_one"),
         ((F.min("weight") >= 0) & (F.max("weight") <= max_weight + 1e-9)).alias("within_bounds"),
         F.sum(F.col("weight") * F.col("f")).alias("_exposure"), F.sum(F.abs(F.col("weight") - F.col("q"))).alias("_trade"),
-        F.sum(F.col("g") * F.col("weight")).alias("_value"), F.sum(least).alias("_least"),
+        F.sum(F.col("g") * F.col("weight")).alias("_value"),
+        F.greatest(F.sum(least(F.col("_price"))), F.sum(least(F.col("_price") + F.col("_lower"))) - F.first("_lower")).alias("_least"),
         F.first("sum_multiplier").alias("_s"), F.first(floor).alias("_f"), F.first(trade).alias("_t"),
     ).join(size, keys)
     bound = F.col("_s") + F.col("_f") * F.col("factor_target") - F.col("_t") * F.col("turnover_budget") + F.col("_least")

@@ -215,6 +215,24 @@ def test_certificate_tells_a_worse_portfolio(spark):
     assert all(outside[k].weight == pytest.approx(inside[k].weight, abs=1e-6) for k in inside)
 
 
+def test_certificate_counts_a_last_digit_of_a_multiplier_once(spark):
+    rng = np.random.default_rng(13)
+    copies, days = 60, 12
+    n = 10 * copies
+    x, f, q = np.repeat(rng.normal(0, 0.01, (10, days)), copies, 0), np.repeat(rng.normal(size=10), copies), np.full(n, 1 / n)
+    b = x.T @ np.repeat(rng.dirichlet(np.ones(10)), copies) / copies
+    table = lambda v, c: spark.createDataFrame([(DAY, f"N{i:03d}", float(z)) for i, z in enumerate(v)], f"rebalance_date DATE, symbol STRING, {c} DOUBLE")
+    goals = spark.createDataFrame([(DAY, -10.0)], "rebalance_date DATE, factor_target DOUBLE")
+    names, bench, exposure = _names(spark, x), _bench(spark, b), table(f, "composite")
+    problem = fits.turnover_problems(names, bench, table(q, "weight"), exposure, goals, [0.3, 2.0], Schedule(None, 1))
+    fr = studies.Frontier(*problem, table(q, "weight"), exposure, names, bench)
+    w = fits.solve_quadratic(*problem, n, days, multipliers=True).persist()
+    off = lambda by: [r.is_optimal for r in studies.certified(w.withColumn("sum_multiplier", F.col("sum_multiplier") + by), fr).collect()]
+    assert off(0.0) == off(1e-8) == [True, True]
+    assert off(-1e-2) == [False, False]
+    w.unpersist()
+
+
 def test_sparse_paths_certificate_and_picks(spark):
     rng = np.random.default_rng(21)
     x = rng.normal(0, 0.01, (30, 14))
