@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 
 from basketry import sizing
 from basketry.operators import calendar as C, marketcap as MC, membership as M, regime as R, valuation as V, weights as B
+from basketry.plans import registry
+from basketry.sources import cleaning
 from tests.helpers import as_dict, days, numbered, price_table, schedule
 
 
@@ -179,3 +182,26 @@ def test_price_scan_pushes_filter_and_prunes(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date" in plan and "open" not in plan.split("ReadSchema")[1]
     assert df.agg(F.min("date")).first()[0] >= d[-1] - dt.timedelta(days=400)
+
+
+def test_wide_blocks_hold_more_symbols_than_one_table_may_be_wide(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "WIDEST", 3)
+    dates = days(4)
+    closes = {f"S{i}": [None if (i + j) % 3 == 0 else float(10 * i + j) for j in range(4)] for i in range(7)}
+    prices = price_table(spark, dates, closes)
+    blocks, names = cleaning.to_wide_blocks(prices, "close", 3)
+    assert blocks.columns == ["block", "date", "c0", "c1", "c2"] and names.count() == 7
+    assert {r.symbol: (r.block, r.slot) for r in names.collect()} == {f"S{i}": (i // 3, i % 3) for i in range(7)}
+    back = {(r.symbol, r.date): r.close for r in cleaning.from_wide_blocks(blocks, names, "close").collect()}
+    assert back == {(s, d): c for s, row in closes.items() for d, c in zip(dates, row) if c is not None}
+    with pytest.raises(ValueError, match="7 symbols"):
+        cleaning.to_wide(prices, "close")
+
+
+def test_wide_price_panel_is_no_longer_bounded_by_a_pivot(spark, monkeypatch):
+    """The query took one pivot and failed beyond its width."""
+    monkeypatch.setattr(cleaning, "WIDEST", 3)
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    got = registry.QUERIES["wide_price_panel"](spark, sf)
+    assert got.columns == ["date", "symbol", "close"]
+    assert got.count() == registry.QUERIES["price_panel"](spark, sf).where("close IS NOT NULL").count()
