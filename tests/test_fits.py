@@ -279,3 +279,17 @@ def test_a_grid_in_one_group_equals_its_points_solved_alone(spark):
         assert [got[floor, budget, f"N{i:03d}"] for i in range(n)] == pytest.approx(w.tolist(), abs=1e-8)
     plan = fitted._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas [rebalance_date" in plan and "turnover_budget" not in plan.split("FlatMapCoGroupsInPandas")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-14, 1e-10])
+def test_lasso_path_of_copied_names_reaches_its_end(noise):
+    """Copies of an active name fall with it to the last digit and used to join and leave without end."""
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        x = np.repeat(rng.normal(0, 0.15, (200, 12)), 20, 0)
+        x, y = x * (1 + noise * rng.normal(size=x.shape)), rng.normal(0, 0.02, 12)
+        top = np.abs(x @ y).max() / 12
+        alphas, w = kernels.lasso_path(x, y, 150, 1e-4, top)
+        for k in range(0, 150, 10):
+            c = x @ (y - w[k] @ x) / 12
+            assert c.max() <= alphas[k] + 1e-9 * top and np.allclose(c[w[k] > 0], alphas[k], atol=1e-9 * top)
