@@ -71,7 +71,7 @@ class Frontier:
 
 def too_short(m: Market, strategy: str = "multi_factor") -> str | None:
     """Why the last held rebalance of a strategy cannot be studied, if so."""
-    pair = costs.last_two_held(m.rule_weights, strategy).first()
+    pair = costs.last_two_held(m.weights_of(strategy), strategy).first()
     if pair["t_prev"] is None:
         return "fewer than two held rebalances"
     start = m.segments.where(F.col("rebalance_date") == F.lit(pair["t_curr"])).first()
@@ -83,8 +83,8 @@ def too_short(m: Market, strategy: str = "multi_factor") -> str | None:
 def frontier_problems(m: Market, budgets: Sequence[float], max_weight: float = 1.0) -> Frontier:
     """The grid of floors (none, median and upper quartile of the candidates' composite) and turnover budgets."""
     s = m.settings
-    dates = costs.last_two_held(m.rule_weights, "multi_factor")
-    tilted = m.rule_weights.where("strategy = 'multi_factor'")
+    dates = costs.last_two_held(m.weights_of("multi_factor"), "multi_factor")
+    tilted = m.weights_of("multi_factor")
     pair = dates.select(F.struct("t_prev", "t_curr"))
     current = F.col("_d.t_curr")
     at = lambda df: df.withColumn("_d", pair.scalar()).where(F.col("rebalance_date") == current).drop("_d")
