@@ -112,7 +112,9 @@ def resampled_metrics(
     starts = F.flatten(F.transform(resamples, lambda r: F.transform(
         F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda b: block_start(r, b, F.col("n"), seed, source)
     )))
-    tasks = tasks.withColumn("starts", starts).repartition(*by, "chunk")
+    # A given number of parts: rows so few and small would else be put together in one task that does all the arithmetic.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks.withColumn("starts", starts).repartition(parts, *by, "chunk")
 
     paired = "bench_ret" in pairs.columns
     schema = StructType([series.schema[c] for c in by]).add("resample", LongType())

@@ -8,9 +8,11 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.plans import registry
+from basketry.operators import bootstrap, marketcap, valuation
+from basketry.plans import named, registry
 from basketry.plans.market import supplied_market
 from basketry.sources import fixtures
+from tests.helpers import days, series
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -32,3 +34,39 @@ def test_cents_are_those_of_round(spark):
     df = spark.createDataFrame([(v,) for v in values], "p DOUBLE")
     for row in df.select("p", fixtures.cents("p").alias("own"), F.round(F.col("p") * 100).cast("bigint").alias("plain")).collect():
         assert row.own == row.plain, row.p
+
+
+def test_caps_are_taken_on_segment_starts_alone(market, monkeypatch):
+    seen, whole = [], marketcap.market_caps
+    monkeypatch.setattr(marketcap, "market_caps", lambda prices, *rest: seen.append(prices) or whole(prices, *rest))
+    fresh = replace(market)
+    starts = {r.sp for r in market.segments.select("sp").collect()}
+    rows = fresh.start_caps.collect()
+    assert {r.pos for r in seen[0].select("pos").distinct().collect()} <= starts
+    held = market.caps.join(market.segments.select("rebalance_date", F.col("sp").alias("pos")), "pos")
+    assert sorted(rows) == sorted(held.select("rebalance_date", "symbol", "pos", "close", "market_cap").collect())
+
+
+def test_a_study_of_one_variant_builds_that_one_alone(market):
+    for study in (named.risk_attribution, named.multi_objective):
+        fresh = replace(market)
+        assert "error" not in study(fresh).columns
+        assert "tilt_weights" in fresh.__dict__ and not {"rule_weights", "equal_weights", "quality_weights"} & set(fresh.__dict__)
+
+
+def test_valuations_share_their_spans(market):
+    fresh = replace(market)
+    fresh.benchmark_values
+    assert fresh.spans.storageLevel.useMemory
+    values = {(r.strategy, r.pos): r.value for r in fresh.rule_values.collect()}
+    from basketry.operators.calendar import held_spans
+    plain = held_spans(market.prices, market.segments, market.schedule, market.cal)
+    again = {(r.strategy, r.pos): r.value for r in valuation.simulate(market.rule_weights, plain, market.cal, True).collect()}
+    assert values.keys() == again.keys() and all(values[k] == pytest.approx(again[k], rel=1e-12) for k in values)
+    fresh.spans.unpersist()
+
+
+def test_resamples_spread_over_tasks(spark):
+    pairs = series(spark, {"a": [(d, 0.01 * (i % 5 - 2)) for i, d in enumerate(days(40))]})
+    drawn = bootstrap.resampled_metrics(pairs, ["strategy"], 5, 400)
+    assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() > 1
